@@ -192,7 +192,7 @@ FROM {pages}
 VIEWS["v_capacity"] = """
 SELECT CASE o_custkey % 12 WHEN 0 THEN 'CA' WHEN 1 THEN 'TX' WHEN 2 THEN 'FL' WHEN 3 THEN 'OH' WHEN 4 THEN 'US-TOTAL'
             WHEN 5 THEN '' WHEN 6 THEN 'NV' WHEN 7 THEN 'WA' WHEN 8 THEN 'NY' WHEN 9 THEN NULL WHEN 10 THEN 'GA' ELSE 'VA' END AS location,
-       CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE CAST(CAST(o_totalprice / 8 AS BIGINT) AS STRING) END AS capacity
+       CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE CAST(CAST(floor(o_totalprice / 8) AS BIGINT) AS STRING) END AS capacity
 FROM {orders}
 """
 

@@ -8,22 +8,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gridrisk import constants as C
-from gridrisk.functions.matching import first_match
 
 EARTH_RADIUS_KM = 6371.0088
 KM_PER_DEGREE = math.pi * EARTH_RADIUS_KM / 180.0
 
 
 def zip3_state(geo_id: Column, fill_gaps: bool = False) -> Column:
-    """State of the three leading ZIP digits; null for unmapped prefixes."""
-    prefix = F.substring(geo_id, 1, 3)
-    ranges = C.ZIP3_RANGES + (C.ZIP3_GAP_RANGES if fill_gaps else [])
-    by_state: dict[str, Column] = {}
-    for lo, hi, state in ranges:
-        inside = prefix.between(f"{lo:03d}", f"{hi:03d}")
-        by_state[state] = by_state[state] | inside if state in by_state else inside
-    state = first_match([(inside, F.lit(s)) for s, inside in by_state.items()], F.lit(None).cast("string"))
-    return F.when(prefix.rlike("^[0-9]{3}$"), state)
+    """State of the three leading ZIP digits; null for unmapped prefixes.
+
+    The range table becomes one constant array of 1,000 entries, indexed by the prefix.
+    """
+    states = [""] * 1000
+    for lo, hi, state in C.ZIP3_RANGES + (C.ZIP3_GAP_RANGES if fill_gaps else []):
+        states[lo : hi + 1] = [state] * (hi + 1 - lo)
+    table = F.split(F.lit(",".join(states)), ",")
+    prefix = F.regexp_extract(geo_id, "^([0-9]{3})", 1).try_cast("int")
+    return F.nullif(F.get(table, prefix), F.lit(""))
 
 
 def state_capacity() -> dict[str, float]:
@@ -32,11 +32,11 @@ def state_capacity() -> dict[str, float]:
     return {**C.STATE_GRID_ESTIMATES, **reported}
 
 
-def _lookup(code: Column, table: dict[str, float], default: Column) -> Column:
-    by_value: dict[float, list[str]] = {}
-    for key, value in table.items():
-        by_value.setdefault(value, []).append(key)
-    return first_match([(code.isin(keys), F.lit(v)) for v, keys in by_value.items()], default)
+def lookup(key: Column, table: dict, default: Column | None = None) -> Column:
+    """Value of a key in a short constant table."""
+    entries = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    value = F.try_element_at(entries, key)
+    return value if default is None else F.coalesce(value, default)
 
 
 def state_weight(state: Column, capacity: dict[str, float] | None = None) -> Column:
@@ -44,7 +44,7 @@ def state_weight(state: Column, capacity: dict[str, float] | None = None) -> Col
     table = capacity or state_capacity()
     top = math.log1p(max(table.values()))
     weights = {s: max(C.MIN_STATE_WEIGHT, round(math.log1p(gw) / top, 4)) for s, gw in table.items()}
-    return _lookup(state, weights, F.lit(C.MIN_STATE_WEIGHT))
+    return lookup(state, weights, F.lit(C.MIN_STATE_WEIGHT))
 
 
 def region_capacity(code: Column) -> Column:
@@ -53,7 +53,7 @@ def region_capacity(code: Column) -> Column:
     ``CA`` is therefore California, and ``US`` gets the fallback.
     """
     table = {c: gw for c, gw, _ in C.STATE_GRID} | {c: gw for c, gw, _ in C.EUROPE_GRID}
-    return _lookup(code, table, F.lit(C.UNKNOWN_REGION_GW))
+    return lookup(code, table, F.lit(C.UNKNOWN_REGION_GW))
 
 
 def critical_regions() -> list[str]:

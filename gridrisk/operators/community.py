@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridrisk import constants as C
-from gridrisk.functions.geo import state_weight, zip3_state
-from gridrisk.functions.matching import first_match
+from gridrisk.functions.geo import lookup, state_weight, zip3_state
 from gridrisk.functions.numeric import clip, half_even, or_zero, with_one_row
 from gridrisk.functions.quantiles import exact_medians
 from gridrisk.functions.text import pad_geo_id, to_number
@@ -70,11 +69,11 @@ def filter_zip_range(df: DataFrame, low: str, high: str, column: str = "geo_id")
 
 
 def fips_state(code: Column) -> Column:
-    return first_match([(code == f, F.lit(s)) for s, f in C.STATE_FIPS.items()], F.lit(None).cast("string"))
+    return lookup(code, {fips: state for state, fips in C.STATE_FIPS.items()})
 
 
 def state_fips(state: Column) -> Column:
-    return first_match([(state == s, F.lit(f)) for s, f in C.STATE_FIPS.items()], F.lit(None).cast("string"))
+    return lookup(state, C.STATE_FIPS)
 
 
 def filter_state(df: DataFrame, states: list[str], column: str = "state_fips") -> DataFrame:
@@ -155,26 +154,38 @@ def state_pressure(df: DataFrame, base: DataFrame, digits: int | None = 2) -> Da
     return attached.withColumn("solar_cyber_pressure_score", half_even(score, digits)).drop("base_pressure")
 
 
-def income_interaction(df: DataFrame, digits: int | None = 4) -> DataFrame:
-    """Min–max income (missing → median) × candidate share."""
+def population_stats(df: DataFrame) -> DataFrame:
+    """One row of the medians and limits that the features scale by."""
+    medians = exact_medians(
+        df, {"income_median": "median_household_income", "age_median": "median_property_age"}
+    )
     income = F.col("median_household_income")
-    medians = exact_medians(df, {"income_median": "median_household_income"})
     limits = df.agg(F.min(income).alias("income_min"), F.max(income).alias("income_max"))
-    wide = with_one_row(with_one_row(df, medians), limits)
+    return with_one_row(limits, medians)
+
+
+def _income_interaction(digits: int | None) -> Column:
     # Filling with the median cannot move the minimum or the maximum.
-    filled = F.coalesce(income, F.col("income_median"))
+    filled = F.coalesce(F.col("median_household_income"), F.col("income_median"))
     scaled = (filled - F.col("income_min")) / (F.col("income_max") - F.col("income_min") + 1e-9)
-    return wide.withColumn(
-        "income_solar_interaction", half_even(scaled * F.col("solar_candidate_share"), digits)
-    ).drop("income_median", "income_min", "income_max")
+    return half_even(scaled * F.col("solar_candidate_share"), digits)
+
+
+def _age_factor(digits: int | None) -> Column:
+    age = F.coalesce("median_property_age", "age_median")
+    return half_even(F.exp(-0.5 * F.pow((age - 25) / 12, F.lit(2.0))), digits)
+
+
+def income_interaction(df: DataFrame, digits: int | None = 4) -> DataFrame:
+    """Min–max income (missing → median) × candidate share."""
+    stats = population_stats(df)
+    return with_one_row(df, stats).withColumn("income_solar_interaction", _income_interaction(digits)).drop(*stats.columns)
 
 
 def age_factor(df: DataFrame, digits: int | None = 4) -> DataFrame:
     """Bell curve around 25 years (missing age → median)."""
-    wide = with_one_row(df, exact_medians(df, {"age_median": "median_property_age"}))
-    age = F.coalesce("median_property_age", "age_median")
-    curve = F.exp(-0.5 * F.pow((age - 25) / 12, F.lit(2.0)))
-    return wide.withColumn("age_risk_factor", half_even(curve, digits)).drop("age_median")
+    stats = population_stats(df)
+    return with_one_row(df, stats).withColumn("age_risk_factor", _age_factor(digits)).drop(*stats.columns)
 
 
 def readiness_v2(df: DataFrame, digits: int | None = 2) -> DataFrame:
@@ -190,11 +201,20 @@ def readiness_v2(df: DataFrame, digits: int | None = 2) -> DataFrame:
 
 
 def engineer_features(features: DataFrame, base: DataFrame, digits: bool = True) -> DataFrame:
-    """State, pressure, income and age features. Medians and limits cover all communities."""
-    places = 4 if digits else None
-    df = map_states(features)
-    shaped = age_factor(income_interaction(df, places), places)
-    return state_pressure(shaped, base, 2 if digits else None)
+    """State, pressure, income and age features. Medians and limits cover all communities.
+
+    The statistics and the pressure row travel together as one constant row.
+    """
+    stats = population_stats(features)
+    wide = with_one_row(map_states(features), with_one_row(base, stats))
+    pressure = half_even(F.col("base_pressure") * F.col("state_solar_weight"), 2 if digits else None)
+    return wide.withColumns(
+        {
+            "solar_cyber_pressure_score": pressure,
+            "income_solar_interaction": _income_interaction(4 if digits else None),
+            "age_risk_factor": _age_factor(4 if digits else None),
+        }
+    ).drop("base_pressure", *stats.columns)
 
 
 def score_v2(features: DataFrame, base: DataFrame, digits: bool = True) -> DataFrame:

@@ -267,14 +267,14 @@ def fleet_global(scored: DataFrame, europe_only: bool = False, digits: bool = Tr
     )
 
 
-def capacity_by_state(records: DataFrame) -> DataFrame:
+def capacity_by_state(records: DataFrame, digits: int | None = 2) -> DataFrame:
     """Greater of the known capacity and the largest reported one, per two-letter code."""
     reported = (
         records.filter(F.length("location") == 2)
         .select("location", (F.col("capacity").try_cast("double") / 1000).alias("gw"))
         .filter(F.coalesce(F.col("gw"), F.lit(0.0)) != 0)
         .groupBy("location")
-        .agg(half_even(F.max("gw"), 2).alias("reported_gw"))
+        .agg(half_even(F.max("gw"), digits).alias("reported_gw"))
     )
     known = records.sparkSession.createDataFrame(
         [(c, gw) for c, gw, _ in C.STATE_GRID], "location string, known_gw double"

@@ -19,6 +19,7 @@ def build_session(master: str = "local[*]", app: str = "gridrisk", partitions: i
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
