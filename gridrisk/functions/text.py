@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType, NumericType
 
 
 def norm_text(value: Column) -> Column:
@@ -40,11 +41,23 @@ def pad_geo_id(value: Column) -> Column:
     return F.when(F.length(value) < 5, F.lpad(value, 5, "0")).otherwise(value)
 
 
+_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^(?i)[+-]?inf(inity)?$"
+
+
 def to_number(value: Column) -> Column:
-    """Double, or null for anything that is not a number (including NaN and '12d')."""
+    """Double of a text, or null for anything that is not a number (including 'nan' and '12d')."""
     text = F.trim(value.cast("string"))
-    number = F.when(~text.rlike("[dDfF]$"), text.try_cast("double"))
-    return F.when(~F.isnan(number), number)
+    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
+
+
+def numeric(df: DataFrame, column: str) -> Column:
+    """A double column whatever the landed type: text is parsed, NaN becomes null."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
+    if isinstance(kind, NumericType):
+        return F.col(column).cast("double")
+    return to_number(F.col(column))
 
 
 def address_key(address: Column, city: Column, state: Column, zip_code: Column) -> Column:

@@ -9,7 +9,7 @@ from gridrisk import constants as C
 from gridrisk.functions.geo import lookup, state_weight, zip3_state
 from gridrisk.functions.numeric import clip, half_even, or_zero, with_one_row
 from gridrisk.functions.quantiles import exact_medians
-from gridrisk.functions.text import pad_geo_id, to_number
+from gridrisk.functions.text import numeric, pad_geo_id
 
 
 def known(value: Column) -> Column:
@@ -19,8 +19,8 @@ def known(value: Column) -> Column:
 
 def acs_features(acs: DataFrame, reference_year: int = C.REFERENCE_YEAR) -> DataFrame:
     """Shares, counts and medians per community from census-style columns (text or numbers)."""
-    numeric = [c for c in C.CENSUS_VARIABLES.values() if c in acs.columns]
-    base = acs.withColumns({c: known(to_number(F.col(c))) for c in numeric})
+    counts = [c for c in C.CENSUS_VARIABLES.values() if c in acs.columns]
+    base = acs.withColumns({c: known(numeric(acs, c)) for c in counts})
     units = F.greatest(F.coalesce("total_housing_units", F.lit(1.0)), F.lit(1.0))
     occupied = or_zero(F.col("occupied_units"))
     detached = or_zero(F.col("single_family_detached_units"))
@@ -253,7 +253,7 @@ def top_candidates(features: DataFrame, n: int = 10) -> DataFrame:
 def readiness_alert(acs: DataFrame, high_value: float = C.ALERT_HIGH_VALUE_HOME) -> DataFrame:
     """Readiness in [0, 1] from three housing signals."""
     columns = ["total_housing_units", "single_family_detached_units", "owner_occupied_units", "median_home_value"]
-    df = acs.withColumns({c: known(to_number(F.col(c))) for c in columns})
+    df = acs.withColumns({c: known(numeric(acs, c)) for c in columns})
     units = F.greatest(or_zero(F.col("total_housing_units")), F.lit(1.0))
     df = df.withColumns(
         {
