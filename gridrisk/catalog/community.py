@@ -236,8 +236,8 @@ def readiness(t):
     return K.readiness_alert(t.v_acs)
 
 
-def pressure(t):
-    return T.vendor_pressure_text(TC.v3_rows(t), digits=None)
+def pressure(tagged):
+    return T.vendor_pressure_text(tagged, digits=None)
 
 
 @query("readiness_alert", "SELECT * FROM r_alert", ["solar_readiness"])
@@ -252,7 +252,8 @@ def _(t):
 
 @query("cve_urgency", "SELECT cve_id, affected_vendors, vendor_cyber_pressure FROM cve_urgent", ["vendor_cyber_pressure"])
 def _(t):
-    return K.cve_urgency(TC.v3_rows(t), pressure(t))
+    rows = TC.v3_rows(t)
+    return K.cve_urgency(rows, pressure(rows))
 
 
 STEPS["one_cve"] = """
@@ -268,7 +269,7 @@ FROM r_alert, one_cve
 def _(t):
     rows = TC.v3_rows(t)
     newest = K.filter_alert_threshold(rows, None).orderBy(F.desc("cvss_v3_score"), "cve_id").limit(1)
-    return K.join_alert(readiness(t), K.cve_urgency(newest, pressure(t)))
+    return K.join_alert(readiness(t), K.cve_urgency(newest, pressure(rows)))
 
 
 STEPS["ready_top"] = "SELECT geo_id, solar_readiness FROM r_alert ORDER BY solar_readiness DESC, geo_id LIMIT 10"
@@ -280,8 +281,8 @@ FROM cve_urgent u JOIN cve_tags c ON u.cve_id = c.cve_id, ready_top WHERE c.cvss
 
 @query("alert_top_n", "SELECT * FROM alert_rows", ["vendor_cyber_pressure", "solar_readiness", "alert_score"])
 def _(t):
-    passing = K.filter_alert_threshold(TC.v3_rows(t))
-    return K.alert_top_n(K.cve_urgency(passing, pressure(t)), readiness(t))
+    rows = TC.v3_rows(t)
+    return K.alert_top_n(K.cve_urgency(K.filter_alert_threshold(rows), pressure(rows)), readiness(t))
 
 
 # --- views and lookups ---------------------------------------------------------------------
@@ -338,7 +339,7 @@ FROM cluster_named
 def _(t):
     from gridrisk.operators.model import cluster_rank
 
-    curated = TC.curated(t)
+    curated = TC.curated_table(t)
     return W.view_stats(cluster_rank(clustered(t)), curated, T.vendor_priors(curated), None)
 
 

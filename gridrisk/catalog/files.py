@@ -229,6 +229,6 @@ def _(t):
     pages = land(t, adapters.cve_pages(t.v_cve_hits), "json", "stream-pages")
     out, state = scratch_path(t.spark, "alerts"), scratch_path(t.spark, "alert-state")
     communities = W.write_table(CC.readiness(t).select("geo_id", "solar_readiness"), scratch_path(t.spark, "ready"))
-    pressure = W.write_table(CC.pressure(t), scratch_path(t.spark, "pressure"))
+    pressure = W.write_table(CC.pressure(TC.v3_rows(t)), scratch_path(t.spark, "pressure"))
     A.run_alert_stream(t.spark, pages, out, state, communities, pressure, files_per_batch=4)
     return A.read_alerts(t.spark, out)

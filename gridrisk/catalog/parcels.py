@@ -9,6 +9,8 @@ from gridrisk.functions import text as X
 from gridrisk.operators import community as K
 from gridrisk.operators import parcels as P
 from gridrisk.operators import threat as T
+from gridrisk.session import scratch_path
+from gridrisk.sources.writers import write_table
 
 
 def _key(address: str) -> str:
@@ -111,6 +113,11 @@ def enriched(t):
     return P.enrich_parcels(t.v_parcels, t.v_avm, t.v_geo)
 
 
+def parcel_table(t):
+    """Enriched parcels as a written table: the rollups read them more than once."""
+    return write_table(enriched(t), scratch_path(t.spark, "parcels"))
+
+
 def joined(t):
     left = P.normalize_parcels(t.v_parcels)
     values = P.latest_avm(P.semi_avm_prefilter(P.normalize_avm(t.v_avm), left))
@@ -274,22 +281,22 @@ def _(t):
 # --- aggregation and ranking ---------------------------------------------------------------
 @query("community_agg_zip", "SELECT * FROM c_zip", COMMUNITY_DOUBLES)
 def _(t):
-    return P.community_agg(enriched(t), "zip_code")
+    return P.community_agg(parcel_table(t), "zip_code")
 
 
 @query("community_agg_census", "SELECT * FROM c_census", COMMUNITY_DOUBLES)
 def _(t):
-    return P.community_agg(enriched(t), "effective_census_key_decennial")
+    return P.community_agg(parcel_table(t), "effective_census_key_decennial")
 
 
 @query("community_agg_fips", "SELECT * FROM c_fips", COMMUNITY_DOUBLES)
 def _(t):
-    return P.community_agg(enriched(t), "effective_fips_code")
+    return P.community_agg(parcel_table(t), "effective_fips_code")
 
 
 @query("geo_id_rename", "SELECT zip_code AS geo_id, parcel_count FROM c_zip")
 def _(t):
-    return K.geo_id_rename(P.community_agg(enriched(t), "zip_code"), "zip_code").select("geo_id", "parcel_count")
+    return K.geo_id_rename(P.community_agg(parcel_table(t), "zip_code"), "zip_code").select("geo_id", "parcel_count")
 
 
 STEPS["c_scored"] = """
@@ -303,14 +310,14 @@ SCORED_V1 = ["geo_id", "parcel_count", "solar_cyber_pressure_score", "solar_read
 
 
 def scored_v1(t):
-    curated = T.curate(t.v_products, t.v_cves)
+    curated = write_table(T.curate(t.v_products, t.v_cves), scratch_path(t.spark, "curated"))
     priors = T.global_priors(curated, T.vendor_priors(curated, None), None, None)
-    return K.score_v1(P.community_agg(enriched(t), "zip_code"), priors, "zip_code", None)
+    return K.score_v1(P.community_agg(parcel_table(t), "zip_code"), priors, "zip_code", None)
 
 
 @query("readiness_v1", "SELECT geo_id, solar_readiness_score FROM c_scored", ["solar_readiness_score"])
 def _(t):
-    return K.readiness_v1(P.community_agg(enriched(t), "zip_code")).select(
+    return K.readiness_v1(P.community_agg(parcel_table(t), "zip_code")).select(
         F.col("zip_code").alias("geo_id"), "solar_readiness_score"
     )
 
@@ -330,8 +337,8 @@ SELECT zip_code, parcel_count, solar_cve_count, solar_vendor_count, solar_avg_cv
 FROM c_zip, global_prior_row
 """, ["solar_avg_cvss", "solar_cyber_pressure_score"])
 def _(t):
-    curated = T.curate(t.v_products, t.v_cves)
+    curated = write_table(T.curate(t.v_products, t.v_cves), scratch_path(t.spark, "curated"))
     priors = T.global_priors(curated, T.vendor_priors(curated, None), None, None)
-    return K.join_global_priors(P.community_agg(enriched(t), "zip_code"), priors).select(
+    return K.join_global_priors(P.community_agg(parcel_table(t), "zip_code"), priors).select(
         "zip_code", "parcel_count", "solar_cve_count", "solar_vendor_count", "solar_avg_cvss", "solar_cyber_pressure_score"
     )

@@ -12,7 +12,9 @@ from gridrisk.functions.matching import matched_keywords
 from gridrisk.functions.text import date_prefix, is_relevant_text
 from gridrisk.operators import threat as T
 from gridrisk.operators import vulnerabilities as V
+from gridrisk.session import scratch_path
 from gridrisk.sources import readers
+from gridrisk.sources.writers import write_table
 
 _WORDS = r"\b(?:" + "|".join(re.escape(w).replace("\\ ", " ") for w in C.RELEVANT_TERMS) + r")\b"
 
@@ -99,6 +101,11 @@ def curated(t):
     return T.curate(t.v_products, t.v_cves)
 
 
+def curated_table(t):
+    """Curated products as a written table, for results that read them several times."""
+    return write_table(curated(t), scratch_path(t.spark, "curated"))
+
+
 def priors(t):
     return T.vendor_priors(curated(t), None)
 
@@ -145,7 +152,13 @@ def _(t):
     return T.severity_flags(t.v_cves).select("cve_id", "critical_flag", "high_flag", "vuln_weight")
 
 
-@query("dedup_products", f"SELECT {', '.join(CURATED_COLUMNS)} FROM pr_curated", ["cvss_score", "vuln_weight"])
+@query("dedup_products", f"SELECT DISTINCT {', '.join(T.PRODUCT_KEY)} FROM pr_curated")
+def _(t):
+    relevant = T.filter_vulnerable(merged(t))
+    return T.dedup_products(relevant.withColumn("vendor_canonical", T.vendor_canonical(F.col("vendor"))))
+
+
+@query("curated_products", f"SELECT {', '.join(CURATED_COLUMNS)} FROM pr_curated", ["cvss_score", "vuln_weight"])
 def _(t):
     return curated(t).select(*CURATED_COLUMNS)
 
@@ -214,7 +227,8 @@ _GLOBAL_DOUBLES = ["solar_avg_cvss", "solar_max_cvss", "solar_avg_vendor_risk",
 
 @query("global_priors", "SELECT * FROM global_prior_row", _GLOBAL_DOUBLES)
 def _(t):
-    return T.global_priors(curated(t), priors(t), None, None)
+    rows = curated_table(t)
+    return T.global_priors(rows, T.vendor_priors(rows, None), None, None)
 
 
 @query("base_pressure", "SELECT * FROM base_row", ["base_pressure", "solar_avg_cvss", "solar_max_cvss"])
@@ -468,7 +482,7 @@ def v3_rows(t):
         V.cvss_pick_v3(F.col("cve.metrics")).alias("m"),
     ).select("cve_id", "description", "m.*")
     flagged = V.join_kev_flag(first, t.v_kev.withColumn("cveID", F.trim("cveID")))
-    return T.tag_vendors(flagged)
+    return write_table(T.tag_vendors(flagged), scratch_path(t.spark, "tagged"))
 
 
 @query("vendor_pressure_text", "SELECT * FROM pressure_rows", ["max_cvss", "mean_cvss", "cyber_pressure_score"])

@@ -17,7 +17,8 @@ def norm_text(value: Column) -> Column:
 
 def _digits(value: Column, width: int) -> Column:
     digits = F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), "[^0-9]", "")
-    return F.when(digits == "", F.lit("")).otherwise(F.lpad(F.substring(digits, 1, width), width, "0"))
+    some = F.nullif(F.substring(digits, 1, width), F.lit(""))
+    return F.coalesce(F.lpad(some, width, "0"), F.lit(""))
 
 
 def norm_zip(value: Column) -> Column:

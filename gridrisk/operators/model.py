@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
@@ -18,6 +19,8 @@ from gridrisk.functions.geo import KM_PER_DEGREE, haversine_km
 from gridrisk.functions.matching import first_match
 from gridrisk.functions.numeric import as_count, half_even, or_zero, with_one_row
 from gridrisk.functions.quantiles import exact_medians
+from gridrisk.session import scratch_path
+from gridrisk.sources.writers import write_table
 
 CLUSTER_FEATURES = [
     "single_family_share", "owner_occupancy_rate", "solar_candidate_share",
@@ -34,28 +37,28 @@ def median_impute(df: DataFrame, columns: Sequence[str] = CLUSTER_FEATURES) -> D
 
 
 def kmeans_tiers(df: DataFrame, k: int = 5, seed: int = 42, restarts: int = 10,
-                 columns: Sequence[str] = CLUSTER_FEATURES, key: str = "geo_id") -> DataFrame:
+                 columns: Sequence[str] = CLUSTER_FEATURES, parallel: int = 4) -> DataFrame:
     """Standardised k-means with restarts; the lowest-cost model assigns ``cluster_id``.
 
-    The feature vectors are cached once for all restarts. Scaling by the sample instead of the
-    population deviation multiplies every feature by the same factor, so clusters are the same.
+    The scaled vectors are written once and every restart reads them; a few restarts run at the
+    same time. Scaling by the sample instead of the population deviation multiplies every feature
+    by the same factor, so clusters are the same.
     """
-    filled = median_impute(df, columns)
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="_raw").transform(filled)
+    spark = df.sparkSession
+    filled = median_impute(df.withColumns({f"_f_{c}": F.col(c) for c in columns}), [f"_f_{c}" for c in columns])
+    vectors = VectorAssembler(inputCols=[f"_f_{c}" for c in columns], outputCol="_raw").transform(filled)
     scaler = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True).fit(vectors)
-    points = scaler.transform(vectors).select("_x").persist()
-    best = None
-    for restart in range(restarts):
-        model = KMeans(k=k, seed=seed + restart, featuresCol="_x", predictionCol="cluster_id").fit(points)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    points.unpersist()
-    assembled = VectorAssembler(inputCols=[f"_f_{c}" for c in columns], outputCol="_raw")
-    medians = exact_medians(df, {f"_m_{c}": c for c in columns})
-    wide = with_one_row(df, medians)
-    ready = wide.withColumns({f"_f_{c}": F.coalesce(F.col(c), F.col(f"_m_{c}")) for c in columns})
-    predicted = best.transform(scaler.transform(assembled.transform(ready)))
-    return predicted.select(*df.columns, "cluster_id")
+    scaled = scaler.transform(vectors).select(*df.columns, "_x")
+    points = write_table(scaled, scratch_path(spark, "cluster-points"))
+
+    def fit(restart: int):
+        learner = KMeans(k=k, seed=seed + restart, featuresCol="_x", predictionCol="cluster_id")
+        return learner.fit(points.select("_x"))
+
+    with ThreadPool(parallel) as pool:
+        models = pool.map(fit, range(restarts))
+    best = min(models, key=lambda m: m.summary.trainingCost)
+    return best.transform(points).drop("_x")
 
 
 def cluster_rank(df: DataFrame, k: int = 5) -> DataFrame:

@@ -26,6 +26,11 @@ def property_age(year_built: Column, reference_year: int = C.REFERENCE_YEAR) ->
     return F.lit(reference_year) - year_built
 
 
+def _clean_address_key(address: str) -> Column:
+    """Address key over columns whose state and ZIP are normalised already."""
+    return F.concat_ws("|", X.norm_text(F.col(address)), X.norm_text(F.col("city")), "state", "zip_code")
+
+
 def normalize_parcels(df: DataFrame, reference_year: int = C.REFERENCE_YEAR) -> DataFrame:
     """Clean keys, derive the two join keys, the land-use flags and the age."""
     keyed = df.withColumns(
@@ -38,10 +43,8 @@ def normalize_parcels(df: DataFrame, reference_year: int = C.REFERENCE_YEAR) ->
     )
     return land_use_flags(keyed).withColumns(
         {
-            "address_key": X.address_key(
-                F.col("property_address"), F.col("city"), F.col("state"), F.col("zip_code")
-            ),
-            "geo_join_key": X.geo_join_key(F.col("state"), F.col("zip_code"), F.col("zip4")),
+            "address_key": _clean_address_key("property_address"),
+            "geo_join_key": F.concat_ws("|", "state", "zip_code", "zip4"),
             "property_age": property_age(F.col("year_built"), reference_year),
         }
     )
@@ -53,10 +56,7 @@ def normalize_avm(df: DataFrame) -> DataFrame:
             "state": X.norm_state(F.col("state")),
             "zip_code": X.norm_zip(F.col("zip_code")),
         }
-    ).withColumn(
-        "address_key",
-        X.address_key(F.col("address"), F.col("city"), F.col("state"), F.col("zip_code")),
-    )
+    ).withColumn("address_key", _clean_address_key("address"))
 
 
 def normalize_geo(df: DataFrame) -> DataFrame:

@@ -37,14 +37,18 @@ def clean_products(products: DataFrame) -> DataFrame:
 
 
 def join_products_cves(products: DataFrame, cves: DataFrame) -> DataFrame:
-    return products.join(cves, "cve_id", "left")
+    """Left join; each description is judged once per CVE, before it meets its product rows."""
+    judged = cves.withColumn(
+        "description_relevant", is_relevant_text(F.col("description"), C.RELEVANT_TERMS)
+    )
+    return products.join(judged, "cve_id", "left")
 
 
 def filter_vulnerable(merged: DataFrame) -> DataFrame:
     """Vulnerable rows of an allowlisted vendor or a relevant text, without the denied vendors."""
     listed = F.col("vendor").isin(list(C.VENDOR_ALLOWLIST))
-    text = is_relevant_text(F.col("product"), C.RELEVANT_TERMS) | is_relevant_text(
-        F.col("description"), C.RELEVANT_TERMS
+    text = F.coalesce(F.col("description_relevant"), F.lit(False)) | is_relevant_text(
+        F.col("product"), C.RELEVANT_TERMS
     )
     return merged.filter((F.col("is_vulnerable") == 1) & (listed | text) & ~F.col("vendor").isin(C.VENDOR_DENYLIST))
 
@@ -72,18 +76,20 @@ def severity_flags(df: DataFrame) -> DataFrame:
     )
 
 
-def dedup_products(df: DataFrame) -> DataFrame:
-    """Distinct over the eight key columns; nulls count as equal.
-
-    The other columns depend on the CVE alone, apart from the raw vendor, which is dropped.
-    """
-    return df.drop("vendor").dropDuplicates(PRODUCT_KEY)
+def dedup_products(relevant: DataFrame) -> DataFrame:
+    """Distinct over the eight key columns; nulls count as equal."""
+    return relevant.select(*PRODUCT_KEY).distinct()
 
 
 def curate(products: DataFrame, cves: DataFrame) -> DataFrame:
-    merged = join_products_cves(clean_products(products), cves)
-    relevant = filter_vulnerable(merged).withColumn("vendor_canonical", vendor_canonical(F.col("vendor")))
-    return dedup_products(severity_flags(relevant))
+    """Relevant vulnerable products with the fields and flags of their CVE.
+
+    Only the keys are deduplicated; the CVE fields, which depend on the CVE alone, are joined to
+    the distinct rows, so long texts never go through the deduplication.
+    """
+    relevant = filter_vulnerable(join_products_cves(clean_products(products), cves))
+    named = relevant.withColumn("vendor_canonical", vendor_canonical(F.col("vendor")))
+    return severity_flags(dedup_products(named).join(cves, "cve_id", "left"))
 
 
 def sort_curated(curated: DataFrame) -> DataFrame:
