@@ -140,12 +140,12 @@ def join_nearby_devices(communities: DataFrame, devices: DataFrame, radius_km: f
     """
     cell_lat = radius_km / KM_PER_DEGREE
     places = communities.select("lat", "lon").distinct()
-    # A degree of longitude shrinks with latitude, so the longitude reach is set per latitude band.
-    band = F.floor(F.col("lat") / F.lit(cell_lat))
+    own = F.floor(F.col("lat") / F.lit(cell_lat))
 
-    def reach(edge_band: Column) -> Column:
-        widest = F.greatest(F.abs(edge_band), F.abs(edge_band + 1)) * F.lit(cell_lat)
-        return F.lit(cell_lat) / F.greatest(F.cos(F.radians(F.least(widest, F.lit(89.9)))), F.lit(1e-3))
+    def reach(band: Column) -> Column:
+        """Cell width in degrees of longitude: the radius at the band's far edge, with a margin."""
+        edge = F.greatest(F.abs(band), F.abs(band + 1)) * F.lit(cell_lat)
+        return F.when(edge >= 87, F.lit(360.0)).otherwise(F.lit(1.01 * cell_lat) / F.cos(F.radians(edge)))
 
     points = (
         device_positions(devices)
@@ -153,15 +153,26 @@ def join_nearby_devices(communities: DataFrame, devices: DataFrame, radius_km: f
         .withColumn("band", F.floor(F.col("d_lat") / F.lit(cell_lat)))
         .withColumn("cell", F.floor(F.col("d_lon") / reach(F.col("band"))))
     )
-    # A device in the neighbouring band uses that band's own cell width, so cells are computed
-    # from the device band, and one cell more on each side covers the radius at either latitude.
-    probes = (
-        places.withColumn("band", F.explode(F.array(band - 1, band, band + 1)))
-        .withColumn("centre", F.floor(F.col("lon") / reach(F.col("band"))))
-        .withColumn("span", F.ceil(reach(band) / reach(F.col("band"))))
-        .withColumn("cell", F.explode(F.sequence(F.col("centre") - F.col("span"), F.col("centre") + F.col("span"))))
-        .select("lat", "lon", "band", "cell")
+    # Cells belong to the device's band; the wider of the two widths covers the radius, also
+    # across the date line.
+    around = (
+        places.withColumn("own_reach", reach(own))
+        .withColumn("band", F.explode(F.array(own - 1, own, own + 1)))
+        .withColumn("width", reach(F.col("band")))
+        .withColumn("half", F.greatest("own_reach", "width"))
+        .withColumn("span", F.ceil(F.col("half") / F.col("width")))
     )
+    lon, half, span = F.col("lon"), F.col("half"), F.col("span")
+    starts = F.array_compact(
+        F.array(lon, F.when(lon + half > 180, lon - 360), F.when(lon - half < -180, lon + 360))
+    )
+    cells = F.flatten(
+        F.transform(
+            starts,
+            lambda x: F.sequence(F.floor(x / F.col("width")) - span, F.floor(x / F.col("width")) + span),
+        )
+    )
+    probes = around.select("lat", "lon", "band", F.explode(F.array_distinct(cells)).alias("cell"))
     near = (
         probes.join(points, ["band", "cell"])
         .filter(haversine_km(F.col("lat"), F.col("lon"), F.col("d_lat"), F.col("d_lon")) <= radius_km)
