@@ -68,15 +68,24 @@ def normalize_geo(df: DataFrame) -> DataFrame:
     )
 
 
+MAX_BROADCAST_STATES = 10_000
+
+
+def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
+    """Broadcast a table that a count proves to have at most ``limit`` rows, else leave it alone."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def semi_avm_prefilter(avm: DataFrame, parcels: DataFrame) -> DataFrame:
     """Valuations whose state occurs among the parcels and whose ZIP does, independently.
 
-    The ZIP list cannot exceed 100,001 values (five digits or blank) and the state list is
-    smaller still; the planner broadcasts both after measuring them.
+    Normalised ZIPs are five digits or blank, so their list has at most 100,001 rows and is
+    broadcast. States are free text: they are broadcast after a count, and joined by shuffle when
+    there are too many. Without this the valuations would be shuffled by state, mostly to one task.
     """
-    states = parcels.select(F.col("state")).distinct()
-    zips = parcels.select(F.col("zip_code")).distinct()
-    return avm.join(states, "state", "left_semi").join(zips, "zip_code", "left_semi")
+    states = broadcast_if_small(parcels.select("state").distinct(), MAX_BROADCAST_STATES)
+    zips = F.broadcast(parcels.select("zip_code").distinct())
+    return avm.join(zips, "zip_code", "left_semi").join(states, "state", "left_semi")
 
 
 def first_per_key(df: DataFrame, key: str | list[str], *order: Column) -> DataFrame:
