@@ -294,6 +294,22 @@ def _(t):
     return P.community_agg(parcel_table(t), "effective_fips_code")
 
 
+_LEVELS = {"zip": "zip_code", "census": "effective_census_key_decennial", "fips": "effective_fips_code"}
+_LEVEL_SQL = "\nUNION ALL ".join(
+    f"SELECT '{level}' AS level, {key} AS geo_id, * EXCLUDE ({key}) FROM c_{level}" for level, key in _LEVELS.items()
+)
+
+
+@query("community_agg", _LEVEL_SQL, COMMUNITY_DOUBLES)
+def _(t):
+    """All three levels in one schema, from one written parcel table."""
+    rows, out = parcel_table(t), None
+    for level, key in _LEVELS.items():
+        part = K.geo_id_rename(P.community_agg(rows, key), key).withColumn("level", F.lit(level))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("geo_id_rename", "SELECT zip_code AS geo_id, parcel_count FROM c_zip")
 def _(t):
     return K.geo_id_rename(P.community_agg(parcel_table(t), "zip_code"), "zip_code").select("geo_id", "parcel_count")
