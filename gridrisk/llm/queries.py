@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridrisk.llm.common import table
+from gridrisk.llm.decontaminate import decontaminate
 from gridrisk.llm.licenses import COPYRIGHT, SPELLINGS, scan_licenses
 from gridrisk.llm.lines import dedup_lines
 from gridrisk.llm.mixing import mix
+from gridrisk.llm.tokens import decode_tokens, encode_tokens
 from gridrisk.llm.urls import judge_urls
+from gridrisk.session import scratch_path
 
 #: The rules of the URL query.
 URL_RULES = (
@@ -46,6 +49,18 @@ LICENSES = {
 }
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate(docs, table(spark, sf_dir, "benchmark")).select(
+        "doc_id",
+        "hits.n_words",
+        "hits.n_hit",
+        F.size("hits.items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("hits.items", ","), 256).alias("items_sha256"),
+        "hits.contaminated",
+    )
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes of every document: the sum of its draws."""
     draws = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -76,13 +91,50 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), known)
 
 
+def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-ids")
+    encode_tokens(table(spark, sf_dir, "documents"), path)
+    return decode_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_mix_sources": op2_mix_sources,
     "op4_line_dedup": op4_line_dedup,
     "op5_url_filter": op5_url_filter,
     "op8_license_scan": op8_license_scan,
+    "op10_token_ids": op10_token_ids,
 }
 
+OP1_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS size, array_to_string(w[b:b + least(13, len(w)) - 1], ' ') AS win
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS b FROM items WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT size FROM windows
+), spans AS (
+  SELECT r, b, size, array_to_string(w[b:b + size - 1], ' ') AS win
+  FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS b FROM docs, sizes WHERE len(w) >= size)
+), found AS (SELECT r, b, size, item_id FROM spans JOIN windows USING (size, win)
+), hit AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(b, b + size)) AS p FROM found) GROUP BY r
+), own AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM found WHERE item_id IS NOT NULL) GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN own USING (r)
+"""
+
 OP4_SQL = r"""
 WITH numbered AS (
   SELECT row_number() OVER () AS r, doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents
@@ -148,4 +200,4 @@ FROM docs LEFT JOIN doc_whole w USING (r) LEFT JOIN ids ON w.whole = ids.whole L
 
 
 #: The permuted order of the mix comes from Spark's hash, so SQL checks size, source_size and target by tests.
-ORACLES: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op5_url_filter": OP5_SQL, "op8_license_scan": _op8_sql()}
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op4_line_dedup": OP4_SQL, "op5_url_filter": OP5_SQL, "op8_license_scan": _op8_sql()}
