@@ -12,6 +12,7 @@ from gridrisk.llm.decontaminate import decontaminate
 from gridrisk.llm.licenses import COPYRIGHT, SPELLINGS, scan_licenses
 from gridrisk.llm.lines import dedup_lines
 from gridrisk.llm.mixing import mix
+from gridrisk.llm.near import near_duplicates
 from gridrisk.llm.tokens import decode_tokens, encode_tokens
 from gridrisk.llm.urls import judge_urls
 from gridrisk.session import scratch_path
@@ -75,6 +76,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select(
         "doc_id", "cut.n_lines", "cut.n_removed", F.md5("cut.text").alias("text_md5")
@@ -100,6 +105,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mix_sources": op2_mix_sources,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_line_dedup": op4_line_dedup,
     "op5_url_filter": op5_url_filter,
     "op8_license_scan": op8_license_scan,
