@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridrisk.llm.common import packed, written
+from gridrisk.llm.common import packed, ship, written
 
 #: Consecutive words of a window; a shorter item is one window.
 WINDOW = 13
@@ -167,6 +167,7 @@ def decontaminate(
     The window set is broadcast in blocks of at most ``block_bytes`` of benchmark text (or one
     item), one block after the other with a written table in between. Documents are never shuffled.
     """
+    ship(docs.sparkSession)
     nothing = "named_struct('n_words', 0L, 'runs', CAST(array() AS array<int>), 'items', CAST(array() AS array<string>))"
     out = docs.select(packed(docs, "hits").alias("row"), F.expr(nothing).alias("hit"))
     for number, block in enumerate(benchmark_blocks(benchmark, block_bytes)):

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridrisk.llm.common import packed, written
+from gridrisk.llm.common import packed, ship, written
 from gridrisk.llm.components import components
 
 #: Words of a shingle and the least similarity in percent, unless the caller says otherwise.
@@ -274,6 +274,7 @@ def near_duplicates(
     link is confirmed on the full sets of 64-bit shingle hashes. What can be lost is a pair that
     shares no band or that the test prunes: about one in 100,000 at the least similarity for 80 %.
     """
+    ship(docs.sparkSession)
     rows = written(near_classes(docs, shingle), "near-rows")
     known = rows.where("doc_id IS NOT NULL AND digest IS NOT NULL")
     classes = written(

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from gridrisk.llm.common import table
 from gridrisk.llm.decontaminate import decontaminate
+from gridrisk.llm.langid import identify_language
 from gridrisk.llm.licenses import COPYRIGHT, SPELLINGS, scan_licenses
 from gridrisk.llm.lines import dedup_lines
+from gridrisk.llm.lm import lm_scores
 from gridrisk.llm.mixing import mix
 from gridrisk.llm.near import near_duplicates
+from gridrisk.llm.neighbours import nearest
 from gridrisk.llm.tokens import decode_tokens, encode_tokens
 from gridrisk.llm.urls import judge_urls
 from gridrisk.session import scratch_path
@@ -91,11 +94,25 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "judged.*")
 
 
+def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = spark.createDataFrame(list(LICENSES.items()), "license_id string, text string")
     return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), known)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return identify_language(docs).select("doc_id", held_out.alias("held_out"), "language.*")
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-ids")
     encode_tokens(table(spark, sf_dir, "documents"), path)
@@ -108,7 +125,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_duplicates": op3_near_duplicates,
     "op4_line_dedup": op4_line_dedup,
     "op5_url_filter": op5_url_filter,
+    "op6_nearest_vectors": op6_nearest_vectors,
+    "op7_lm_score": op7_lm_score,
     "op8_license_scan": op8_license_scan,
+    "op9_language_id": op9_language_id,
     "op10_token_ids": op10_token_ids,
 }
 

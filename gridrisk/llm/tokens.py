@@ -14,6 +14,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridrisk.llm.common import ship
+
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 #: Ids after which a block ends with its document.
@@ -219,6 +221,7 @@ def encode_tokens(
         if doc_ids:
             yield block()
 
+    ship(docs.sparkSession)
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     (
         docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"])
@@ -235,6 +238,7 @@ def decode_tokens(spark: SparkSession, path: str) -> DataFrame:
     ``start`` counts the ids of all documents before it: those of earlier parts (one row a part in
     one window), of earlier blocks of its part, and of earlier documents of its block.
     """
+    ship(spark)
     files = spark.read.schema(BLOCKS).parquet(path)
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

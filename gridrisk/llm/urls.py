@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridrisk.llm.common import ascii_lower, packed, written
+from gridrisk.llm.common import ascii_lower, packed, ship, written
 
 #: Entries of one broadcast trie; a longer list is walked in several tries, one after the other.
 BLOCK_RULES = 200_000
@@ -117,6 +117,7 @@ def judge_urls(
     The list is split by hash into tries of about ``block_rules`` entries; each trie is broadcast
     alone, and a written table stands between two of them.
     """
+    ship(pages.sparkSession)
     rules = rules.select(
         F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict"
     ).where(F.col("verdict").isNotNull())
