@@ -155,6 +155,7 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 
 def mix(
     docs: DataFrame,
+    carry: tuple[str, ...] | None = None,
     weights: tuple[int, ...] = WEIGHTS,
     repeats: int = REPEATS,
     shard_words: int = SHARD_WORDS,
@@ -174,19 +175,25 @@ def mix(
     A document without a draw has one row with null copy and 0 words; a null text or one without
     words has size 0 and never a draw. A null source is a source of its own, the last one. Equal
     rows are separate documents (``n`` numbers the rows inside ``bucket`` of a source). An empty
-    table gives an empty result. Any extra columns stay inside ``row``.
+    table gives an empty result. ``carry`` names the columns of ``row``; without it all are kept.
 
     The order is found in hash buckets of about ``BUCKET_WORDS`` words, so a source with a third of
-    all rows is spread like the others; windows over a whole source see one row per bucket or block.
+    all rows is spread like the others; windows over a whole source see one row per bucket or shard.
+    What travels with a document goes through one shuffle: a bucket knows its place in the stream
+    and the shards of the few blocks it meets, and joins its documents where they are.
     """
     sized = docs.select(
-        packed(docs).alias("row"),
-        docs["source"],
+        (packed(docs) if carry is None else F.struct(*carry)).alias("row"),
+        docs["source"].alias("source"),
+        # Nulls would keep the join below from using the window's partitioning.
+        F.coalesce(F.concat(F.lit("="), docs["source"]), F.lit("")).alias("skey"),
         word_count(docs["text"]).alias("size"),
         F.xxhash64(F.lit(seed), docs["doc_id"], docs["text"]).alias("key"),
+        docs["doc_id"].alias("id"),
+    )
+    targets = written(
+        source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats), "mix-targets"
     )
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = written(source_targets(sources, weights, repeats), "mix-targets")
     whole = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("words")).first()["words"]
     shards = max(1, -(-whole // shard_words))
     quotas = targets.select("source", F.ceil(F.round("target") / block_words).cast("bigint").alias("blocks"))
@@ -196,67 +203,74 @@ def mix(
         .withColumn("end", F.sum("blocks").over(by_shard))
         .where(F.col("blocks") > 0)
         .select(
-            F.col("source").alias("b_source"),
+            F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("skey"),
             "shard",
             F.explode(F.sequence(F.col("end") - F.col("blocks"), F.col("end") - 1)).alias("block"),
         )
     )
-
-    placed = (
-        sized.alias("d")
-        .join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
-        .select("row", "d.source", "size", "key", "source_size", "target")
-        .withColumn("buckets", F.ceil(F.col("source_size") / BUCKET_WORDS) + 1)
-        .withColumn("bucket", F.pmod(F.shiftright("key", 8), F.col("buckets")))
+    targets = targets.select(
+        F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("skey"), "source_size", "target"
     )
-    totals = placed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    so_far = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    starts = totals.select(
-        F.col("source").alias("s_source"),
-        F.col("bucket").alias("s_bucket"),
-        (F.sum("words").over(so_far) - F.col("words")).alias("bucket_start"),
+    bucket_of = F.pmod(F.shiftright("key", 8), F.ceil(F.col("source_size") / BUCKET_WORDS) + 1).alias("bucket")
+    placed = sized.join(targets, "skey").select(
+        "row", "source", "skey", "size", "key", "id", "source_size", "target", bucket_of
     )
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "row.doc_id", "size")
-    in_order = placed.withColumn("n", F.row_number().over(inside)).withColumn(
-        "before", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
+    so_far = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = (
+        placed.groupBy("skey", "bucket", "source_size")
+        .agg(F.sum("size").alias("words"))
+        .withColumn("start", F.sum("words").over(so_far) - F.col("words"))
     )
-    drawn = (
-        in_order.join(
-            starts, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("bucket") == F.col("s_bucket"))
-        )
-        .withColumn("at", F.col("bucket_start") + F.col("before"))
-        .withColumn("quota", F.round("target").cast("bigint"))
+    passes = F.expr(
+        f"explode(flatten(transform(sequence(0, {repeats} - 1), c -> sequence("
+        f"(c * source_size + start) DIV {block_words}, "
+        f"(c * source_size + start + greatest(words, 1L) - 1) DIV {block_words}))))"
+    )
+    met = (
+        starts.select("skey", "bucket", passes.alias("block"))
+        .distinct()
+        .join(dealt, ["skey", "block"])
+        .groupBy("skey", "bucket")
+        .agg(F.map_from_entries(F.collect_list(F.struct("block", "shard"))).alias("shards"))
+    )
+    starts = starts.join(met, ["skey", "bucket"], "left").select("skey", "bucket", "start", "shards")
+
+    inside = Window.partitionBy("skey", "bucket").orderBy("key", "id", "size")
+    draws = F.expr(
+        f"filter(transform(sequence(0, {repeats} - 1), c -> named_struct('copy', c, "
+        "'begin', c * source_size + at, "
+        "'words', greatest(0L, least(size, CAST(round(target) AS BIGINT) - (c * source_size + at))))), d -> d.words > 0)"
+    )
+    return (
+        placed.withColumn("n", F.row_number().over(inside))
         .withColumn(
-            "draws",
-            F.expr(
-                "filter(transform(sequence(0, " + str(repeats) + " - 1), c -> named_struct('copy', c, "
-                "'begin', c * source_size + at, 'words', greatest(0L, least(size, quota - (c * source_size + at))))), "
-                "d -> d.words > 0)"
-            ),
+            "before",
+            F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"),
         )
+        .join(starts, ["skey", "bucket"])
+        .withColumn("at", F.col("start") + F.col("before"))
+        .withColumn("d", F.explode_outer(draws))
         .select(
-            "row", "source", "bucket", "n", "size", "source_size", "target", "key", F.explode_outer("draws").alias("d")
+            "row",
+            "source",
+            "bucket",
+            "n",
+            "size",
+            "source_size",
+            "target",
+            F.col("d.copy").alias("copy"),
+            F.coalesce("d.words", F.lit(0).cast("bigint")).alias("words"),
+            F.get(F.map_values(F.map_filter("shards", lambda k, _: k == F.expr(f"d.begin DIV {block_words}"))), 0).alias(
+                "shard"
+            ),
+            F.xxhash64("key", "n", "d.copy").alias("place"),
         )
     )
-    return drawn.join(
-        dealt,
-        F.col("source").eqNullSafe(F.col("b_source")) & (F.floor(F.col("d.begin") / block_words) == F.col("block")),
-        "left",
-    ).select(
-        "row",
-        "source",
-        "bucket",
-        "n",
-        "size",
-        "source_size",
-        "target",
-        F.col("d.copy").alias("copy"),
-        F.coalesce("d.words", F.lit(0).cast("bigint")).alias("words"),
-        "shard",
-        F.xxhash64("key", "n", "d.copy").alias("place"),
-    )
 
 
 def first_words(text: Column, words: Column) -> Column:
-    """The text up to the end of its word number ``words``."""
-    return F.regexp_extract(text, F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), words, F.lit("}")), 0)
+    """The text up to its word number ``words``; the whole text if it has no more."""
+    blank = r"[\x20\x09-\x0D]"
+    lead = text.rlike("^" + blank).cast("int")
+    rest = F.get(F.split(text, blank + "+", words.cast("int") + lead + 1), words.cast("int") + lead)
+    return F.when(rest.isNull(), text).otherwise(F.substring(text, F.lit(1), F.length(text) - F.length(rest)))

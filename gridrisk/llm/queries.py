@@ -67,7 +67,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes of every document: the sum of its draws."""
-    draws = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    draws = mix(table(spark, sf_dir, "documents"), carry=("doc_id",))
     return (
         draws.groupBy("source", "bucket", "n")
         .agg(
