@@ -272,10 +272,12 @@ def _(t):
     return K.join_alert(readiness(t), K.cve_urgency(newest, pressure(rows)))
 
 
-STEPS["ready_top"] = "SELECT geo_id, solar_readiness FROM r_alert ORDER BY solar_readiness DESC, geo_id LIMIT 10"
 STEPS["alert_rows"] = """
-SELECT u.cve_id, geo_id, affected_vendors, vendor_cyber_pressure, solar_readiness, vendor_cyber_pressure * solar_readiness AS alert_score
-FROM cve_urgent u JOIN cve_tags c ON u.cve_id = c.cve_id, ready_top WHERE c.cvss_v3_score >= 7 AND named <> ''
+SELECT cve_id, geo_id, affected_vendors, vendor_cyber_pressure, solar_readiness, alert_score FROM (
+  SELECT u.cve_id, geo_id, affected_vendors, vendor_cyber_pressure, solar_readiness, vendor_cyber_pressure * solar_readiness AS alert_score,
+         row_number() OVER (PARTITION BY u.cve_id ORDER BY vendor_cyber_pressure * solar_readiness DESC,
+                            CASE WHEN vendor_cyber_pressure > 0 THEN solar_readiness END DESC, geo_id) AS place
+  FROM cve_urgent u JOIN cve_tags c ON u.cve_id = c.cve_id, r_alert WHERE c.cvss_v3_score >= 7 AND named <> '') ranked WHERE place <= 10
 """
 
 

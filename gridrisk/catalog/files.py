@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import functions as F
 
 from gridrisk import adapters
@@ -36,7 +38,8 @@ _PARCEL_FILE = ["record_id", "property_address", "city", "state", "zip_code", "t
 
 @query("scan_csv_typed", f"SELECT {', '.join(_PARCEL_FILE)} FROM v_parcels", ["total_assessed_value", "latitude"])
 def _(t):
-    path = land(t, t.v_parcels.select(*_PARCEL_FILE), "csv", "parcels")
+    note = F.lit('two\nlines, "quoted"').alias("note")
+    path = land(t, t.v_parcels.select(note, *reversed(_PARCEL_FILE)), "csv", "parcels")
     raw = R.read_csv_strings(t.spark, path, _PARCEL_FILE)
     return R.typed(raw, doubles=["total_assessed_value", "latitude"], ints=["year_built"], longs=["record_id"])
 
@@ -48,7 +51,7 @@ _AVM_FILE = ["record_id_avm", "address", "city", "state", "zip_code", "final_val
 def _(t):
     from gridrisk.operators import parcels as P
 
-    path = land(t, t.v_avm.select(*_AVM_FILE), "csv", "avm")
+    path = land(t, t.v_avm.select(*reversed(_AVM_FILE), F.lit("a\nb").alias("note")), "csv", "avm")
     avm = R.typed(R.read_csv_strings(t.spark, path, _AVM_FILE), doubles=["final_value"], longs=["record_id_avm"])
     kept = P.semi_avm_prefilter(P.normalize_avm(avm), P.normalize_parcels(t.v_parcels))
     return kept.select("record_id_avm", "final_value", "valuation_date")
@@ -65,7 +68,10 @@ def _(t):
 
 @query("scan_kev", "SELECT trim(cveID) AS cve_id, vendorProject, dateAdded FROM v_kev")
 def _(t):
-    rows = t.v_kev.select(*[F.col(c) for c in R.S.KEV_COLUMNS])
+    published = ["cveID", "vendorProject", "product", "vulnerabilityName", "dateAdded", "shortDescription",
+                 "requiredAction", "dueDate", "knownRansomwareCampaignUse", "notes"]
+    extra = t.v_kev.withColumns({"vulnerabilityName": F.lit("name"), "notes": F.lit("line\nbreak")})
+    rows = extra.select(*published)
     kev = R.read_kev_csv(t.spark, land(t, rows, "csv", "kev"))
     return kev.select(F.trim("cveID").alias("cve_id"), "vendorProject", "dateAdded")
 
@@ -84,6 +90,17 @@ def _(t):
     return V.flatten_cves(R.read_cve_pages(t.spark, path)).select("seq", "cve_id", "published_date", "description", "cvss_score")
 
 
+@query("scan_cve_pages", "SELECT cve_id, keyword, published_date, description, cvss_score FROM h_flat", ["cvss_score"])
+def _(t):
+    """Pages as they are published: indented, many records each, without ``seq`` and ``keyword``."""
+    hits = adapters.cve_pages(t.v_cve_hits).select("keyword", F.pmod("seq", F.lit(8)).alias("page"), F.explode("vulnerabilities").alias("v"))
+    pages = hits.groupBy("keyword", "page").agg(F.collect_list("v").alias("vulnerabilities"))
+    body = F.to_json(F.struct("vulnerabilities"), {"pretty": "true"}).alias("value")
+    path = scratch_path(t.spark, "cve-pages")
+    pages.select("keyword", "page", body).write.partitionBy("keyword", "page").text(path)
+    return V.flatten_cves(R.read_cve_pages(t.spark, path)).select("cve_id", "keyword", "published_date", "description", "cvss_score")
+
+
 _DEVICE = ["ip", "port", "vendor", "country", "has_tls", "firmware_version", "ingest_seq"]
 
 
@@ -202,13 +219,14 @@ def _(t):
 
 @query("ingest_audit", """
 SELECT (SELECT count(DISTINCT keyword) FROM v_cve_hits) AS nvd_keyword_count, (SELECT count(DISTINCT cve_id) FROM v_cve_hits) AS nvd_cve_count,
-       (SELECT count(*) FROM merged_kev WHERE cisa_kev = 1) AS kev_cve_count, 'full sync' AS notes
+       (SELECT count(*) FROM merged_kev WHERE cisa_kev = 1) AS kev_cve_count, 'full sync' AS notes, TRUE AS in_time
 """)
 def _(t):
     path = scratch_path(t.spark, "ingest-runs")
-    run = V.ingest_run(TC.flat(t), TC.merged_kev(t), F.current_timestamp(), "full sync")
+    started = datetime.now(UTC)
+    run = V.ingest_run(TC.flat(t), TC.merged_kev(t), started, "full sync")
     W.append_audit(t.spark, path, run)
-    return t.spark.read.parquet(path).drop("started_at", "completed_at")
+    return t.spark.read.parquet(path).withColumn("in_time", F.col("started_at") < F.col("completed_at")).drop("started_at", "completed_at")
 
 
 @query("geojson_layer", """

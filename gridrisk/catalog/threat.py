@@ -12,6 +12,7 @@ from gridrisk.functions.matching import matched_keywords
 from gridrisk.functions.text import date_prefix, is_relevant_text
 from gridrisk.operators import threat as T
 from gridrisk.operators import vulnerabilities as V
+from gridrisk.plans import jobs as J
 from gridrisk.session import scratch_path
 from gridrisk.sources import readers
 from gridrisk.sources.writers import write_table
@@ -288,7 +289,7 @@ STEPS["h_first"] = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cve
 def hits(t):
     """Parsed records: the page documents are serialised and parsed again from their text."""
     pages = adapters.cve_pages(t.v_cve_hits).select(F.to_json(F.struct("*")).alias("page"))
-    schema = readers.S.cve_page_schema()
+    schema = readers.S.CVE_PAGE_SCHEMA
     return readers.explode_cve_pages(pages.select(F.from_json("page", schema).alias("p")).select("p.*"))
 
 
@@ -506,7 +507,23 @@ SELECT 'cves' AS metric, count(*) AS value FROM merged_kev
 UNION ALL SELECT 'kev_cves', count(*) FROM merged_kev WHERE cisa_kev = 1
 UNION ALL SELECT 'affected_products', count(*) FROM h_products
 UNION ALL SELECT 'references', count(*) FROM h_first
+UNION ALL SELECT 'keywords', count(DISTINCT keyword) FROM v_cve_hits
+UNION ALL SELECT 'vendor: ' || vendor, count(DISTINCT cve_id) FROM h_products WHERE vendor IS NOT NULL GROUP BY vendor
 """)
 def _(t):
     first = V.dedup_cve_first(hits(t))
-    return V.sync_summary(merged_kev(t), V.explode_products(first), V.explode_references(first))
+    return V.sync_summary(merged_kev(t), V.explode_products(first), V.explode_references(first), hits(t))
+
+
+@query("sync_job", f"""
+SELECT m.cve_id, m.source, m.description, m.cisa_kev, m.kev_date_added, m.has_cwe, CASE WHEN m.source = 'NVD' THEN h.vuln_status END AS vuln_status
+FROM merged_kev m LEFT JOIN h_last h ON m.cve_id = h.cve_id
+""")
+def _(t):
+    """Two runs: the first keyword with the catalogue's first state, then both with the whole catalogue."""
+    base = scratch_path(t.spark, "sync")
+    early = t.v_kev.filter("seq < 100000000")
+    J.sync_job(records(t).filter("keyword = 'solar inverter'"), early, f"{base}/1", None)
+    return J.sync_job(records(t), t.v_kev, f"{base}/2", f"{base}/1").select(
+        "cve_id", "source", "description", "cisa_kev", "kev_date_added", "has_cwe", "vuln_status"
+    )

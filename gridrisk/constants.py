@@ -59,11 +59,6 @@ BANNER_VENDOR_KEYWORDS = [
     ("SolarView", ["solarview", "solar view"]),
 ]
 
-# The published vendor rule reads only this many characters of the page, and the firmware rule
-# this many. Pass them as ``html_chars`` for strict parity; the default reads the whole page.
-VENDOR_HTML_WINDOW = 500
-FIRMWARE_HTML_WINDOW = 1000
-
 DEFAULT_CREDENTIAL_HINTS = ["123456", "default password", "admin/admin", "password: admin"]
 
 # Tried in this order inside each text.

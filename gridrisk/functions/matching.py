@@ -29,14 +29,12 @@ def identify_vendor(
     product: Column,
     title: Column,
     html: Column,
-    html_chars: int | None = None,
     fallback: Column | None = None,
     rules: Sequence[tuple[str, Sequence[str]]] = C.BANNER_VENDOR_KEYWORDS,
 ) -> Column:
-    """Vendor named by an observation, reading the whole page unless ``html_chars`` is given."""
-    page = html if html_chars is None else F.substring(html, 1, html_chars)
+    """Vendor named by an observation, reading the whole page."""
     text = F.lower(
-        F.concat_ws(" ", *[F.coalesce(part, F.lit("")) for part in (banner, product, title, page)])
+        F.concat_ws(" ", *[F.coalesce(part, F.lit("")) for part in (banner, product, title, html)])
     )
     default = F.lit("Unknown") if fallback is None else F.coalesce(fallback, F.lit("Unknown"))
     return first_match([(contains_any(text, words), F.lit(v)) for v, words in rules], default)
@@ -46,14 +44,11 @@ def default_credentials(banner: Column) -> Column:
     return contains_any(F.lower(F.coalesce(banner, F.lit(""))), C.DEFAULT_CREDENTIAL_HINTS)
 
 
-def firmware_version(
-    banner: Column, headers: Column, html: Column, html_chars: int | None = None
-) -> Column:
+def firmware_version(banner: Column, headers: Column, html: Column) -> Column:
     """First version number found; all patterns are tried on one text before the next text."""
-    page = html if html_chars is None else F.substring(html, 1, html_chars)
     hits = [
         empty_to_null(F.regexp_extract(text, "(?i)" + pattern, 1))
-        for text in (banner, headers, page)
+        for text in (banner, headers, html)
         for pattern in C.FIRMWARE_PATTERNS
     ]
     return F.coalesce(*hits)

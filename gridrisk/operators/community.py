@@ -305,14 +305,20 @@ def join_alert(communities: DataFrame, one_urgency: DataFrame) -> DataFrame:
 def alert_top_n(urgencies: DataFrame, communities: DataFrame, n: int = C.ALERT_TOP_N) -> DataFrame:
     """The n highest alert scores of every CVE.
 
-    A CVE's urgency scales all communities alike, so its top n are the n readiest communities.
-    They are found once and attached as one short list; no pairs are built beyond the answer.
-    Ties go by community id.
+    A positive urgency scales all communities alike, so the top n are the n readiest communities;
+    with an urgency of 0 all scores tie. Both short lists are found once and attached; no pairs are
+    built beyond the answer. Ties go by community id.
     """
-    ready = communities.select("geo_id", "solar_readiness").orderBy(F.desc("solar_readiness"), "geo_id").limit(n)
-    listed = ready.agg(F.collect_list(F.struct("geo_id", "solar_readiness")).alias("c"))
+    known = communities.select("geo_id", "solar_readiness").filter("solar_readiness IS NOT NULL")
+
+    def listed(*order: Column) -> Column:
+        return known.orderBy(*order).limit(n).agg(F.collect_list(F.struct("geo_id", "solar_readiness"))).scalar()
+
+    ready = listed(F.desc("solar_readiness"), F.col("geo_id"))
     return (
-        urgencies.withColumn("c", F.explode(listed.scalar()))
+        urgencies.withColumn(
+            "c", F.explode(F.when(F.col("vendor_cyber_pressure") > 0, ready).otherwise(listed(F.col("geo_id"))))
+        )
         .select("cve_id", "c.geo_id", "affected_vendors", "vendor_cyber_pressure", "c.solar_readiness")
         .withColumn("alert_score", F.col("vendor_cyber_pressure") * F.col("solar_readiness"))
     )

@@ -13,8 +13,7 @@ from gridrisk.functions.text import contains_any, date_prefix
 from gridrisk.operators.parcels import first_per_key
 
 
-def flatten_device(observations: DataFrame, fallback: bool = False, html_chars: int | None = None,
-                   firmware_html_chars: int | None = None) -> DataFrame:
+def flatten_device(observations: DataFrame, fallback: bool = False) -> DataFrame:
     """Nested observation → flat device record of 28 fields plus ``ingest_seq``.
 
     ``fallback`` uses the searched vendor when none is identified.
@@ -31,7 +30,7 @@ def flatten_device(observations: DataFrame, fallback: bool = False, html_chars:
         "port",
         F.coalesce("transport", F.lit("tcp")).alias("transport"),
         M.identify_vendor(
-            o("data"), o("product"), o("http.title"), o("http.html"), html_chars,
+            o("data"), o("product"), o("http.title"), o("http.html"),
             fallback=o("query_vendor") if fallback else None,
         ).alias("vendor"),
         "query_vendor",
@@ -55,7 +54,7 @@ def flatten_device(observations: DataFrame, fallback: bool = False, html_chars:
         F.coalesce(F.array_contains(ports, C.MODBUS_PORT), F.lit(False)).alias("has_modbus"),
         F.coalesce(F.array_contains(ports, C.MQTT_PORT), F.lit(False)).alias("has_mqtt"),
         M.default_credentials(o("data")).alias("default_creds_indicator"),
-        M.firmware_version(o("data"), o("http.headers"), o("http.html"), firmware_html_chars).alias("firmware_version"),
+        M.firmware_version(o("data"), o("http.headers"), o("http.html")).alias("firmware_version"),
         blank(date_prefix(o("timestamp"))).alias("last_seen"),
         blank(o("observation_id")).alias("observation_id"),
     )

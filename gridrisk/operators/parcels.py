@@ -68,23 +68,14 @@ def normalize_geo(df: DataFrame) -> DataFrame:
     )
 
 
-MAX_BROADCAST_STATES = 10_000
-
-
-def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
-    """Broadcast a table that a count proves to have at most ``limit`` rows, else leave it alone."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def semi_avm_prefilter(avm: DataFrame, parcels: DataFrame) -> DataFrame:
     """Valuations whose state occurs among the parcels and whose ZIP does, independently.
 
-    Normalised ZIPs are five digits or blank, so their list has at most 100,001 rows and is
-    broadcast. States are free text: they are broadcast after a count, and joined by shuffle when
-    there are too many. Without this the valuations would be shuffled by state, mostly to one task.
+    One distinct (state, zip) pass feeds both lists. There is no hint: Spark broadcasts a list whose
+    measured size allows it and splits a skewed valuation side otherwise.
     """
-    states = broadcast_if_small(parcels.select("state").distinct(), MAX_BROADCAST_STATES)
-    zips = F.broadcast(parcels.select("zip_code").distinct())
+    places = parcels.select("state", "zip_code").distinct()
+    zips, states = places.select("zip_code").distinct(), places.select("state").distinct()
     return avm.join(zips, "zip_code", "left_semi").join(states, "state", "left_semi")
 
 

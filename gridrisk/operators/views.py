@@ -21,7 +21,6 @@ TOP_COLUMNS = [
     "solar_candidate_share", "owner_occupancy_rate", "single_family_share", "median_home_value",
     "median_household_income", "total_housing_units",
 ]
-MAX_TOP = 100
 
 
 def join_centroids(scores: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -40,9 +39,7 @@ def view_risk(scores: DataFrame, centroids: DataFrame) -> DataFrame:
 
 
 def view_top_zips(located: DataFrame, n: int = 25) -> DataFrame:
-    """The n highest scores, n up to 100; ties by community id."""
-    if n > MAX_TOP:
-        raise ValueError(f"n must be at most {MAX_TOP}")
+    """The n highest scores; ties by community id."""
     ranked = located.orderBy(F.desc("community_risk_prior_score"), "geo_id").limit(n)
     return ranked.select(*_present(ranked, TOP_COLUMNS))
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import json
+from datetime import datetime
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from gridrisk import constants as C
 from gridrisk.functions.text import contains_any, date_prefix, empty_to_null
 from gridrisk.operators.parcels import first_per_key
+from gridrisk.sources.schemas import CPE_MATCH
 
 
 def first_english(descriptions: Column) -> Column:
@@ -105,33 +111,41 @@ def keyword_hits(hits: DataFrame) -> DataFrame:
     return hits.select(F.col("cve.id").alias("cve_id"), "keyword")
 
 
-def _matches_below(nodes: Column, depth: int) -> Column:
-    """All match lists in a node list and, to the declared depth, in the lists inside it."""
-    empty = F.array().cast(_MATCH_TYPE)
-    own = F.flatten(F.transform(nodes, lambda n: F.coalesce(n["cpeMatch"], empty)))
-    if depth == 1:
-        return F.coalesce(own, empty)
-    deeper = F.flatten(F.transform(nodes, lambda n: _matches_below(n["nodes"], depth - 1)))
-    return F.concat(F.coalesce(own, empty), F.coalesce(deeper, empty))
+def _configurations(hits: DataFrame) -> Column:
+    """The configurations as JSON text, whether landed as text or already parsed."""
+    kind = dict(hits.select(F.col("cve.configurations").alias("c")).dtypes)["c"]
+    return F.col("cve.configurations") if kind == "string" else F.to_json("cve.configurations")
 
 
-_MATCH_TYPE = (
-    "array<struct<criteria:string,vulnerable:boolean,versionStartIncluding:string,"
-    "versionStartExcluding:string,versionEndIncluding:string,versionEndExcluding:string>>"
-)
+def _all_matches(configurations: Column) -> Column:
+    """JSON texts of every match in a configuration list, however deep its nodes nest.
 
+    Recursion over a tree of unknown depth is beyond column expressions, so this is an Arrow-batched
+    function; it yields texts that are parsed with a declared schema.
+    """
 
-def explode_products(hits: DataFrame, depth: int = 4) -> DataFrame:
-    """Affected products of every configuration node, nested nodes included."""
-    empty = F.array().cast(_MATCH_TYPE)
-    rows = (
-        hits.select(F.col("cve.id").alias("cve_id"), F.explode("cve.configurations").alias("config"))
-        .select(
-            "cve_id",
-            F.explode(
-                F.concat(F.coalesce(F.col("config.cpeMatch"), empty), _matches_below(F.col("config.nodes"), depth))
-            ).alias("m"),
-        )
+    def walk(text: str | None) -> list[str]:
+        waiting, found = [json.loads(text)] if text else [], []
+        while waiting:
+            at = waiting.pop()
+            if isinstance(at, list):
+                waiting.extend(reversed(at))
+            elif isinstance(at, dict):
+                found.extend(json.dumps(m) for m in at.get("cpeMatch") or ())
+                waiting.extend(reversed([at.get("children"), at.get("nodes")]))
+        return found
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def matches(texts: pd.Series) -> pd.Series:
+        return texts.map(walk)
+
+    return matches(configurations)
+
+
+def explode_products(hits: DataFrame) -> DataFrame:
+    """Affected products of every configuration node, nested nodes of any depth included."""
+    rows = hits.select(F.col("cve.id").alias("cve_id"), F.explode(_all_matches(_configurations(hits))).alias("text")).select(
+        "cve_id", F.from_json("text", CPE_MATCH).alias("m")
     )
     criteria = F.coalesce(F.col("m.criteria"), F.lit(""))
     return rows.withColumn("cpe", cpe_parse(criteria)).select(
@@ -147,13 +161,12 @@ def explode_products(hits: DataFrame, depth: int = 4) -> DataFrame:
     )
 
 
-def unparsed_nodes(hits: DataFrame, depth: int = 4) -> DataFrame:
-    """Count of CVEs whose node lists nest deeper than the declared depth (should be zero)."""
-    level = F.col("cve.configurations")
-    for _ in range(depth):
-        level = F.flatten(F.transform(level, lambda n: n["nodes"]))
-    raw = F.filter(F.transform(level, lambda n: n["nodes"]), lambda t: t.isNotNull() & (t != "[]"))
-    return hits.select(F.count(F.when(F.size(raw) > 0, F.lit(1))).alias("too_deep"))
+def unparsed_nodes(hits: DataFrame) -> DataFrame:
+    """Count of CVEs of which the walk finds fewer matches than their text has criteria (should be zero)."""
+    text = _configurations(hits)
+    written = F.coalesce(F.regexp_count(text, F.lit(r'"criteria"\s*:')), F.lit(0))
+    rows = hits.select(written.alias("n"), _all_matches(text).alias("found"))
+    return rows.select(F.count(F.when(F.size("found") < F.col("n"), F.lit(1))).alias("too_deep"))
 
 
 def explode_references(hits: DataFrame) -> DataFrame:
@@ -175,57 +188,59 @@ def kev_relevant(vendor: Column, product: Column, description: Column, action: C
     return contains_any(F.lower(F.concat_ws(" ", *parts)), C.KEV_TERMS)
 
 
-def latest_kev(kev: DataFrame) -> DataFrame:
-    """One row per trimmed CVE id; a later catalogue row wins."""
-    keyed = kev.withColumn("cve_id", F.trim(F.coalesce(F.col("cveID"), F.lit("")))).filter(F.col("cve_id") != "")
-    return first_per_key(keyed, "cve_id", F.col("seq").desc())
+_KEV_FIELDS = {
+    "kev_vendor_project": "vendorProject",
+    "kev_product": "product",
+    "kev_date_added": "dateAdded",
+    "kev_required_action": "requiredAction",
+    "kev_due_date": "dueDate",
+    "known_ransomware_use": "knownRansomwareCampaignUse",
+}
 
 
-def merge_kev(cves: DataFrame, kev: DataFrame) -> DataFrame:
-    """Full outer merge of the exploited-vulnerability catalogue into ``cves``.
+def latest_kev(kev: DataFrame) -> DataFrame:
+    """One row per trimmed CVE id: the last catalogue row, and the description of the first relevant one.
 
-    A known CVE takes the catalogue fields; an unknown one is added only when a row of it is
-    relevant. The catalogue is deduplicated first, so no CVE can fan out.
+    A CVE that no search has found enters at its first relevant row, and later rows then update it.
     """
     relevant = kev_relevant(
         F.col("vendorProject"), F.col("product"), F.col("shortDescription"), F.col("requiredAction")
     )
-    # An unknown CVE enters at its first relevant row and later rows then update it.
     keyed = kev.withColumn("cve_id", F.trim(F.coalesce(F.col("cveID"), F.lit("")))).filter(F.col("cve_id") != "")
-    entry = first_per_key(keyed.filter(relevant), "cve_id", F.col("seq").asc()).select(
-        "cve_id", F.coalesce("shortDescription", F.lit("")).alias("entry_description")
-    )
-    right = latest_kev(kev).join(entry, "cve_id", "left").select(
-        "cve_id",
-        F.lit(1).alias("in_kev"),
-        F.col("vendorProject").alias("k_vendor"),
-        F.col("product").alias("k_product"),
-        F.col("dateAdded").alias("k_added"),
-        F.col("requiredAction").alias("k_action"),
-        F.col("dueDate").alias("k_due"),
-        F.col("knownRansomwareCampaignUse").alias("k_ransom"),
-        "entry_description",
+    last = F.max_by(F.struct(*[F.col(source).alias(name) for name, source in _KEV_FIELDS.items()]), "seq")
+    entry = F.min_by(F.coalesce("shortDescription", F.lit("")), F.when(relevant, F.col("seq")))
+    return keyed.groupBy("cve_id").agg(
+        last.alias("k"), F.when(F.max(relevant), entry).alias("entry_description")
+    ).select("cve_id", "k.*", "entry_description")
+
+
+def merge_kev(cves: DataFrame, kev: DataFrame) -> DataFrame:
+    """Full outer merge of the exploited-vulnerability catalogue into ``cves``, new or stored.
+
+    A known CVE takes the catalogue fields; an unknown one is added only when a row of it is
+    relevant. The catalogue has one row per CVE, so no CVE can fan out. Catalogue fields that
+    ``cves`` already carries from an earlier run stay where the catalogue has no row.
+    """
+    right = latest_kev(kev).select(
+        "cve_id", F.lit(1).alias("in_kev"), "entry_description", *[F.col(c).alias(f"new_{c}") for c in _KEV_FIELDS]
     )
-    left = cves.withColumn("in_cves", F.lit(1))
-    merged = left.join(right, "cve_id", "full_outer").filter(
+    merged = cves.withColumn("in_cves", F.lit(1)).join(right, "cve_id", "full_outer").filter(
         F.col("in_cves").isNotNull() | F.col("entry_description").isNotNull()
     )
-    new = F.col("in_cves").isNull()
-    hit = F.col("in_kev").isNotNull()
-    kept = [c for c in cves.columns if c not in ("cve_id", "source", "description", "has_cwe")]
+    new, hit = F.col("in_cves").isNull(), F.col("in_kev").isNotNull()
+    own = ("cve_id", "source", "description", "has_cwe", "cisa_kev", *_KEV_FIELDS)
+
+    def old(column: str, kind: str) -> Column:
+        return F.col(column) if column in cves.columns else F.lit(None).cast(kind)
+
     return merged.select(
         "cve_id",
         F.when(new, F.lit("CISA_KEV")).otherwise(F.col("source")).alias("source"),
         F.when(new, F.col("entry_description")).otherwise(F.col("description")).alias("description"),
         F.when(new, F.lit(0)).otherwise(F.col("has_cwe")).alias("has_cwe"),
-        *kept,
-        F.when(hit, F.lit(1)).otherwise(F.lit(0)).alias("cisa_kev"),
-        F.col("k_vendor").alias("kev_vendor_project"),
-        F.col("k_product").alias("kev_product"),
-        F.col("k_added").alias("kev_date_added"),
-        F.col("k_action").alias("kev_required_action"),
-        F.col("k_due").alias("kev_due_date"),
-        F.col("k_ransom").alias("known_ransomware_use"),
+        *[c for c in cves.columns if c not in own],
+        F.when(hit, F.lit(1)).otherwise(F.coalesce(old("cisa_kev", "int"), F.lit(0))).alias("cisa_kev"),
+        *[F.when(hit, F.col(f"new_{c}")).otherwise(old(c, "string")).alias(c) for c in _KEV_FIELDS],
     )
 
 
@@ -238,12 +253,21 @@ def join_kev_flag(cves: DataFrame, kev: DataFrame) -> DataFrame:
 def upsert_cves(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """New snapshot: the latest version of each CVE, with the earliest ``created_at`` kept.
 
-    Both inputs carry ``seq`` (arrival order) and ``created_at``. Write the result to a new
-    folder and switch readers to it; nothing is updated in place.
+    Both inputs carry ``seq`` (arrival order) and ``created_at``. Columns that only one side has,
+    such as the catalogue fields of a stored snapshot, are filled with null on the other side, and
+    an old catalogue value outlives a version without one. One aggregation, one shuffle. Write the
+    result to a new folder and switch readers to it; nothing is updated in place.
     """
-    both = current.unionByName(incoming)
-    created = both.groupBy("cve_id").agg(F.min("created_at").alias("created_at"))
-    return first_per_key(both.drop("created_at"), "cve_id", F.col("seq").desc()).join(created, "cve_id")
+    both = current.unionByName(incoming, allowMissingColumns=True)
+    kept = [c for c in ("cisa_kev", *_KEV_FIELDS) if c in both.columns]
+    plain = [c for c in both.columns if c not in ("cve_id", "created_at", *kept)]
+    # A row that only the catalogue knows was never listed by a search.
+    arrival = F.coalesce("seq", F.lit(-1))
+    return both.groupBy("cve_id").agg(
+        F.max_by(F.struct(*plain), arrival).alias("v"),
+        F.min("created_at").alias("created_at"),
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), arrival)).alias(c) for c in kept],
+    ).select("cve_id", "v.*", *kept, "created_at").select(*both.columns)
 
 
 def sort_cve_export(cves: DataFrame) -> DataFrame:
@@ -268,23 +292,32 @@ def top_vendors(products: DataFrame, n: int = 15) -> DataFrame:
     )
 
 
-def sync_summary(cves: DataFrame, products: DataFrame, references: DataFrame) -> DataFrame:
-    """One row per counted table: ``metric, value``."""
-    return (
-        cves.agg(F.count(F.lit(1)).alias("cves"), F.count(F.when(F.col("cisa_kev") == 1, 1)).alias("kev_cves"))
-        .unpivot([], ["cves", "kev_cves"], "metric", "value")
+def sync_summary(cves: DataFrame, products: DataFrame, references: DataFrame, hits: DataFrame | None = None,
+                 vendors: int = 15) -> DataFrame:
+    """``metric, value``: counted tables, searched keywords (of ``hits``), then the vendors with most CVEs."""
+    counts = cves.agg(F.count(F.lit(1)).alias("cves"), F.count(F.when(F.col("cisa_kev") == 1, 1)).alias("kev_cves"))
+    out = (
+        counts.unpivot([], ["cves", "kev_cves"], "metric", "value")
         .unionByName(products.agg(F.lit("affected_products").alias("metric"), F.count(F.lit(1)).alias("value")))
         .unionByName(references.agg(F.lit("references").alias("metric"), F.count(F.lit(1)).alias("value")))
     )
+    if hits is not None:
+        words = hits.select("keyword").distinct()
+        out = out.unionByName(words.agg(F.lit("keywords").alias("metric"), F.count(F.lit(1)).alias("value")))
+    top = top_vendors(products, vendors)
+    return out.unionByName(top.select(F.concat(F.lit("vendor: "), "vendor").alias("metric"), F.col("cve_count").alias("value")))
+
 
+def ingest_run(flat: DataFrame, merged: DataFrame, started_at: datetime, notes: str) -> DataFrame:
+    """The audit row of a run: its start, the time when this row is made, and what it counted.
 
-def ingest_run(flat: DataFrame, merged: DataFrame, started_at: Column, notes: str) -> DataFrame:
-    """The audit row of a run: keyword, vulnerability and exploited counts."""
+    Take ``started_at`` before the run and write the row after it.
+    """
     seen = flat.select("cve_id").distinct().agg(F.count(F.lit(1)).alias("nvd_cve_count"))
     words = flat.select("keyword").distinct().agg(F.count(F.lit(1)).alias("nvd_keyword_count"))
     known = merged.agg(F.count(F.when(F.col("cisa_kev") == 1, 1)).alias("kev_cve_count"))
     return known.select(
-        started_at.alias("started_at"),
+        F.lit(started_at).alias("started_at"),
         F.current_timestamp().alias("completed_at"),
         words.scalar().alias("nvd_keyword_count"),
         seen.scalar().alias("nvd_cve_count"),

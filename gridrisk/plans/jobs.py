@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from gridrisk.operators import community, devices, parcels, threat
+from datetime import UTC, datetime
+
+from pyspark.sql import functions as F
+
+from gridrisk.operators import community, devices, parcels, threat, vulnerabilities
+from gridrisk.sources.writers import append_audit, write_table
 
 
 def community_features(parcel_rows: DataFrame, avm: DataFrame, geo: DataFrame,
@@ -23,6 +28,27 @@ def community_features(parcel_rows: DataFrame, avm: DataFrame, geo: DataFrame,
     }
 
 
+def sync_job(hits: DataFrame, kev: DataFrame, path: str, previous: str | None, notes: str = "full sync") -> DataFrame:
+    """One run of the vulnerability sync: listed records and the catalogue → tables below ``path``.
+
+    ``hits`` are the rows of landed pages (``seq, keyword, cve``), ``previous`` the folder of the run
+    before, whose snapshot is brought up to date. Writes ``cves``, ``products``, ``references``,
+    ``summary`` and, last, the ``audit`` row with the true start and end; returns the new snapshot.
+    """
+    started = datetime.now(UTC)
+    spark = hits.sparkSession
+    incoming = vulnerabilities.flatten_cves(hits).withColumn("created_at", F.lit(started))
+    current = spark.read.parquet(f"{previous}/cves") if previous else incoming.limit(0)
+    snapshot = vulnerabilities.merge_kev(vulnerabilities.upsert_cves(current, incoming), kev)
+    cves = write_table(snapshot.withColumn("created_at", F.coalesce("created_at", F.lit(started))), f"{path}/cves")
+    first = vulnerabilities.dedup_cve_first(hits)
+    products = write_table(vulnerabilities.explode_products(first), f"{path}/products")
+    references = write_table(vulnerabilities.explode_references(first), f"{path}/references")
+    write_table(vulnerabilities.sync_summary(cves, products, references, hits), f"{path}/summary")
+    append_audit(spark, f"{path}/audit", vulnerabilities.ingest_run(incoming, cves, started, notes))
+    return cves
+
+
 def threat_priors(products: DataFrame, cves: DataFrame) -> dict[str, DataFrame]:
     curated = threat.curate(products, cves)
     vendors = threat.vendor_priors(curated)

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
-def build_session(master: str = "local[*]", app: str = "gridrisk", partitions: int = 8) -> SparkSession:
-    """A session for laptops, tests and the benchmark; on a cluster pass your own session."""
-    return (
+def build_session(
+    master: str = "local[*]", app: str = "gridrisk", partitions: int = 8, scratch: str | None = None
+) -> SparkSession:
+    """A session for laptops, tests and the benchmark; on a cluster pass your own session.
+
+    ``scratch`` names the shared folder for written intermediates.
+    """
+    builder = (
         SparkSession.builder.master(master)
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -20,25 +24,21 @@ def build_session(master: str = "local[*]", app: str = "gridrisk", partitions: i
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
-        .getOrCreate()
     )
+    if scratch:
+        builder = builder.config("spark.checkpoint.dir", scratch)
+    return builder.getOrCreate()
 
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for written intermediates.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local session without that setting
-    falls back to a fresh temporary folder, because there every task runs on this machine.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, a folder of the session's
+    warehouse is used, which every executor can reach as well.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return folder.rstrip("/") if folder else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -4,25 +4,65 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gridrisk.functions.text import pad_geo_id, to_number
 from gridrisk.sources import schemas as S
 
 
 def read_csv_strings(spark: SparkSession, path: str, columns: Sequence[str], sep: str = ",",
-                     encoding: str = "UTF-8") -> DataFrame:
-    """Delimited file with a header, every declared column a string."""
-    return (
-        spark.read.schema(S.strings(*columns))
-        .option("header", True)
+                     encoding: str = "UTF-8", multi_line: bool = True) -> DataFrame:
+    """Delimited file with a header; the named columns as strings, wherever they stand in it.
+
+    Names are compared trimmed. A column that the header lacks is null; if it has none of them, that
+    is an error, and so are files of one folder with different headers. Quoted line breaks are kept;
+    ``multi_line=False`` lets Spark split large files that are known to have none.
+    """
+    raw = (
+        spark.read.option("header", True)
         .option("sep", sep)
         .option("encoding", encoding)
         .option("escape", '"')
-        .option("multiLine", False)
+        .option("multiLine", multi_line)
+        .option("enforceSchema", False)
         .csv(path)
     )
+    found = {c.strip().strip("\ufeff"): c for c in raw.columns}
+    if not any(c in found for c in columns):
+        raise ValueError(f"{path}: none of {list(columns)} in the header {raw.columns}")
+    return raw.select(
+        *[F.col(f"`{found[c]}`").alias(c) if c in found else F.lit(None).cast("string").alias(c) for c in columns]
+    )
+
+
+def parse_documents(raw: DataFrame, schema: str, keep: Sequence[str] = ()) -> DataFrame:
+    """JSON records of whole files in ``value``: one document, an array of records, or one document a line.
+
+    Indentation and line breaks do not matter. A file that does not parse fails the job. ``doc``
+    numbers the documents of a file.
+    """
+    lines = F.filter(F.split("value", r"\r?\n"), lambda line: F.trim(line) != "")
+    by_line = F.forall(lines, lambda line: F.try_parse_json(line).isNotNull())
+    docs = raw.select(*keep, F.posexplode(F.when(by_line, lines).otherwise(F.array("value"))).alias("line", "text"))
+    body = F.trim("text", F.lit(" \t\r\n\ufeff"))
+    listed = F.when(body.startswith("["), body).otherwise(F.concat(F.lit("["), body, F.lit("]")))
+    fields = f"array<struct<{StructType.fromDDL(schema).simpleString()[7:-1]}>>"
+    parsed = docs.select(*keep, "line", F.from_json(listed, fields, {"mode": "FAILFAST"}).alias("records"))
+    return parsed.select(*keep, "line", F.posexplode("records").alias("item", "r")).select(
+        *keep, (F.col("line") + F.col("item")).alias("doc"), "r.*"
+    )
+
+
+def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON document files, each small enough for one task."""
+    return parse_documents(spark.read.text(path, wholetext=True), schema).drop("doc")
+
+
+def required(column: str, what: str) -> Column:
+    """The column, or a failed job where a document lacks it."""
+    return F.coalesce(F.col(column), F.raise_error(F.lit(f"no {column} in {what}")))
 
 
 def typed(df: DataFrame, doubles: Sequence[str] = (), ints: Sequence[str] = (),
@@ -34,37 +74,83 @@ def typed(df: DataFrame, doubles: Sequence[str] = (), ints: Sequence[str] = (),
     return df.withColumns(casts) if casts else df
 
 
-def read_cve_pages(spark: SparkSession, path: str, depth: int = 4) -> DataFrame:
-    """Landed vulnerability pages, one row per listed CVE: ``seq, keyword, cve``."""
-    pages = spark.read.schema(S.cve_page_schema(depth)).json(path)
-    return explode_cve_pages(pages)
+def page_files(raw: DataFrame) -> DataFrame:
+    """Whole page files with their path and time, which stand in for what a page does not say."""
+    return raw.select(
+        "value",
+        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_modification_time").alias("file_time"),
+    )
 
 
-def explode_cve_pages(pages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    return (
-        pages.select("seq", "keyword", *keep, F.explode("vulnerabilities").alias("v"))
-        .select("seq", "keyword", *keep, F.col("v.cve").alias("cve"))
-        .filter(F.coalesce(F.col("cve.id"), F.lit("")) != "")
+def parse_cve_pages(files: DataFrame) -> DataFrame:
+    """Parsed pages; without a ``keyword`` the folder ``keyword=…`` or else the file's stem is taken."""
+    pages = parse_documents(files, S.CVE_PAGE_SCHEMA, ["file_path", "file_time"])
+    folder = F.nullif(F.regexp_extract("file_path", r"keyword=([^/]+)", 1), F.lit(""))
+    stem = F.regexp_extract("file_path", r"([^/]*?)[-_.]?[0-9]*(\.[^./]*)?$", 1)
+    return pages.withColumns(
+        {
+            "keyword": F.coalesce("keyword", F.url_decode(folder), F.url_decode(stem)),
+            "vulnerabilities": required("vulnerabilities", "a page"),
+        }
+    )
+
+
+def read_cve_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Landed vulnerability pages, one row per listed CVE: ``seq, keyword, cve``.
+
+    Pages that carry no ``seq`` are numbered in load order: by file time, path and place. One row a
+    page passes through that numbering.
+    """
+    files = page_files(spark.read.option("recursiveFileLookup", True).text(path, wholetext=True))
+    pages = parse_cve_pages(files)
+    order = Window.orderBy("file_time", "file_path", "doc")
+    numbers = pages.filter("seq IS NULL").select("file_path", "file_time", "doc").withColumn("page", F.row_number().over(order))
+    known = pages.join(numbers.select("file_path", "doc", "page"), ["file_path", "doc"], "left")
+    return explode_cve_pages(known, ["page"], PAGE_ROWS * F.col("page") + F.col("pos")).drop("page")
+
+
+# More than any page lists, so that load order runs through pages, then through their rows.
+PAGE_ROWS = 1_000_000
+
+
+def explode_cve_pages(pages: DataFrame, keep: Sequence[str] = (), seq: Column | None = None) -> DataFrame:
+    """One row per listed CVE; ``seq`` stands in where a page has none."""
+    rows = pages.select("seq", "keyword", *keep, F.posexplode("vulnerabilities").alias("pos", "v"))
+    number = F.col("seq") if seq is None else F.coalesce("seq", seq)
+    return rows.select(number.alias("seq"), "keyword", *keep, F.col("v.cve").alias("cve")).filter(
+        F.coalesce(F.col("cve.id"), F.lit("")) != ""
     )
 
 
 def read_kev_csv(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv_strings(spark, path, S.KEV_COLUMNS)
+    """Exploited-vulnerability catalogue with ``seq``, the order in the file."""
+    return read_csv_strings(spark, path, S.KEV_COLUMNS).withColumn("seq", F.monotonically_increasing_id())
 
 
 def read_kev_json(spark: SparkSession, path: str) -> DataFrame:
+    """The catalogue as a JSON feed, with ``seq``, the order in its files."""
     fields = ",".join(f"{c}:string" for c in S.KEV_COLUMNS)
-    feed = spark.read.schema(f"vulnerabilities array<struct<{fields}>>").json(path)
-    return feed.select(F.explode("vulnerabilities").alias("v")).select("v.*")
+    feed = read_documents(spark, path, f"vulnerabilities array<struct<{fields}>>")
+    rows = feed.select(F.posexplode(required("vulnerabilities", "the catalogue")).alias("pos", "v"))
+    return rows.select("v.*", F.monotonically_increasing_id().alias("seq"))
 
 
 def read_devices_json(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Device records; ``multi_line`` for files that hold one JSON array."""
-    return spark.read.schema(S.DEVICE_SCHEMA).option("multiLine", multi_line).json(path)
+    """Device records of all 28 fields, one a line; ``multi_line`` for files that are one document or array.
+
+    A record that does not parse fails the job.
+    """
+    if multi_line:
+        return read_documents(spark, path, S.DEVICE_SCHEMA)
+    return spark.read.schema(S.DEVICE_SCHEMA).option("mode", "FAILFAST").json(path)
 
 
-def read_observations_json(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(S.OBSERVATION_SCHEMA).json(path)
+def read_observations_json(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Observations, one a line; ``multi_line`` as for devices. A record that does not parse fails the job."""
+    if multi_line:
+        return read_documents(spark, path, S.OBSERVATION_SCHEMA)
+    return spark.read.schema(S.OBSERVATION_SCHEMA).option("mode", "FAILFAST").json(path)
 
 
 def header_matrix(df: DataFrame, payload: str, columns: dict[str, str], keep: Sequence[str] = ()) -> DataFrame:
@@ -102,11 +188,9 @@ def read_gazetteer(spark: SparkSession, path: str) -> DataFrame:
 
 def read_capacity(spark: SparkSession, path: str) -> DataFrame:
     """Capacity responses → ``location, capacity`` (MW as text)."""
-    return (
-        spark.read.schema(S.CAPACITY_SCHEMA)
-        .json(path)
-        .select(F.explode("response.data").alias("d"))
-        .select("d.location", "d.capacity")
+    responses = read_documents(spark, path, S.CAPACITY_SCHEMA)
+    return responses.select(F.explode(required("response.data", "a capacity response")).alias("d")).select(
+        "d.location", "d.capacity"
     )
 
 

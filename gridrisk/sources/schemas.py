@@ -10,33 +10,25 @@ def strings(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-_CPE_MATCH = (
-    "array<struct<criteria:string,vulnerable:boolean,versionStartIncluding:string,"
-    "versionStartExcluding:string,versionEndIncluding:string,versionEndExcluding:string>>"
+CPE_MATCH = (
+    "criteria string, vulnerable boolean, versionStartIncluding string, versionStartExcluding string, "
+    "versionEndIncluding string, versionEndExcluding string"
 )
 
+_METRIC = (
+    "array<struct<source:string,baseSeverity:string,cvssData:struct<version:string,"
+    "vectorString:string,baseScore:double,baseSeverity:string>>>"
+)
 
-def _nodes(depth: int) -> str:
-    """Node lists nest; the level below the last declared one is kept as raw JSON text."""
-    below = "string" if depth == 1 else _nodes(depth - 1)
-    return f"array<struct<cpeMatch:{_CPE_MATCH},nodes:{below}>>"
-
-
-def cve_page_schema(depth: int = 4) -> str:
-    metric = (
-        "array<struct<source:string,baseSeverity:string,cvssData:struct<version:string,"
-        "vectorString:string,baseScore:double,baseSeverity:string>>>"
-    )
-    return (
-        "seq bigint, keyword string, "
-        "vulnerabilities array<struct<cve:struct<id:string,published:string,lastModified:string,"
-        "vulnStatus:string,descriptions:array<struct<lang:string,value:string>>,"
-        f"metrics:struct<cvssMetricV31:{metric},cvssMetricV30:{metric},cvssMetricV2:{metric}>,"
-        "references:array<struct<url:string,source:string,tags:array<string>>>,"
-        "weaknesses:array<struct<source:string>>,"
-        f"configurations:array<struct<cpeMatch:{_CPE_MATCH},nodes:{_nodes(depth)}>>>>>"
-    )
-
+# Configuration nodes nest without limit, so they stay JSON text until products are exploded.
+CVE_PAGE_SCHEMA = (
+    "seq bigint, keyword string, "
+    "vulnerabilities array<struct<cve:struct<id:string,published:string,lastModified:string,"
+    "vulnStatus:string,descriptions:array<struct<lang:string,value:string>>,"
+    f"metrics:struct<cvssMetricV31:{_METRIC},cvssMetricV30:{_METRIC},cvssMetricV2:{_METRIC}>,"
+    "references:array<struct<url:string,source:string,tags:array<string>>>,"
+    "weaknesses:array<struct<source:string>>,configurations:string>>>"
+)
 
 KEV_COLUMNS = [
     "cveID", "vendorProject", "product", "shortDescription", "requiredAction", "dateAdded",
@@ -54,8 +46,12 @@ OBSERVATION_SCHEMA = (
 )
 
 DEVICE_SCHEMA = (
-    "ip string, port int, vendor string, country string, has_tls boolean, has_modbus boolean, "
-    "has_mqtt boolean, default_creds_indicator boolean, firmware_version string, ingest_seq bigint"
+    "ingest_seq bigint, ip string, port int, transport string, vendor string, query_vendor string, "
+    "product string, os string, country string, country_name string, region string, city string, "
+    "lat double, lon double, org string, isp string, asn string, hostnames array<string>, "
+    "http_title string, http_status int, has_tls boolean, tls_cert_subject string, "
+    "open_ports array<int>, has_modbus boolean, has_mqtt boolean, default_creds_indicator boolean, "
+    "firmware_version string, last_seen string, observation_id string"
 )
 
 CAPACITY_SCHEMA = "response struct<data:array<struct<location:string,capacity:string>>>"

@@ -22,11 +22,6 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> D
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def as_document(df: DataFrame, name: str = "document") -> DataFrame:
-    """One JSON text per row."""
-    return df.select(F.to_json(F.struct("*")).alias(name))
-
-
 def blanks_for_null(df: DataFrame) -> DataFrame:
     """Text form of a view with '' in place of null, as a service would send it."""
     return df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns])

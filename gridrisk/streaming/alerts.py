@@ -7,24 +7,29 @@ from pyspark.sql import functions as F
 
 from gridrisk import constants as C
 from gridrisk.operators import community, threat, vulnerabilities as V
-from gridrisk.sources.readers import explode_cve_pages
-from gridrisk.sources.schemas import cve_page_schema
+from gridrisk.operators.parcels import first_per_key
+from gridrisk.sources.readers import explode_cve_pages, page_files, parse_cve_pages
 
 
-def new_cves(pages: DataFrame, watermark: str = "30 days") -> DataFrame:
-    """First sight of each CVE in a stream of landed pages with a ``landed_at`` time.
+SEEN_SCHEMA = (
+    "cve_id string, description string, cvss_v3_score double, cvss_v3_severity string, batch bigint"
+)
+# The source forgets no file: its own age limit, a week by default, is set out of reach.
+NO_AGE_LIMIT = "36500d"
 
-    Event time is the landing time of the file, which never runs backwards, so no page is late
-    and none is lost. State is kept for the watermark only: a CVE that turns up again later than
-    that alerts again.
-    """
-    flat = explode_cve_pages(pages, ["landed_at"]).select(
-        "landed_at",
+
+def listed_cves(pages: DataFrame) -> DataFrame:
+    """One row per CVE of some parsed pages; of several, the one listed first by page time and place."""
+    flat = explode_cve_pages(pages, ["file_time", "file_path", "doc"]).select(
+        "file_time",
+        "file_path",
+        "doc",
         F.col("cve.id").alias("cve_id"),
         V.first_english(F.col("cve.descriptions")).alias("description"),
         V.cvss_pick_v3(F.col("cve.metrics")).alias("m"),
-    ).select("landed_at", "cve_id", "description", "m.cvss_v3_score", "m.cvss_v3_severity")
-    return flat.withWatermark("landed_at", watermark).dropDuplicatesWithinWatermark(["cve_id"])
+    )
+    first = first_per_key(flat, "cve_id", F.col("file_time").asc(), F.col("file_path").asc(), F.col("doc").asc())
+    return first.select("cve_id", "description", "m.cvss_v3_score", "m.cvss_v3_severity")
 
 
 def alerts(cves: DataFrame, communities: DataFrame, pressure: DataFrame, n: int = C.ALERT_TOP_N,
@@ -35,31 +40,40 @@ def alerts(cves: DataFrame, communities: DataFrame, pressure: DataFrame, n: int
 
 
 def run_alert_stream(spark: SparkSession, pages_path: str, out_path: str, checkpoint: str, communities: DataFrame,
-                     pressure: DataFrame, watermark: str = "30 days", files_per_batch: int | None = None,
-                     timeout: int = 600) -> None:
-    """Process every page file that has landed, append the alerts and stop.
-
-    Run it on a schedule with the same checkpoint: each run takes only the new files. A batch
-    writes into its own folder in overwrite mode, so a retried batch cannot duplicate alerts.
+                     pressure: DataFrame, files_per_batch: int | None = None) -> None:
+    """Process every page file that has arrived, append the alerts and stop.
+
+    Run it on a schedule with the same checkpoint: each run takes only files it has not taken
+    before, whatever their modification time, and waits for the whole backlog. A CVE is new if no
+    other batch has stored it: the CVEs of a batch are met with the table of seen ones, and what is
+    left is stored there and alerted. A batch writes into its own folders in overwrite mode, so a
+    retried batch neither loses nor repeats alerts.
     """
-    reader = spark.readStream.schema(cve_page_schema())
+    reader = spark.readStream.format("text").option("wholetext", True).option("maxFileAge", NO_AGE_LIMIT)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    pages = reader.json(pages_path).select("*", F.col("_metadata.file_modification_time").alias("landed_at"))
-    stream = new_cves(pages, watermark)
+    files = page_files(reader.load(pages_path))
+    seen_path, alert_path = f"{out_path}/seen", f"{out_path}/alerts"
+    # A first, empty batch gives both tables their folder.
+    spark.createDataFrame([], SEEN_SCHEMA).drop("batch").write.mode("overwrite").parquet(f"{seen_path}/batch=-1")
+    spark.createDataFrame([], ALERT_SCHEMA).write.mode("overwrite").parquet(f"{alert_path}/batch=-1")
 
     def emit(batch: DataFrame, batch_id: int) -> None:
-        alerts(batch, communities, pressure).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        session = batch.sparkSession
+        seen = session.read.schema(SEEN_SCHEMA).parquet(seen_path).filter(F.col("batch") != batch_id).select("cve_id")
+        new = listed_cves(parse_cve_pages(batch)).join(seen, "cve_id", "left_anti")
+        mine = f"{seen_path}/batch={batch_id}"
+        new.write.mode("overwrite").parquet(mine)
+        stored = session.read.schema(new.schema).parquet(mine)
+        alerts(stored, communities, pressure).write.mode("overwrite").parquet(f"{alert_path}/batch={batch_id}")
 
     query = (
-        stream.writeStream.foreachBatch(emit)
+        files.writeStream.foreachBatch(emit)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
-    if not query.awaitTermination(timeout):
-        query.stop()
-        raise TimeoutError("the alert stream did not finish in time")
+    query.awaitTermination()
 
 
 ALERT_SCHEMA = (
@@ -69,4 +83,4 @@ ALERT_SCHEMA = (
 
 
 def read_alerts(spark: SparkSession, out_path: str) -> DataFrame:
-    return spark.read.schema(ALERT_SCHEMA).parquet(f"{out_path}/batch=*")
+    return spark.read.schema(ALERT_SCHEMA).parquet(f"{out_path}/alerts").drop("batch")

@@ -9,8 +9,8 @@ from gridrisk.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session("local[4]", "gridrisk-tests", 4)
+def spark(tmp_path_factory):
+    session = build_session("local[4]", "gridrisk-tests", 4, str(tmp_path_factory.mktemp("scratch")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -1,6 +1,8 @@
 """Readers, sinks, scratch folder and the alert stream."""
 
 import json
+import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,8 +96,99 @@ def test_stream_takes_only_new_files_and_matches_batch(spark, tmp_path):
     assert (best.geo_id, best.vendor_cyber_pressure, best.affected_vendors) == ("00029", 0.8, "growatt, sma")
 
 
-def test_top_zips_is_bounded(spark):
-    from gridrisk.operators.views import view_top_zips
+def test_stream_takes_late_and_old_files(spark, tmp_path):
+    communities = spark.createDataFrame([(f"{i:02d}", i / 20) for i in range(20)], "geo_id string, solar_readiness double")
+    pressure = spark.createDataFrame([("sma", 0.8), ("growatt", 0.0)], "vendor string, cyber_pressure_score double")
+    pages, out, state = tmp_path / "pages", str(tmp_path / "out"), str(tmp_path / "state")
 
+    def run():
+        A.run_alert_stream(spark, str(pages), out, state, communities, pressure, files_per_batch=1)
+        rows = A.read_alerts(spark, out).collect()
+        return sorted({r.cve_id for r in rows}), rows
+
+    landed(pages, "now.json", ("C1", "SMA flaw", 9.8))
+    assert run()[0] == ["C1"]
+    for name, days in (("b.json", 10), ("a.json", 40), ("c.json", 400)):
+        landed(pages, name, (f"D{days}", "SMA flaw", 9.0), ("C1", "SMA flaw", 9.8))
+        past = time.time() - days * 86_400
+        os.utime(pages / name, (past, past))
+    assert run()[0] == ["C1", "D10", "D40", "D400"]
+    landed(pages, "later.json", ("E1", "growatt", 9.0))
+    ids, rows = run()
+    assert ids == ["C1", "D10", "D40", "D400", "E1"] and len(rows) == 50
+    assert len(run()[1]) == 50
+    # With urgency 0 every community ties, and ids decide.
+    assert sorted(r.geo_id for r in rows if r.cve_id == "E1") == [f"{i:02d}" for i in range(10)]
+    assert sorted(r.geo_id for r in rows if r.cve_id == "C1") == [f"{i:02d}" for i in range(10, 20)]
+
+
+def test_csv_goes_by_name_and_keeps_line_breaks(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text('b, a ,extra\n1,"two\nlines, ""q""",z\n2,,z\n')
+    got = R.read_csv_strings(spark, str(path), ["a", "b", "gone"]).collect()
+    assert [tuple(r) for r in got] == [('two\nlines, "q"', "1", None), (None, "2", None)]
     with pytest.raises(ValueError):
-        view_top_zips(spark.createDataFrame([("a", 1.0)], "geo_id string, community_risk_prior_score double"), 101)
+        R.read_csv_strings(spark, str(path), ["c"])
+    df = spark.createDataFrame([("k", 'a\nb "c"\r\nd'), ("l", "e\n\nf")], "k string, description string")
+    W.write_csv(df, str(tmp_path / "back"))
+    back = R.read_csv_strings(spark, str(tmp_path / "back"), ["description", "k"])
+    assert sorted((r.k, r.description) for r in back.collect()) == sorted(tuple(r) for r in df.collect())
+
+
+def test_published_catalogue_columns(spark, tmp_path):
+    path = tmp_path / "kev.csv"
+    path.write_text(
+        "cveID,vendorProject,product,vulnerabilityName,dateAdded,shortDescription,requiredAction,dueDate,"
+        "knownRansomwareCampaignUse,notes\nC1,v,p,name,2024-01-01,text,act,2024-02-01,Known,n\n"
+    )
+    row = R.read_kev_csv(spark, str(path)).first()
+    assert (row.shortDescription, row.requiredAction, row.dateAdded, row.dueDate) == ("text", "act", "2024-01-01", "2024-02-01")
+
+
+def test_indented_documents(spark, tmp_path):
+    folder = tmp_path / "pages"
+    for word, ids in (("solar", ["A", "B"]), ("wind", ["A"])):
+        (folder / f"keyword={word}").mkdir(parents=True)
+        body = {"vulnerabilities": [{"cve": {"id": i}} for i in ids]}
+        (folder / f"keyword={word}" / "page-1.json").write_text(json.dumps(body, indent=2))
+    rows = R.read_cve_pages(spark, str(folder)).collect()
+    assert sorted((r.keyword, r.cve.id) for r in rows) == [("solar", "A"), ("solar", "B"), ("wind", "A")]
+    assert len({r.seq for r in rows}) == 3
+    feed = {"vulnerabilities": [{"cveID": "C1", "product": "p"}, {"cveID": "C2"}]}
+    (tmp_path / "kev.json").write_text(json.dumps(feed, indent=1))
+    assert [(r.cveID, r.product) for r in R.read_kev_json(spark, str(tmp_path / "kev.json")).orderBy("seq").collect()] == [("C1", "p"), ("C2", None)]
+    capacity = {"response": {"data": [{"location": "CA", "capacity": "3"}]}}
+    (tmp_path / "cap.json").write_text(json.dumps(capacity, indent=1))
+    assert R.read_capacity(spark, str(tmp_path / "cap.json")).collect() == [("CA", "3")]
+
+
+@pytest.mark.parametrize("text", ['{"vulnerabilities": [', '{"other": 1}', "nothing"])
+def test_unreadable_documents_fail(spark, tmp_path, text):
+    (tmp_path / "kev.json").write_text(text)
+    with pytest.raises(Exception):
+        R.read_kev_json(spark, str(tmp_path / "kev.json")).collect()
+
+
+def test_indented_device_lines_fail(spark, tmp_path):
+    (tmp_path / "d.json").write_text(json.dumps({"ip": "a", "port": 1}, indent=1))
+    with pytest.raises(Exception):
+        R.read_devices_json(spark, str(tmp_path / "d.json")).collect()
+    assert R.read_devices_json(spark, str(tmp_path / "d.json"), multi_line=True).count() == 1
+
+
+def test_device_record_keeps_all_fields(spark, tmp_path):
+    from gridrisk.operators.devices import flatten_device
+
+    (tmp_path / "o.json").write_text(json.dumps({"seq": 1, "ip_str": "a", "port": 80, "location": {"latitude": 1.5, "longitude": 2.5}}))
+    flat = flatten_device(R.read_observations_json(spark, str(tmp_path / "o.json")))
+    W.write_json(flat, str(tmp_path / "flat"))
+    back = R.read_devices_json(spark, str(tmp_path / "flat"))
+    assert set(back.columns) == set(flat.columns)
+    assert back.select(*flat.columns).collect() == flat.collect()
+
+
+def test_top_zips_has_no_limit(spark):
+    from gridrisk.operators.views import view_top_zips
+
+    rows = spark.range(300).selectExpr("CAST(id AS STRING) AS geo_id", "CAST(id AS DOUBLE) AS community_risk_prior_score")
+    assert view_top_zips(rows, 250).count() == 250

@@ -39,11 +39,14 @@ def test_nested_nodes_are_all_found(spark, tmp_path):
     assert V.unparsed_nodes(rows).first().too_deep == 0
 
 
-def test_deeper_nodes_are_counted(spark, tmp_path):
-    chain = node("cpe:2.3:o:v:p:*")
-    for _ in range(5):
-        chain = node("cpe:2.3:o:v:p:*", [chain])
-    assert V.unparsed_nodes(hits(spark, page(1, "A", [chain]), tmp=tmp_path)).first().too_deep == 1
+def test_nodes_nest_without_limit(spark, tmp_path):
+    chain = node("cpe:2.3:o:v:p0:*")
+    for i in range(1, 30):
+        chain = node(f"cpe:2.3:o:v:p{i}:*", [chain, node(f"cpe:2.3:o:v:q{i}:*")])
+    rows = hits(spark, page(1, "A", [chain, node("cpe:2.3:o:v:r:*")]), page(2, "B"), tmp=tmp_path)
+    names = [r["product"] for r in V.explode_products(rows).collect()]
+    assert sorted(names) == sorted([f"p{i}" for i in range(30)] + [f"q{i}" for i in range(1, 30)] + ["r"])
+    assert V.unparsed_nodes(rows).first().too_deep == 0
 
 
 def test_fields_with_everything_missing(spark, tmp_path):
@@ -85,6 +88,36 @@ def test_upsert_keeps_creation_and_takes_the_last(spark):
     assert out == {"A": ("new", 10), "B": ("old", 11), "C": ("new", 22)}
 
 
+def test_sync_runs_twice(spark, tmp_path):
+    from gridrisk.plans.jobs import sync_job
+
+    blank = dict.fromkeys(KEV_COLUMNS)
+
+    def catalogue(*rows):
+        shape = "seq int, " + ", ".join(f"{c} string" for c in KEV_COLUMNS)
+        return spark.createDataFrame([(s, *[{**blank, **r}[c] for c in KEV_COLUMNS]) for s, r in rows], shape)
+
+    def english(text):
+        return [{"lang": "en", "value": text}]
+
+    a, b = {"cveID": "A", "dateAdded": "d1"}, {"cveID": "K", "shortDescription": "solar", "dateAdded": "d2"}
+    one = hits(spark, page(1, "A", [node("cpe:2.3:o:v:p:*")], descriptions=english("old")), tmp=tmp_path / "1")
+    two = hits(spark, page(2, "A", descriptions=english("new")), page(3, "K", descriptions=english("found")), tmp=tmp_path / "2")
+    first, second = str(tmp_path / "run1"), str(tmp_path / "run2")
+    sync_job(one, catalogue((1, a), (2, b)), first, None)
+    # The second catalogue has forgotten A; what the snapshot knows of it stays.
+    out = {r.cve_id: r for r in sync_job(two, catalogue((1, b)), second, first).collect()}
+    assert set(out) == {"A", "K"}
+    assert (out["A"].description, out["A"].cisa_kev, out["A"].kev_date_added) == ("new", 1, "d1")
+    assert (out["K"].source, out["K"].description, out["K"].cisa_kev, out["K"].kev_date_added) == ("NVD", "found", 1, "d2")
+    created = {r.cve_id: r.created_at for r in spark.read.parquet(f"{first}/cves").collect()}
+    assert {i: r.created_at for i, r in out.items()} == created
+    audit = spark.read.parquet(f"{second}/audit").collect()
+    assert len(audit) == 1 and audit[0].started_at < audit[0].completed_at and audit[0].nvd_cve_count == 2
+    summary = {r.metric: r.value for r in spark.read.parquet(f"{first}/summary").collect()}
+    assert summary == {"cves": 2, "kev_cves": 2, "affected_products": 1, "references": 0, "keywords": 1, "vendor: v": 1}
+
+
 def test_blank_keys_join_and_rows_do_not_grow(spark):
     shape = (
         "record_id long, property_address string, city string, state string, zip_code string, zip4 string, fips_code string, "
