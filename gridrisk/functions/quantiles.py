@@ -1,10 +1,12 @@
-"""Exact quantiles, global or per group, that never hold a group in one task.
-
-The built-in exact ``percentile`` keeps every distinct value of a group in one hash map, which
-fails once one group owns a large part of the table. Here a mergeable sketch first brackets each
-quantile, then one more pass counts what lies below the bracket and keeps only the values inside
-it. Both passes combine on the map side, so a hot key leaves each task as a few rows, and the
-ordered step sees about ``2 * margin`` of a group.
+"""Exact quantiles, global or per group, that never hold a large group in one task.
+
+The built-in exact ``percentile`` keeps every distinct value of a group in one hash map: right for
+groups of bounded size, impossible once one group owns a large part of the table. So group sizes are
+counted first. Groups up to the bound take the built-in, all columns and probabilities in one
+aggregation. For the others a mergeable sketch brackets each quantile, then one more pass counts
+what lies below the bracket and keeps only the values inside it. Both passes combine on the map
+side, so a hot key leaves each task as a few rows, and the ordered step sees about ``2 * margin`` of
+a group. Both ways give the same values; where no group is large, Spark drops the second at run time.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from pyspark.sql.window import Window
 _ACCURACY = 10_000
 _MARGIN = 5e-4
 _BELOW = float("-inf")
+# Rows of a group whose values one task may hold.
+_DIRECT = 100_000
 
 
 def _picked(
@@ -52,7 +56,7 @@ def _picked(
     )
 
     # One row per (value, quantile it may be); values under a bracket only need to be counted.
-    small = F.col("n") <= F.lit(accuracy)
+    small = F.col("n") <= F.lit(accuracy)  # the sketch is exact anyway, and holds so many values
     slots = []
     for i, p in enumerate(probs):
         lo, hi = F.col("cuts")[i], F.col("cuts")[len(probs) + i]
@@ -100,28 +104,66 @@ def _picked(
     )
 
 
+def _direct(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """``(*by, name, n, q)`` by the built-in, one wide aggregation for all columns."""
+    values = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
+    stats = [
+        F.struct(
+            F.lit(c).alias("name"),
+            F.count(v).alias("n"),
+            F.percentile(v, F.array(*[F.lit(float(p)) for p in probs])).alias("q"),
+        )
+        for c, v in values.items()
+    ]
+    wide = df.groupBy(*by).agg(*[s.alias(f"_s{i}") for i, s in enumerate(stats)])
+    listed = F.explode(F.array(*[F.col(f"_s{i}") for i in range(len(stats))]))
+    return wide.select(*by, listed.alias("s")).select(*by, "s.*").filter("n > 0")
+
+
+def _quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str], accuracy: int,
+               direct: int) -> DataFrame:
+    columns = list(dict.fromkeys(columns))
+    if by:
+        sizes = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in by]).agg(F.count(F.lit(1)).alias("_rows"))
+        same = F.lit(True)
+        for k in by:
+            same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+
+        def part(condition: str) -> DataFrame:
+            return df.select(*dict.fromkeys([*by, *columns])).join(sizes.filter(condition), same)
+    else:
+        rows = df.agg(F.count(F.lit(1)))
+
+        def part(condition: str) -> DataFrame:
+            return df.select(*columns, rows.scalar().alias("_rows")).filter(condition)
+
+    bracketed = _picked(part(f"_rows > {direct}"), columns, probs, by, accuracy).groupBy(*by, "name", "n").agg(
+        F.array(*[F.max(F.when(F.col("slot") == i, F.col("q"))) for i in range(len(probs))]).alias("q")
+    )
+    return _direct(part(f"_rows <= {direct}"), columns, probs, by).unionByName(bracketed)
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
     probs: Sequence[float],
     by: Sequence[str] = (),
     accuracy: int = _ACCURACY,
+    direct: int = _DIRECT,
 ) -> DataFrame:
     """Rows ``(*by, name, n, q)``: ``q`` holds one linearly interpolated quantile per probability.
 
     Nulls and NaN are skipped. A group without any value of a column has no row for it.
     """
-    picked = _picked(df, columns, probs, by, accuracy)
-    return picked.groupBy(*by, "name", "n").agg(
-        F.array(*[F.max(F.when(F.col("slot") == i, F.col("q"))) for i in range(len(probs))]).alias("q")
-    )
+    return _quantiles(df, columns, probs, by, accuracy, direct)
 
 
 def exact_medians(
-    df: DataFrame, medians: dict[str, str], by: Sequence[str] = (), accuracy: int = _ACCURACY
+    df: DataFrame, medians: dict[str, str], by: Sequence[str] = (), accuracy: int = _ACCURACY, direct: int = _DIRECT
 ) -> DataFrame:
     """One row per group with ``{output name: input column}`` medians."""
-    inputs = list(dict.fromkeys(medians.values()))
-    picked = _picked(df, inputs, [0.5], by, accuracy)
-    picks = [F.max(F.when(F.col("name") == source, F.col("q"))).alias(target) for target, source in medians.items()]
-    return picked.groupBy(*by).agg(*picks)
+    found = _quantiles(df, list(medians.values()), [0.5], by, accuracy, direct)
+    picks = [
+        F.max(F.when(F.col("name") == source, F.col("q")[0])).alias(target) for target, source in medians.items()
+    ]
+    return found.groupBy(*by).agg(*picks)

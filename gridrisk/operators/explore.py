@@ -31,19 +31,21 @@ TIER_PROFILE_COLUMNS = [
 
 def describe_features(df: DataFrame, columns: Sequence[str] = DESCRIBE_COLUMNS) -> DataFrame:
     """count, mean, std, min, quartiles and max, one row per column."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns])
-    stats = (
-        df.select(F.explode(pairs).alias("p"))
-        .select("p.*")
-        .groupBy("name")
-        .agg(
-            F.count("v").alias("count"),
-            F.avg("v").alias("mean"),
-            F.stddev_samp("v").alias("std"),
-            F.min("v").alias("min"),
-            F.max("v").alias("max"),
-        )
+    values = {c: F.col(c).cast("double") for c in columns}
+    wide = df.agg(
+        *[
+            F.struct(
+                F.lit(c).alias("name"),
+                F.count(v).alias("count"),
+                F.avg(v).alias("mean"),
+                F.stddev_samp(v).alias("std"),
+                F.min(v).alias("min"),
+                F.max(v).alias("max"),
+            ).alias(f"_{i}")
+            for i, (c, v) in enumerate(values.items())
+        ]
     )
+    stats = wide.select(F.explode(F.array(*[F.col(f"_{i}") for i in range(len(values))])).alias("s")).select("s.*")
     quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75]).select(
         "name", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75")
     )

@@ -9,7 +9,6 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -223,36 +222,49 @@ def priority_score(df: DataFrame, multiplier: Column) -> DataFrame:
     return df.withColumn("priority_score", F.col("community_risk_score") * multiplier)
 
 
-def risk_percentile(df: DataFrame, score: str = "community_risk_prior_score") -> DataFrame:
-    """Percentile rank in [0, 1] without sorting the table in one task.
+_BUCKETS = 256
+
+
+def _score_ranks(df: DataFrame, score: str) -> DataFrame:
+    """``_v, risk_percentile`` of every distinct score.
 
-    Equal scores share a rank, so ranks are found over distinct scores: running counts inside
-    whole-point buckets, plus the total of the buckets below.
+    Running counts inside buckets, plus the total of the buckets below. The bucket edges come from a
+    sketch of the distinct scores, so buckets are of like depth whatever the range of the score.
     """
-    counts = (
-        df.filter(F.col(score).isNotNull())
-        .groupBy(F.col(score).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_b", F.floor("_v"))
-    )
+    distinct = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    steps = [i / _BUCKETS for i in range(1, _BUCKETS)]
+    edges = distinct.agg(F.percentile_approx("_v", steps, 10_000)).scalar()
+    counts = distinct.withColumn("_e", edges).withColumn(
+        "_b", F.size(F.filter("_e", lambda e: e < F.col("_v")))
+    ).drop("_e")
     below_in_bucket = Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     inner = counts.withColumn("_in", F.coalesce(F.sum("_c").over(below_in_bucket), F.lit(0)))
     buckets = counts.groupBy("_b").agg(F.sum("_c").alias("_n"))
+    # One row per bucket.
     below = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.select("_b", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_start"))
     total = counts.agg(F.sum("_c"))
-    ranks = inner.join(starts, "_b").select(
+    return inner.join(starts, "_b").select(
         "_v",
         F.coalesce(
             F.try_divide((F.col("_start") + F.col("_in")).cast("double"), total.scalar() - 1), F.lit(0.0)
         ).alias("risk_percentile"),
     )
-    return df.join(ranks, F.col(score) == F.col("_v"), "left").drop("_v")
+
+
+def risk_percentile(df: DataFrame, score: str = "community_risk_prior_score") -> DataFrame:
+    """Percentile rank in [0, 1] without sorting the table in one task; equal scores share a rank."""
+    return df.join(_score_ranks(df, score), F.col(score) == F.col("_v"), "left").drop("_v")
 
 
 def leaderboard(df: DataFrame, weights: dict[str, float], n: int = 100, top: int = 3) -> DataFrame:
-    """The n best communities with percentile, rank and their largest score contributions."""
-    ranked = risk_percentile(df).orderBy(F.desc("community_risk_prior_score"), "geo_id").limit(n)
+    """The n best communities with percentile, rank and their largest score contributions.
+
+    The n rows are taken first; only they meet the percentiles.
+    """
+    score = "community_risk_prior_score"
+    best = df.orderBy(F.desc(score), "geo_id").limit(n)
+    ranked = best.join(_score_ranks(df, score), F.col(score) == F.col("_v"), "left")
     parts = F.array(
         *[F.struct((F.lit(w) * or_zero(F.col(c))).alias("points"), F.lit(c).alias("feature")) for c, w in weights.items()]
     )
@@ -294,8 +306,3 @@ def baseline_models(df: DataFrame, label: str, features: Sequence[str], key: str
         rows.append((name, float(judge.evaluate(scored))))
     data.unpersist()
     return df.sparkSession.createDataFrame(rows, "model string, held_out_auc double")
-
-
-def model_scores(model, df: DataFrame, key: str = "geo_id") -> DataFrame:
-    """Predicted probability per community of a fitted classifier."""
-    return model.transform(df).select(key, vector_to_array("probability")[1].alias("probability"))

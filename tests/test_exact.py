@@ -23,12 +23,12 @@ def skewed(spark):
     return rows, spark.createDataFrame(rows, "k string, a double, b double, c double").repartition(7).persist()
 
 
-@pytest.mark.parametrize("accuracy", [100, 10_000])
-def test_grouped_quantiles(skewed, accuracy):
-    """With accuracy 100 the hot key goes through the bracketed path."""
+@pytest.mark.parametrize(("accuracy", "direct"), [(100, 0), (100, 104), (10_000, 0), (10_000, 100_000)])
+def test_grouped_quantiles(skewed, accuracy, direct):
+    """``direct`` 0 brackets every group, 104 lies between the groups; accuracy 100 makes sketches coarse."""
     rows, df = skewed
     probs = [0.0, 0.1, 0.5, 0.99, 1.0]
-    got = {(r.k, r["name"]): (r.n, r.q) for r in exact_quantiles(df, ["a", "b", "c"], probs, ["k"], accuracy).collect()}
+    got = {(r.k, r["name"]): (r.n, r.q) for r in exact_quantiles(df, ["a", "b", "c"], probs, ["k"], accuracy, direct).collect()}
     keys = {r[0] for r in rows}
     for k in keys:
         for i, name in enumerate("abc", start=1):
@@ -41,15 +41,17 @@ def test_grouped_quantiles(skewed, accuracy):
             assert np.allclose(q, np.quantile(vals, probs), rtol=0, atol=1e-9)
 
 
-def test_global_median(skewed):
+@pytest.mark.parametrize("direct", [0, 6001, 6002])
+def test_global_median(skewed, direct):
     rows, df = skewed
-    row = exact_medians(df, {"m": "a"}, accuracy=100).first()
+    row = exact_medians(df, {"m": "a"}, accuracy=100, direct=direct).first()
     assert row.m == pytest.approx(np.median([r[1] for r in rows]), abs=1e-12)
 
 
-def test_percentile_rank(spark):
+@pytest.mark.parametrize("scale", [1.0, 0.01, 1e-6])
+def test_percentile_rank(spark, scale):
     rng = random.Random(3)
-    scores = [round(rng.gauss(50, 10), 1) for _ in range(800)]
+    scores = [round(rng.gauss(50, 10), 1) * scale for _ in range(800)]
     df = spark.createDataFrame([(str(i), s) for i, s in enumerate(scores)], "geo_id string, community_risk_prior_score double")
     got = {r.geo_id: r.risk_percentile for r in M.risk_percentile(df).collect()}
     for i, s in enumerate(scores):
