@@ -240,8 +240,9 @@ def near_links(docs: DataFrame, classes: DataFrame, shingle: int, percent: int,
             )
 
     texts = docs.select(docs["doc_id"].cast("bigint").alias("node"), docs["text"])
+    # The placed nodes grow with the corpus, so the join is a shuffle at every size.
     sets = written(
-        texts.join(placed, "node").mapInArrow(set_bytes, "node bigint, chunk bigint, shingles binary"), "near-sets"
+        texts.join(placed.hint("merge"), "node").mapInArrow(set_bytes, "node bigint, chunk bigint, shingles binary"), "near-sets"
     )
 
     def verify(group: pd.DataFrame) -> pd.DataFrame:
@@ -298,6 +299,6 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` without documents whose component has a smaller doc_id; rows with a null doc_id stay."""
     judged = near_duplicates(docs, shingle, percent)
-    dropped = judged.where("doc_id <> component_id").select("doc_id").distinct().alias("x")
+    dropped = judged.where("doc_id <> component_id").select("doc_id").distinct().hint("merge").alias("x")
     rows = docs.select(packed(docs).alias("row"))
     return rows.join(dropped, F.col("row.doc_id") == F.col("x.doc_id"), "left_anti").select("row.*")
