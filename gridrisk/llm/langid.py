@@ -141,12 +141,18 @@ def train_network(docs: DataFrame, seed: int = 11) -> ByteNet | None:
     own = docs.select(docs["doc_id"], docs["text"], docs["lang"]).where(
         training_mask(docs["doc_id"]) & docs["lang"].isNotNull() & docs["text"].rlike(r"\p{L}")
     )
+    # Four times the sample passes by hash, so a common language sends no more rows to its task than a
+    # rare one. The rates are one entry for each output of the network: a scalar, no join.
+    rates = own.groupBy("lang").agg((F.lit(4.0 * SAMPLE_DOCS) / F.count(F.lit(1))).alias("rate"))
+    listed = rates.agg(F.map_from_entries(F.collect_list(F.struct("lang", "rate")))).scalar()
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
     step = F.greatest(F.lit(0), F.length("text") - WINDOW) / max(1, SAMPLE_WINDOWS - 1)
     pieces = F.array_distinct(
         F.array(*[F.substring("text", (step * k).cast("int") + 1, F.lit(WINDOW)) for k in range(SAMPLE_WINDOWS)])
     )
-    slim = own.select("lang", "doc_id", F.xxhash64("text").alias("t"), pieces.alias("pieces"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "t"))
+    likely = own.where(place < F.try_element_at(listed, F.col("lang")))
+    slim = likely.select("lang", "doc_id", place.alias("place"), F.xxhash64("text").alias("t"), pieces.alias("pieces"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id", "t"))
     sample = slim.withColumn("n", rank).where(F.col("n") <= SAMPLE_DOCS).select("lang", "n", "pieces").collect()
     sample.sort(key=lambda r: (r["lang"], r["n"]))
     languages = sorted({r["lang"] for r in sample})
