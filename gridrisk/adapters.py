@@ -16,6 +16,18 @@ TABLES = [
 
 VIEWS: dict[str, str] = {}
 
+
+def _five_digits(number: str) -> str:
+    """The number as text of at least five digits; longer numbers stay whole, so ids stay apart."""
+    return f"(CASE WHEN {number} < 100000 THEN lpad(CAST({number} AS STRING), 5, '0') ELSE CAST({number} AS STRING) END)"
+
+
+#: One id per order: five digits like a postal code, then one or more where there are more than 100,000 orders.
+_COMMUNITY_ID = (
+    "(lpad(CAST((o_orderkey * 37) % 100000 AS STRING), 5, '0') || CASE WHEN o_orderkey < 100000 THEN '' "
+    "ELSE CAST(CAST(floor(o_orderkey / 100000) AS BIGINT) AS STRING) END)"
+)
+
 VIEWS["v_parcels"] = """
 SELECT c_custkey AS record_id,
        CASE WHEN c_custkey % 41 = 0 THEN NULL ELSE c_name END AS property_address,
@@ -67,7 +79,7 @@ JOIN {nation} ON c_nationkey = n_nationkey
 """
 
 VIEWS["v_cves"] = """
-SELECT 'CVE-2024-' || lpad(CAST(p_partkey AS STRING), 5, '0') AS cve_id, 'NVD' AS source,
+SELECT 'CVE-2024-' || """ + _five_digits("p_partkey") + """ AS cve_id, 'NVD' AS source,
        '20' || CAST(15 + p_partkey % 10 AS STRING) || '-06-01' AS published_date,
        CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE CAST(30 + p_partkey % 71 AS DOUBLE) / 10 END AS cvss_score,
        CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 71 >= 60 THEN 'CRITICAL'
@@ -79,7 +91,7 @@ FROM {part}
 """
 
 VIEWS["v_products"] = """
-SELECT 'CVE-2024-' || lpad(CAST(l_partkey AS STRING), 5, '0') AS cve_id,
+SELECT 'CVE-2024-' || """ + _five_digits("l_partkey") + """ AS cve_id,
        CASE l_suppkey % 8 WHEN 0 THEN 'growatt' WHEN 1 THEN 'sungrowpower' WHEN 2 THEN 'sma'
             WHEN 3 THEN 'linux' WHEN 4 THEN 'fusionsolar' WHEN 5 THEN NULL WHEN 6 THEN 'acme_corp'
             ELSE 'enphase' END AS vendor,
@@ -111,8 +123,8 @@ FROM {orders}
 """
 
 VIEWS["v_acs"] = """
-SELECT lpad(CAST((o_orderkey * 37) % 100000 AS STRING), 5, '0') AS geo_id,
-       'ZCTA5 ' || lpad(CAST((o_orderkey * 37) % 100000 AS STRING), 5, '0') AS name,
+SELECT """ + _COMMUNITY_ID + """ AS geo_id,
+       'ZCTA5 ' || """ + _COMMUNITY_ID + """ AS name,
        CAST(o_orderkey % 500 AS DOUBLE) AS total_housing_units,
        CAST(o_orderkey % 450 AS DOUBLE) AS occupied_units,
        CAST(o_orderkey % 300 AS DOUBLE) AS owner_occupied_units,
@@ -133,7 +145,7 @@ SELECT geo_id, lat, lon FROM (
   SELECT geo_id, 25 + CAST(CAST(geo_id AS BIGINT) % 200 AS DOUBLE) / 10 AS lat,
          CASE WHEN CAST(geo_id AS BIGINT) % 19 = 0 THEN NULL
               ELSE -120 + CAST(CAST(geo_id AS BIGINT) % 300 AS DOUBLE) / 10 END AS lon
-  FROM (SELECT DISTINCT lpad(CAST((o_orderkey * 37) % 100000 AS STRING), 5, '0') AS geo_id FROM {orders}) d
+  FROM (SELECT DISTINCT """ + _COMMUNITY_ID + """ AS geo_id FROM {orders}) d
 ) g WHERE lon IS NOT NULL
 """
 
@@ -141,7 +153,7 @@ SELECT geo_id, lat, lon FROM (
 VIEWS["v_cve_hits"] = """
 SELECT p_partkey * 2 + h AS seq, CASE h WHEN 0 THEN 'solar inverter' ELSE 'photovoltaic' END AS keyword,
        p_partkey, h, p_name,
-       'CVE-2024-' || lpad(CAST(p_partkey AS STRING), 5, '0') AS cve_id,
+       'CVE-2024-' || """ + _five_digits("p_partkey") + """ AS cve_id,
        CASE WHEN p_partkey % 19 = 0 THEN '' ELSE '20' || CAST(15 + p_partkey % 10 AS STRING) || '-06-01T10:00:00.000' END AS published,
        '2024-0' || CAST(1 + h AS STRING) || '-02T03:04:05.000' AS last_modified,
        CASE h WHEN 0 THEN 'Analyzed' ELSE 'Modified' END AS vuln_status,
@@ -158,8 +170,8 @@ FROM (SELECT p_partkey, p_name, p_size, CAST(0 AS BIGINT) AS h FROM {part}
 
 # Catalogue rows for known parts, and for suppliers that no search has found.
 VIEWS["v_kev"] = """
-SELECT CASE WHEN k = 0 THEN ' CVE-2024-' || lpad(CAST(id AS STRING), 5, '0') || ' '
-            ELSE 'CVE-2023-' || lpad(CAST(id AS STRING), 5, '0') END AS cveID,
+SELECT CASE WHEN k = 0 THEN ' CVE-2024-' || """ + _five_digits("id") + """ || ' '
+            ELSE 'CVE-2023-' || """ + _five_digits("id") + """ END AS cveID,
        CASE id % 4 WHEN 0 THEN 'Growatt' WHEN 1 THEN 'Acme' WHEN 2 THEN NULL ELSE 'Initech' END AS vendorProject,
        'product ' || CAST(id % 9 AS STRING) AS product,
        CASE WHEN id % 3 = 0 THEN 'Weak SOLAR gateway ' ELSE 'Weak gateway ' END || CAST(rev AS STRING) AS shortDescription,

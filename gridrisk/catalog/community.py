@@ -144,16 +144,17 @@ def _(t):
 
 
 @query("scan_grid_dim", f"""
-SELECT d.country AS code, scope, solar_gw, grid_critical, count(*) AS devices FROM v_devices d
-JOIN (VALUES {', '.join(f"('{c}', 'country', {gw}::DOUBLE, {str(k).lower()})" for c, gw, k in C.EUROPE_GRID)},
+SELECT coalesce(g.code, d.code) AS code, scope, solar_gw, grid_critical, coalesce(devices, 0) AS devices
+FROM (SELECT country AS code, count(*) AS devices FROM v_devices GROUP BY country) d
+FULL JOIN (VALUES {', '.join(f"('{c}', 'country', {gw}::DOUBLE, {str(k).lower()})" for c, gw, k in C.EUROPE_GRID)},
       {', '.join(f"('{c}', 'state', {gw}::DOUBLE, {str(k).lower()})" for c, gw, k in C.STATE_GRID)}) g(code, scope, solar_gw, grid_critical)
-  ON d.country = g.code GROUP BY ALL
+  ON d.code = g.code
 """, ["solar_gw"])
 def _(t):
     from gridrisk.sources.readers import grid_dimension
 
     counts = t.v_devices.groupBy(F.col("country").alias("code")).agg(F.count(F.lit(1)).alias("devices"))
-    return grid_dimension(t.spark).join(counts, "code")
+    return grid_dimension(t.spark).join(counts, "code", "full").fillna(0, ["devices"])
 
 
 @query("state_pressure", "SELECT geo_id, solar_cyber_pressure_score FROM s_features", ["solar_cyber_pressure_score"])

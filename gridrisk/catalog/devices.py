@@ -331,7 +331,8 @@ def _(t):
 
 STEPS["region_counts"] = f"""
 SELECT *, devices * 10.0::DOUBLE / 1000 AS mw, devices * 10.0::DOUBLE / 1000 / 1000 / solar_gw * 100 AS pct FROM (
-SELECT country, count(*) AS devices, CAST({_REGION} AS DOUBLE) AS solar_gw FROM v_devices WHERE country <> '' GROUP BY country) r
+SELECT country, count(*) AS devices, CAST({_REGION} AS DOUBLE) AS solar_gw
+FROM (SELECT coalesce(nullif(country, ''), 'XX') AS country FROM v_devices) d GROUP BY country) r
 """
 
 
@@ -340,7 +341,8 @@ SELECT country, devices, solar_gw, mw AS exposed_capacity_mw, mw / 1000 AS expos
        pct > 2.0 AS destabilization_risk, {_LABEL} AS risk_label FROM region_counts
 """, ["solar_gw", "exposed_capacity_mw", "exposed_capacity_gw", "pct_of_grid"])
 def _(t):
-    counts = t.v_devices.filter("country <> ''").groupBy("country").agg(F.count(F.lit(1)).alias("devices"))
+    country = F.coalesce(F.nullif("country", F.lit("")), F.lit("XX")).alias("country")
+    counts = t.v_devices.groupBy(country).agg(F.count(F.lit(1)).alias("devices"))
     return D.exposure_impact(D.join_region_capacity(counts), "devices", "solar_gw", digits=False)
 
 

@@ -214,7 +214,10 @@ def _(t):
     return E.grid_bin_2d(table(t), "median_home_value", "solar_candidate_share", x_below=1_500_000.0, x_scale=1000.0)
 
 
-@query("sample_scatter")
+@query("sample_scatter", """
+SELECT geo_id, log10(greatest(total_housing_units, 1.0)) AS log10_units, solar_candidate_share, community_risk_prior_score
+FROM s_scored ORDER BY md5(geo_id), geo_id LIMIT 5000
+""", ["log10_units", "solar_candidate_share", "community_risk_prior_score"])
 def _(t):
     return E.sample_scatter(CC.scored(t))
 
@@ -424,7 +427,14 @@ def _(t):
     return M.leaderboard(rounded_scores(t), _BOARD).drop("top_features")
 
 
-@query("leaderboard_features")
+_PARTS = ", ".join(f"{{'points': {w} * coalesce({c}, 0), 'feature': '{c}'}}" for c, w in _BOARD.items())
+
+
+@query("leaderboard_features", f"""
+SELECT CAST(row_number() OVER (ORDER BY {SCORE} DESC, geo_id) AS INT) AS rank, geo_id,
+       array_to_string([s.feature for s in list_reverse_sort([{_PARTS}])[1:3]], ',') AS top_features
+FROM (SELECT * REPLACE (round({SCORE}, 6) AS {SCORE}) FROM s_scored) q ORDER BY {SCORE} DESC, geo_id LIMIT 100
+""")
 def _(t):
     return M.leaderboard(rounded_scores(t), _BOARD).select("rank", "geo_id", "top_features")
 

@@ -261,9 +261,9 @@ def grid_bin_2d(df: DataFrame, x: str, y: str, columns: int = 40, x_below: float
 
 
 def sample_scatter(df: DataFrame, n: int = 5000, key: str = "geo_id") -> DataFrame:
-    """A repeatable sample of n rows, chosen by hash of the key."""
+    """A repeatable sample of n rows, chosen by digest of the key."""
     return (
-        df.orderBy(F.xxhash64(key), key)
+        df.orderBy(F.md5(key), key)
         .limit(n)
         .select(
             key,
