@@ -17,6 +17,8 @@ BLOCK_WORDS = 500_000
 SHARD_WORDS = 50_000_000
 #: Words that are ordered together in one task.
 BUCKET_WORDS = 1_000_000
+#: Files of an output shard: ranges of the order inside it, so that one task writes no whole shard.
+SHARD_FILES = 32
 
 
 def word_count(text: Column) -> Column:
@@ -162,14 +164,29 @@ def mix(
     block_words: int = BLOCK_WORDS,
     seed: int = 17,
 ) -> DataFrame:
-    """Rows of ``docs`` as struct ``row``, with size, source_size, target and one row per draw.
+    """The draws of :func:`dealt_mix`."""
+    return dealt_mix(docs, carry, weights, repeats, shard_words, block_words, seed)[0]
+
+
+def dealt_mix(
+    docs: DataFrame,
+    carry: tuple[str, ...] | None = None,
+    weights: tuple[int, ...] = WEIGHTS,
+    repeats: int = REPEATS,
+    shard_words: int = SHARD_WORDS,
+    block_words: int = BLOCK_WORDS,
+    seed: int = 17,
+) -> tuple[DataFrame, int]:
+    """Rows of ``docs`` as struct ``row``, with size, source_size, target and one row per draw; and
+    the number of shards.
 
     The documents of a source are put in a permuted order by hash. Its words in that order, over
     and over, form a stream; the first ``target`` words of it (rounded) are the mix's, so every
     source meets its target to the word and no document is taken more than ``repeats`` times. The
     stream is cut into blocks of ``block_words``; the splitting tree deals the blocks to shards, and
     each shard takes the next run of blocks of each source. A draw (``copy`` from 0, ``words``,
-    ``shard``, ``place``: the order inside the shard) belongs to the block in which it begins.
+    ``shard``, ``place``: the order inside the shard) belongs to the block in which it begins; there
+    is none where that block is not dealt, and no word past the dealt blocks is taken.
     The last draw of a source may be cut: ``words`` is how many of the document's first words it takes.
 
     A document without a draw has one row with null copy and 0 words; a null text or one without
@@ -201,10 +218,12 @@ def mix(
     dealt = (
         split_quotas(quotas, shards, seed)
         .withColumn("end", F.sum("blocks").over(by_shard))
+        .withColumn("dealt", F.sum("blocks").over(Window.partitionBy("source")) * block_words)
         .where(F.col("blocks") > 0)
         .select(
             F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("skey"),
             "shard",
+            "dealt",
             F.explode(F.sequence(F.col("end") - F.col("blocks"), F.col("end") - 1)).alias("block"),
         )
     )
@@ -231,17 +250,18 @@ def mix(
         .distinct()
         .join(dealt, ["skey", "block"])
         .groupBy("skey", "bucket")
-        .agg(F.map_from_entries(F.collect_list(F.struct("block", "shard"))).alias("shards"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("block", F.struct("shard", "dealt")))).alias("blocks"))
     )
-    starts = starts.join(met, ["skey", "bucket"], "left").select("skey", "bucket", "start", "shards")
+    starts = starts.join(met, ["skey", "bucket"], "left").select("skey", "bucket", "start", "blocks")
 
     inside = Window.partitionBy("skey", "bucket").orderBy("key", "id", "size")
     draws = F.expr(
-        f"filter(transform(sequence(0, {repeats} - 1), c -> named_struct('copy', c, "
-        "'begin', c * source_size + at, "
-        "'words', greatest(0L, least(size, CAST(round(target) AS BIGINT) - (c * source_size + at))))), d -> d.words > 0)"
+        f"filter(transform(sequence(0, {repeats} - 1), c -> transform(array(named_struct('begin', c * source_size + at, "
+        f"'block', try_element_at(blocks, (c * source_size + at) DIV {block_words}))), b -> named_struct("
+        "'copy', c, 'shard', b.block.shard, 'words', greatest(0L, least(size, "
+        "least(b.block.dealt, CAST(round(target) AS BIGINT)) - b.begin))))[0]), d -> d.shard IS NOT NULL AND d.words > 0)"
     )
-    return (
+    drawn = (
         placed.withColumn("n", F.row_number().over(inside))
         .withColumn(
             "before",
@@ -260,12 +280,22 @@ def mix(
             "target",
             F.col("d.copy").alias("copy"),
             F.coalesce("d.words", F.lit(0).cast("bigint")).alias("words"),
-            F.get(F.map_values(F.map_filter("shards", lambda k, _: k == F.expr(f"d.begin DIV {block_words}"))), 0).alias(
-                "shard"
-            ),
+            F.col("d.shard").alias("shard"),
             F.xxhash64("key", "n", "d.copy").alias("place"),
         )
     )
+    return drawn, shards
+
+
+def in_shards(draws: DataFrame, shards: int) -> DataFrame:
+    """``draws`` with a shard, by shard and by place inside it: written, ``SHARD_FILES`` files a shard in file order.
+
+    A file holds an even range of places, which are hashes, so the files of a shard are alike in size.
+    """
+    piece = F.shiftright((F.shiftright("place", 32) + F.lit(1 << 31)) * SHARD_FILES, 32)
+    return draws.repartitionById(shards * SHARD_FILES, (F.col("shard") * SHARD_FILES + piece).cast("int")).sortWithinPartitions(
+        "shard", "place"
+    )
 
 
 def first_words(text: Column, words: Column) -> Column:

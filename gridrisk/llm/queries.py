@@ -66,7 +66,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words the mix takes of every document: the sum of its draws."""
+    """Words the mix takes of every document, the sum of its draws, and the draws' shards and places by copy."""
     draws = mix(table(spark, sf_dir, "documents"), carry=("doc_id",))
     return (
         draws.groupBy("source", "bucket", "n")
@@ -74,8 +74,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.first("row.doc_id").alias("doc_id"),
             *[F.first(c).alias(c) for c in ("size", "source_size", "target")],
             F.sum("words").alias("taken"),
+            F.array_sort(F.collect_list(F.when(F.col("copy").isNotNull(), F.struct("copy", "shard", "place")))).alias("draws"),
         )
-        .drop("source", "bucket", "n")
+        .withColumns({"shard": F.col("draws.shard"), "place": F.col("draws.place")})
+        .drop("source", "bucket", "n", "draws")
     )
 
 

@@ -1,16 +1,22 @@
 """Decontamination, mixing, line dedup, licenses: brute force, odd rows, empty tables."""
 
+import glob
 import hashlib
 import re
 from collections import Counter, defaultdict
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+from gridrisk.llm import mixing
 from gridrisk.llm.decontaminate import decontaminate
 from gridrisk.llm.licenses import scan_licenses
 from gridrisk.llm.lines import dedup_lines
 from gridrisk.llm.mixing import first_words, mix, source_targets, split_quotas
+from gridrisk.llm.queries import QUERIES
+from gridrisk.session import scratch_path
 from tests.llm.conftest import BASE, LONG, ROWS, WORDS
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -159,6 +165,61 @@ def test_mix_meets_targets(spark, odd_docs, no_docs):
     assert mix(no_docs).count() == 0
 
 
+def test_dealt_blocks_decide_the_draws(spark, odd_docs, monkeypatch):
+    whole = Counter()
+    for r in mix(odd_docs, shard_words=9_000, block_words=500).collect():
+        whole[r["source"]] += r["words"]
+
+    def fewer(quotas, shards, seed):
+        return split_quotas(quotas, shards, seed).where("NOT (source <=> 'a')").withColumn(
+            "blocks", F.when(F.col("source") == "b", F.least("blocks", F.lit(2))).otherwise(F.col("blocks"))
+        )
+
+    runs = {(r["source"], r["shard"]): r["blocks"] for r in fewer(mixing_quotas(odd_docs, 500), 7, 17).collect()}
+    monkeypatch.setattr(mixing, "split_quotas", fewer)
+    rows = mix(odd_docs, shard_words=9_000, block_words=500).collect()
+    taken = Counter()
+    for r in rows:
+        taken[r["source"]] += r["words"]
+    assert whole["a"] > 0 and taken["a"] == 0
+    assert taken["b"] == 500 * sum(n for (s, _), n in runs.items() if s == "b") < whole["b"]
+    assert len({(r["source"], r["bucket"], r["n"]) for r in rows}) == len(ROWS)
+
+
+def mixing_quotas(docs, block_words):
+    sizes = docs.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("source_size"))
+    return source_targets(sizes).select("source", F.ceil(F.round("target") / block_words).cast("bigint").alias("blocks"))
+
+
+def test_mix_is_written_by_shard(spark):
+    rows = [(i, " ".join(["w"] * (1 + i % 9)), f"s{i % 3}", 1) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars int").repartition(3)
+    draws, shards = mixing.dealt_mix(docs, shard_words=700, block_words=50)
+    draws = draws.where("copy IS NOT NULL")
+    order = sorted((r["shard"], r["place"]) for r in draws.collect())
+    assert shards == 5 and {s for s, _ in order} == set(range(shards))
+    path = scratch_path(spark, "by-shard")
+    mixing.in_shards(draws, shards).write.parquet(path)
+    files = [pq.read_table(f).select(["shard", "place"]).to_pylist() for f in sorted(glob.glob(f"{path}/part-*"))]
+    assert [(r["shard"], r["place"]) for f in files for r in f] == order
+    assert all(len({r["shard"] for r in f}) <= 1 for f in files) and len(files) > 2 * shards
+    want = [r["row"]["doc_id"] for r in mix(docs).where("copy IS NOT NULL").orderBy("shard", "place").collect()]
+    assert [r["doc_id"] for r in corpus_pipeline.mixed(spark, docs, "").collect()] == want
+
+
+def test_mix_query_tells_shards(spark):
+    folder = "/root/testdata/sf0.001"
+    got = {r["doc_id"]: r for r in QUERIES["op2_mix_sources"](spark, folder).collect()}
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    want = defaultdict(list)
+    for r in mix(docs).where("copy IS NOT NULL").collect():
+        want[r["row"]["doc_id"]].append((r["copy"], r["shard"], r["place"]))
+    assert len(got) == docs.count()
+    for i, r in got.items():
+        assert list(zip(r["shard"], r["place"], strict=True)) == [(s, p) for _, s, p in sorted(want[i])]
+        assert (r["taken"] > 0) == (len(r["shard"]) > 0)
+
+
 def test_first_words(spark):
     rows = [("a b  c\nd ", 3), (" a b", 1), ("a", 1), (" x  y z", 2), (LONG, 59_000)]
     df = spark.createDataFrame(rows, "t string, w bigint")
