@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, each over its whole table, and their checking SQL."""
+"""The registered queries of the thirteen operators, each over its whole table, and their checking SQL."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridrisk.llm.common import table
+from gridrisk.llm.conversations import damaged, repair
 from gridrisk.llm.decontaminate import decontaminate
 from gridrisk.llm.langid import identify_language
 from gridrisk.llm.licenses import COPYRIGHT, SPELLINGS, scan_licenses
@@ -121,6 +122,21 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = damaged(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    left = F.when(F.col("copies") > 0, F.col("turn"))
+    gaps = F.coalesce(F.max(left) - F.min(left) + 1 - F.countDistinct(left), F.lit(0)).alias("gaps")
+    every = rows.groupBy("conv_id").agg(gaps)
+    found = repair(rows).withColumnRenamed("conv_id", "found_id")
+    return every.join(found, F.col("conv_id").eqNullSafe(F.col("found_id")), "left").select(
+        "conv_id",
+        "gaps",
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("blank", "duplicate", "truncated", "illegal", "cost")],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mix_sources": op2_mix_sources,
@@ -132,6 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_language_id": op9_language_id,
     "op10_token_ids": op10_token_ids,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 OP1_SQL = r"""
