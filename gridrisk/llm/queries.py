@@ -17,6 +17,7 @@ from gridrisk.llm.lm import lm_scores
 from gridrisk.llm.mixing import mix
 from gridrisk.llm.near import near_duplicates
 from gridrisk.llm.neighbours import nearest
+from gridrisk.llm.repeats import remove_repeats
 from gridrisk.llm.tokens import decode_tokens, encode_tokens
 from gridrisk.llm.urls import judge_urls
 from gridrisk.session import scratch_path
@@ -122,6 +123,16 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = damaged(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     left = F.when(F.col("copies") > 0, F.col("turn"))
@@ -148,6 +159,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_language_id": op9_language_id,
     "op10_token_ids": op10_token_ids,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
