@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridrisk.llm.collocations import collocations
 from gridrisk.llm.common import table
 from gridrisk.llm.conversations import damaged, repair
 from gridrisk.llm.decontaminate import decontaminate
@@ -123,6 +124,10 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+
+
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id",
@@ -159,6 +164,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_language_id": op9_language_id,
     "op10_token_ids": op10_token_ids,
+    "op11_collocations": op11_collocations,
     "op12_suffix_dedup": op12_suffix_dedup,
     "op13_conversation_repair": op13_conversation_repair,
 }
