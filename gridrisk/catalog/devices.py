@@ -8,6 +8,7 @@ from gridrisk import adapters, constants as C
 from gridrisk.catalog.registry import STEPS, query, sql_case, sql_contains_any, sql_list
 from gridrisk.functions import matching as M
 from gridrisk.functions.geo import critical_regions
+from gridrisk.operators import containment as K
 from gridrisk.operators import devices as D
 
 # --- observations --------------------------------------------------------------------------
@@ -95,8 +96,7 @@ def _rule_sql() -> str:
 @query("rule_match_banners", _rule_sql())
 def _(t):
     body = F.concat_ws(" ", F.coalesce("data", F.lit("")), F.coalesce("html", F.lit("")))
-    hits = D.rule_match_banners(t.v_observed, body, F.col("title"), F.array("port"))
-    return hits.select("seq", "rule_vendor", "rule")
+    return K.matched_rules(t.v_observed, "seq", K.banner_rule_table(t.spark), body, F.col("title"), F.array("port"))
 
 
 @query("union_query_results", """
@@ -174,22 +174,19 @@ def _(t):
 
 @query("join_keyword_vendor", f"SELECT ingest_seq, {_KEY} AS vendor_key FROM v_devices")
 def _(t):
-    return t.v_devices.select("ingest_seq", M.vendor_key(F.col("vendor")).alias("vendor_key"))
+    return K.vendor_keys(t.v_devices, K.dictionary_tables(t.spark)["keywords"]).select("ingest_seq", "vendor_key")
 
 
 @query("join_firmware_intel", f"SELECT ingest_seq, CAST({_FIRMWARE_RISK} AS DOUBLE) AS firmware_risk FROM (SELECT *, {_KEY} AS vendor_key FROM v_devices) d",
        ["firmware_risk"])
 def _(t):
-    return t.v_devices.select(
-        "ingest_seq", M.firmware_risk(M.vendor_key(F.col("vendor")), F.col("firmware_version")).alias("firmware_risk")
-    )
+    rules = K.dictionary_tables(t.spark)
+    return K.firmware_risks(K.vendor_keys(t.v_devices, rules["keywords"]), rules["firmware"]).select("ingest_seq", "firmware_risk")
 
 
 @query("cve_component", "SELECT ingest_seq, cve_part AS cve_component FROM d_parts", ["cve_component"])
 def _(t):
-    return D.dedup_device(t.v_devices).select(
-        "ingest_seq", D.cve_component(F.col("vendor"), F.col("firmware_version")).alias("cve_component")
-    )
+    return K.vendor_risks(D.dedup_device(t.v_devices), K.dictionary_tables(t.spark)).select("ingest_seq", "cve_component")
 
 
 @query("firmware_age", "SELECT ingest_seq, age_part AS firmware_age FROM d_parts", ["firmware_age"])
@@ -199,7 +196,8 @@ def _(t):
 
 @query("matched_cves", "SELECT ingest_seq, matched_cves FROM d_parts")
 def _(t):
-    return D.dedup_device(t.v_devices).select("ingest_seq", F.array_join(D.matched_cves(F.col("vendor")), ",").alias("matched_cves"))
+    known = K.vendor_risks(D.dedup_device(t.v_devices), K.dictionary_tables(t.spark))
+    return known.select("ingest_seq", F.array_join("matched_cves", ",").alias("matched_cves"))
 
 
 @query("device_score", """

@@ -12,6 +12,7 @@ from gridrisk.catalog import devices as DC
 from gridrisk.catalog import threat as TC
 from gridrisk.catalog.registry import STEPS, query
 from gridrisk.operators import vulnerabilities as V
+from gridrisk.operators.containment import vendor_risks
 from gridrisk.session import scratch_path
 from gridrisk.sources import readers as R
 from gridrisk.sources import writers as W
@@ -184,6 +185,26 @@ def _(t):
     )
 
 
+STEPS["supplied"] = """
+SELECT l_orderkey, l_linenumber, s_suppkey, s_name, 'fw ' || CAST(l_suppkey % 50 AS STRING) AS own FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
+"""
+
+
+@query("landed_dictionary_scores", """
+SELECT l_orderkey, l_linenumber, s_name AS vendor_key, 'CVE-A-' || CAST(s_suppkey AS STRING) || ',CVE-B-' || CAST(s_suppkey AS STRING) AS matched_cves,
+       CAST(CASE WHEN contains(own, 'fw ' || CAST(s_suppkey AS STRING)) OR contains('fw ' || CAST(s_suppkey AS STRING), own) THEN 0.2 ELSE 1.0 END AS DOUBLE) AS cve_component
+FROM supplied
+""", ["cve_component"])
+def _(t):
+    """Shipped units, named by their supplier, judged by the dictionaries that were landed for the suppliers."""
+    name = F.concat(F.lit("Unit of "), "s_name", F.lit(" ("), F.col("l_linenumber").cast("string"), F.lit(")"))
+    units = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(
+        "l_orderkey", "l_linenumber", name.alias("vendor"), F.concat(F.lit("FW "), (F.col("l_suppkey") % 50).cast("string")).alias("firmware_version")
+    )
+    known = vendor_risks(units, dictionaries(t))
+    return known.select("l_orderkey", "l_linenumber", "vendor_key", F.array_join("matched_cves", ",").alias("matched_cves"), "cve_component")
+
+
 # --- sinks ---------------------------------------------------------------------------------
 # A delimited file cannot tell '' from missing; both are read back as missing.
 @query("sink_table_csv", "SELECT nullif(vendor, '') AS vendor, cve_count, product_count, max_cvss FROM vendor_prior_rows", ["max_cvss"])

@@ -10,6 +10,7 @@ from gridrisk.functions import matching as M
 from gridrisk.functions.geo import critical_regions, is_critical_region, region_capacity
 from gridrisk.functions.numeric import as_count, half_even
 from gridrisk.functions.text import contains_any, date_prefix
+from gridrisk.operators.containment import vendor_risks
 from gridrisk.operators.parcels import first_per_key
 
 
@@ -75,7 +76,7 @@ def union_query_results(*results: DataFrame) -> DataFrame:
 
 
 def rule_match_banners(df: DataFrame, text: Column, title: Column, ports: Column) -> DataFrame:
-    """One row per observation and matching vendor rule."""
+    """One row per observation and matching built-in vendor rule; ``containment.matched_rules`` takes rules from a table."""
     return df.withColumn("_hit", F.explode(M.matched_banner_rules(text, title, ports))).select(
         *df.columns, F.col("_hit.vendor").alias("rule_vendor"), F.col("_hit.rule").alias("rule")
     )
@@ -112,14 +113,23 @@ def severity(score: Column) -> Column:
     )
 
 
-def score_devices(devices: DataFrame) -> DataFrame:
+def score_devices(devices: DataFrame, dictionary: dict[str, DataFrame] | None = None) -> DataFrame:
     """Risk score 0–100, severity, component points and matched CVEs.
 
-    The weighted parts are added in a fixed order, because half-even rounding sees the last bit.
+    ``dictionary`` has the tables of a landed vendor dictionary; without one the built-in rules
+    score, as expressions. The weighted parts are added in a fixed order, because half-even rounding
+    sees the last bit.
     """
+    if dictionary is not None:
+        known = vendor_risks(devices, dictionary).drop("vendor_key", "firmware_risk")
+        return _scored(known, F.col("cve_component"), F.col("matched_cves")).drop("cve_component")
+    return _scored(devices, cve_component(F.col("vendor"), F.col("firmware_version")), matched_cves(F.col("vendor")))
+
+
+def _scored(devices: DataFrame, cve_part: Column, cves: Column) -> DataFrame:
     industrial = F.coalesce(F.col("has_modbus"), F.lit(False)) | F.coalesce(F.col("has_mqtt"), F.lit(False))
     parts = {
-        "cve": cve_component(F.col("vendor"), F.col("firmware_version")),
+        "cve": cve_part,
         "default_creds": F.when(F.col("default_creds_indicator"), F.lit(1.0)).otherwise(F.lit(0.0)),
         "no_tls": F.when(F.col("has_tls"), F.lit(0.0)).otherwise(F.lit(1.0)),
         "industrial_protocol": F.when(industrial, F.lit(1.0)).otherwise(F.lit(0.0)),
@@ -141,7 +151,7 @@ def score_devices(devices: DataFrame) -> DataFrame:
         {
             "risk_severity": severity(F.col("risk_score")),
             "risk_components": components,
-            "matched_cves": matched_cves(F.col("vendor")),
+            "matched_cves": cves,
         }
     ).drop("_p")
 

@@ -114,11 +114,11 @@ def read_cve_pages(spark: SparkSession, path: str) -> DataFrame:
 PAGE_ROWS = 1_000_000
 
 
-def explode_cve_pages(pages: DataFrame, keep: Sequence[str] = (), seq: Column | None = None) -> DataFrame:
-    """One row per listed CVE; ``seq`` stands in where a page has none."""
+def explode_cve_pages(pages: DataFrame, keep: Sequence[str] = (), seq: Column | None = None, place: bool = False) -> DataFrame:
+    """One row per listed CVE; ``seq`` stands in where a page has none. ``place`` adds ``pos``, the place in its page."""
     rows = pages.select("seq", "keyword", *keep, F.posexplode("vulnerabilities").alias("pos", "v"))
     number = F.col("seq") if seq is None else F.coalesce("seq", seq)
-    return rows.select(number.alias("seq"), "keyword", *keep, F.col("v.cve").alias("cve")).filter(
+    return rows.select(number.alias("seq"), "keyword", *keep, *["pos"] * place, F.col("v.cve").alias("cve")).filter(
         F.coalesce(F.col("cve.id"), F.lit("")) != ""
     )
 

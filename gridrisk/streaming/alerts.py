@@ -2,34 +2,75 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gridrisk import constants as C
 from gridrisk.operators import community, threat, vulnerabilities as V
 from gridrisk.operators.parcels import first_per_key
 from gridrisk.sources.readers import explode_cve_pages, page_files, parse_cve_pages
+from gridrisk.sources.writers import write_table
 
 
-SEEN_SCHEMA = (
-    "cve_id string, description string, cvss_v3_score double, cvss_v3_severity string, batch bigint"
-)
 # The source forgets no file: its own age limit, a week by default, is set out of reach.
 NO_AGE_LIMIT = "36500d"
+STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State on local disk with its changes in the checkpoint, so that it may outgrow an executor's memory.
+DISK_STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+LISTED = ["cve_id", "description", "cvss_v3_score", "cvss_v3_severity"]
+PLACE = ["file_time", "file_path", "doc", "pos"]
+LISTED_SCHEMA = "cve_id string, description string, cvss_v3_score double, cvss_v3_severity string"
 
-def listed_cves(pages: DataFrame) -> DataFrame:
-    """One row per CVE of some parsed pages; of several, the one listed first by page time and place."""
-    flat = explode_cve_pages(pages, ["file_time", "file_path", "doc"]).select(
-        "file_time",
-        "file_path",
-        "doc",
+
+def listings(pages: DataFrame) -> DataFrame:
+    """Every listing of a CVE on some parsed pages, with the time and place of the page and the place on it."""
+    rows = explode_cve_pages(pages, PLACE[:3], place=True)
+    return rows.select(
+        *PLACE,
         F.col("cve.id").alias("cve_id"),
         V.first_english(F.col("cve.descriptions")).alias("description"),
         V.cvss_pick_v3(F.col("cve.metrics")).alias("m"),
-    )
-    first = first_per_key(flat, "cve_id", F.col("file_time").asc(), F.col("file_path").asc(), F.col("doc").asc())
-    return first.select("cve_id", "description", "m.cvss_v3_score", "m.cvss_v3_severity")
+    ).select(*LISTED[:2], "m.cvss_v3_score", "m.cvss_v3_severity", *PLACE)
+
+
+def listed_cves(pages: DataFrame) -> DataFrame:
+    """One row per CVE of some parsed pages; of several, the one listed first by page time and place."""
+    first = first_per_key(listings(pages), "cve_id", *[F.col(c).asc() for c in PLACE])
+    return first.select(*LISTED)
+
+
+def first_sights(rows: DataFrame) -> DataFrame:
+    """Streaming ``listings`` → one row for each CVE that no earlier batch had, kept as keyed state.
+
+    The state of a CVE is one mark, in the state store's partition of its id; a batch reads the
+    marks of its own CVEs only. Of several listings in a batch the first by page time and place
+    counts.
+    """
+    columns, order = LISTED, PLACE
+
+    class FirstSight(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.seen = handle.getValueState("seen", "alerted boolean")
+
+        def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+            known, best = self.seen.exists(), None
+            for frame in rows:
+                if not known:
+                    first = frame.sort_values(order).iloc[:1]
+                    best = first if best is None else pd.concat([best, first]).sort_values(order).iloc[:1]
+            if best is not None:
+                self.seen.update((True,))
+                yield best[columns]
+
+        def close(self) -> None:
+            pass
+
+    return rows.groupBy("cve_id").transformWithStateInPandas(FirstSight(), LISTED_SCHEMA, "Append", "None")
 
 
 def alerts(cves: DataFrame, communities: DataFrame, pressure: DataFrame, n: int = C.ALERT_TOP_N,
@@ -40,40 +81,47 @@ def alerts(cves: DataFrame, communities: DataFrame, pressure: DataFrame, n: int
 
 
 def run_alert_stream(spark: SparkSession, pages_path: str, out_path: str, checkpoint: str, communities: DataFrame,
-                     pressure: DataFrame, files_per_batch: int | None = None) -> None:
+                     pressure: DataFrame, files_per_batch: int | None = None) -> list[dict]:
     """Process every page file that has arrived, append the alerts and stop.
 
     Run it on a schedule with the same checkpoint: each run takes only files it has not taken
-    before, whatever their modification time, and waits for the whole backlog. A CVE is new if no
-    other batch has stored it: the CVEs of a batch are met with the table of seen ones, and what is
-    left is stored there and alerted. A batch writes into its own folders in overwrite mode, so a
-    retried batch neither loses nor repeats alerts.
+    before, whatever their modification time, and waits for the whole backlog. Which CVEs were seen
+    is keyed state in the checkpoint, so a batch reads its own files and the marks of its own CVEs,
+    however long the history. A batch writes into its own folder in overwrite mode, and state and
+    files move on together, so a retried batch neither loses nor repeats alerts. A CVE whose page
+    arrives late alerts by the listing that arrived first. Returns Spark's progress reports of the
+    batches.
     """
     reader = spark.readStream.format("text").option("wholetext", True).option("maxFileAge", NO_AGE_LIMIT)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    files = page_files(reader.load(pages_path))
-    seen_path, alert_path = f"{out_path}/seen", f"{out_path}/alerts"
-    # A first, empty batch gives both tables their folder.
-    spark.createDataFrame([], SEEN_SCHEMA).drop("batch").write.mode("overwrite").parquet(f"{seen_path}/batch=-1")
+    new = first_sights(listings(parse_cve_pages(page_files(reader.load(pages_path)))))
+    alert_path = f"{out_path}/alerts"
+    # A first, empty batch gives the table its folder.
     spark.createDataFrame([], ALERT_SCHEMA).write.mode("overwrite").parquet(f"{alert_path}/batch=-1")
 
     def emit(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        seen = session.read.schema(SEEN_SCHEMA).parquet(seen_path).filter(F.col("batch") != batch_id).select("cve_id")
-        new = listed_cves(parse_cve_pages(batch)).join(seen, "cve_id", "left_anti")
-        mine = f"{seen_path}/batch={batch_id}"
-        new.write.mode("overwrite").parquet(mine)
-        stored = session.read.schema(new.schema).parquet(mine)
+        # Stored before it is used, so that the state is read once however often the alerts need it.
+        stored = write_table(batch, f"{out_path}/sights/batch={batch_id}")
         alerts(stored, communities, pressure).write.mode("overwrite").parquet(f"{alert_path}/batch={batch_id}")
 
-    query = (
-        files.writeStream.foreachBatch(emit)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    before = spark.conf.get(STATE_PROVIDER, None)
+    spark.conf.set(STATE_PROVIDER, DISK_STATE)
+    try:
+        query = (
+            new.writeStream.foreachBatch(emit)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        # A started query keeps the settings that it began with.
+        if before is None:
+            spark.conf.unset(STATE_PROVIDER)
+        else:
+            spark.conf.set(STATE_PROVIDER, before)
     query.awaitTermination()
+    return [json.loads(p.json) for p in query.recentProgress]
 
 
 ALERT_SCHEMA = (

@@ -122,6 +122,30 @@ def test_stream_takes_late_and_old_files(spark, tmp_path):
     assert sorted(r.geo_id for r in rows if r.cve_id == "C1") == [f"{i:02d}" for i in range(10, 20)]
 
 
+def test_stream_keeps_first_sights_as_keyed_state(spark, tmp_path):
+    """Batches read their own files alone, the state holds one mark a CVE, and the alerts are those of one batch job."""
+    communities = spark.createDataFrame([(f"{i:02d}", i / 20) for i in range(20)], "geo_id string, solar_readiness double")
+    pressure = spark.createDataFrame([("sma", 0.8)], "vendor string, cyber_pressure_score double")
+    pages, out, state = tmp_path / "pages", str(tmp_path / "out"), str(tmp_path / "state")
+    marks, listed = [], {}
+    for run in range(4):
+        # One CVE of the run before comes again, and one is listed twice on a page.
+        cves = [(f"C{run}", "SMA flaw", 9.0 + run / 10), (f"C{run - 1}", "SMA again", 9.9), (f"C{run}", "SMA twice", 9.8)]
+        landed(pages, f"{run}.json", *cves)
+        for cve_id, _, score in cves:
+            listed.setdefault(cve_id, score)
+        reports = [r for r in A.run_alert_stream(spark, str(pages), out, state, communities, pressure) if r["numInputRows"]]
+        assert [r["numInputRows"] for r in reports] == [1]
+        marks.append(reports[-1]["stateOperators"][0]["numRowsTotal"])
+    assert marks == [2, 3, 4, 5]
+    batch = spark.createDataFrame([(c, "SMA", s) for c, s in listed.items()], "cve_id string, description string, cvss_v3_score double")
+    want = A.alerts(batch, communities, pressure)
+    assert sorted(map(tuple, A.read_alerts(spark, out).select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    # The same checkpoint once more: nothing new, nothing repeated.
+    A.run_alert_stream(spark, str(pages), out, state, communities, pressure)
+    assert A.read_alerts(spark, out).count() == want.count()
+
+
 def test_csv_goes_by_name_and_keeps_line_breaks(spark, tmp_path):
     path = tmp_path / "x.csv"
     path.write_text('b, a ,extra\n1,"two\nlines, ""q""",z\n2,,z\n')
