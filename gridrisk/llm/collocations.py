@@ -30,7 +30,7 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 #: A candidate goes if a longer one around it has at least this share of its occurrences, in percent.
 PERCENT = 100
 #: Bytes of text in a chunk, and of text whose n-grams one range takes.
-CHUNK_BYTES, RANGE_BYTES = 8_000_000, 64_000_000
+CHUNK_BYTES, RANGE_BYTES = 8_000_000, 20_000_000
 UNKNOWN = "und"
 
 WORDS, PAIRS = 1, 2
