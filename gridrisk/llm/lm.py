@@ -1,9 +1,7 @@
-"""Scores of a smoothed bigram model, read as a weighted automaton with failure arcs."""
+"""Scores of a smoothed trigram model, read as a weighted automaton with failure arcs."""
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -11,18 +9,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridrisk.llm.common import ship, written
+from gridrisk.llm.exchange import RUNS, dealt, planes, run_table, runs, texts_of, unpacked_run, unplaned
 
-#: Bytes of text in one chunk; also what sets the number of key ranges.
-CHUNK_BYTES = 16_000_000
+#: Bytes of text in one chunk, and of text whose keys one range takes.
+CHUNK_BYTES, RANGE_BYTES = 8_000_000, 16_000_000
 #: Added to every word's count in the unigram model.
 ADDED = 0.1
-#: Strength of the unigram model below a bigram count, in tokens.
-STRENGTH = 200.0
+#: Strength of the shorter history below a bigram and a trigram count, in tokens.
+STRENGTHS = (200.0, 100.0)
 #: One document in so many is held out.
 HELD_OUT = 10
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
+#: Bits of a key that count.
+KEY_BITS = np.uint64(0xFFFFFFFFFFFFFF00)
 
-REQUEST = "chunk int, kind int, range int, keys binary, counts binary"
 ANSWER = "chunk int, kind int, range int, counts binary, types bigint, tokens bigint"
 SCORED = (
     "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
@@ -30,155 +30,148 @@ SCORED = (
 )
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
+class Words(dict):
+    """Numbers of a chunk's words; 0 is the start, 1 the end."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
+        self[word] = number = len(self) + 2
+        return number
 
 
-@lru_cache(maxsize=1)
-def word_hashes() -> WordHashes:
-    return WordHashes()
+def _mixed(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    out = (before ^ (before >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + word
+    out = (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return out ^ (out >> np.uint64(32))
 
 
 class TokenChunk:
-    """The tokens of some documents, one after the other, with their distinct words and bigrams."""
+    """The tokens of some documents, one after the other, with their distinct n-grams of 1, 2 and 3 words.
+
+    ``keys[n]`` are the sorted keys of the n-grams, ``place[n]`` the key of the n-gram that ends at
+    each token, ``counts[n]`` their counts in training texts. The first token's trigram is that
+    of two starts.
+    """
 
-    def __init__(self, texts: list[str | None], train: np.ndarray):
-        get, parts = word_hashes().__getitem__, []
+    def __init__(self, texts: list[bytes], train: np.ndarray):
+        words = Words()
+        get, parts = words.__getitem__, []
         for text in texts:
-            words = (text or "").encode().lower().split()
-            parts.append(np.fromiter(map(get, words), dtype=np.uint64, count=len(words)))
+            own = text.lower().split()
+            parts.append(np.fromiter(map(get, own), dtype=np.int32, count=len(own)))
         self.lengths = np.array([len(p) + 1 for p in parts], dtype=np.int64)
         self.ends = np.cumsum(self.lengths)
-        tokens = np.full(int(self.ends[-1]), END, dtype=np.uint64)
-        before = np.full(len(tokens), START, dtype=np.uint64)
+        numbers = np.ones(int(self.ends[-1]), dtype=np.int32)
         for end, part in zip(self.ends, parts, strict=True):
-            tokens[end - 1 - len(part) : end - 1] = part
-            before[end - len(part) : end] = part
-        pairs = (before ^ (before >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + tokens
-        pairs = (pairs ^ (pairs >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        pairs ^= pairs >> np.uint64(32)
+            numbers[end - 1 - len(part) : end - 1] = part
+        hashed = np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64)
+        own = np.concatenate([np.array([START, END]), hashed])[numbers]
+        begins = self.ends - self.lengths
+        before = np.concatenate([own[:1], own[:-1]])
+        before[begins] = START
+        last = np.concatenate([before[:1], before[:-1]])
+        last[begins] = START
         weights = np.repeat(train, self.lengths)
-        self.words, self.word_of = np.unique(tokens, return_inverse=True)
-        self.pairs, self.pair_of = np.unique(pairs, return_inverse=True)
-        self.word_counts = np.bincount(self.word_of, weights=weights, minlength=len(self.words)).astype(np.uint32)
-        self.pair_counts = np.bincount(self.pair_of, weights=weights, minlength=len(self.pairs)).astype(np.uint32)
-
-    @staticmethod
-    def cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
-        """Where the sorted keys are cut into ranges of equal width."""
-        edges = [(r << 64) // ranges for r in range(1, ranges)]
-        return np.concatenate([[0], np.searchsorted(keys, np.array(edges, dtype=np.uint64)), [len(keys)]]).astype(int)
-
-
-def _planes(values: np.ndarray) -> bytes:
-    """The values byte by byte, all lowest bytes first; what is mostly zero then packs well."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
-
-
-def _unplaned(raw: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+        self.keys, self.place, self.counts = {}, {}, {}
+        pairs = _mixed(before, own)
+        for n, grams in ((1, own), (2, pairs), (3, _mixed(_mixed(last, before), own))):
+            keys, place = np.unique(grams & KEY_BITS, return_inverse=True)
+            self.keys[n], self.place[n] = keys, place.astype(np.int32)
+            self.counts[n] = np.bincount(place, weights=weights, minlength=len(keys)).astype(np.uint32)
 
 
 class BackoffAutomaton:
-    """States: the root, the start, and every word seen in training.
+    """States: the root, and every history of one or two words seen in training.
 
-    A state's arcs are the bigrams seen after it; its failure arc leads to the root, whose arcs are
-    all words. The arc weights are log10 of (c(hw) + s p(w)) / (c(h) + s), of s / (c(h) + s) for a
-    failure, and of p(w) at the root, so the weights out of a state sum to one. A word not seen in
-    training has the root's arc of count 0 and leads to the root.
+    The arcs of a state are the words seen after its history; its failure arc leads to the state of
+    the history without its first word, and from a history of one word to the root, whose arcs are
+    all words. Arc weights are log10 p of (c(gw) + s p'(w)) / (c(g) + s), with p' of the state
+    behind the failure arc, which itself weighs log10 of s / (c(g) + s); so the weights out of a
+    state sum to one. At the root p is (c(w) + 0.1) / (N + 0.1 (V + 1)).
     """
 
-    def __init__(self, word_counts: np.ndarray, pair_counts: np.ndarray, documents: int, tokens: int, types: int):
-        self.root_arc = np.log10((word_counts + ADDED) / (tokens + ADDED * (types + 1)))
-        self.state_count = np.concatenate([[0, documents], word_counts]).astype(np.float64)
-        with np.errstate(divide="ignore"):
-            self.failure = np.where(self.state_count > 0, np.log10(STRENGTH / (self.state_count + STRENGTH)), 0.0)
-        self.pair_counts = pair_counts
-        # The state that a word leads to: its own, or the root where it was never seen.
-        self.target = np.where(word_counts > 0, np.arange(len(word_counts)) + 2, 0)
+    def __init__(self, counts: dict[int, np.ndarray], documents: int, tokens: int, types: int):
+        self.counts, self.documents = counts, documents
+        self.total, self.added = tokens + ADDED * (types + 1), ADDED
 
-    def traverse(self, words: np.ndarray, arcs: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """Weight of each step of one pass from the left; ``begins`` are the first tokens of the texts.
-
-        A state is named by the last word read, so the state carried to a token is the target of
-        the token before it, or the start.
-        """
-        state = np.empty(len(words), dtype=np.int64)
-        state[1:] = self.target[words[:-1]]
-        state[begins] = 1
-        root, seen = self.root_arc[words], self.pair_counts[arcs]
-        context = self.state_count[state]
-        with_arc = np.log10((seen + STRENGTH * 10.0**root) / (context + STRENGTH))
-        return np.where((seen > 0) & (context > 0), with_arc, self.failure[state] + root)
+    def root_arcs(self, place: np.ndarray) -> np.ndarray:
+        return np.log10((self.counts[1][place] + self.added) / self.total)
 
+    def traverse(self, place: dict[int, np.ndarray], begins: np.ndarray) -> np.ndarray:
+        """The weight of every step of one pass from the left over texts that begin at ``begins``.
 
-def lm_scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+        The state carried to a token is that of the longest history seen, which the arc taken for
+        the token before it led to. A step takes the arc for its word, or else the failure arcs
+        until a state has one.
+        """
+        root = self.root_arcs(place[1])
+        first = np.zeros(len(root), dtype=bool)
+        first[begins] = True
+        # Counts of the histories of one and of two words that lead to each token.
+        one = np.concatenate([[0.0], self.counts[1][place[1][:-1]]])
+        one[first] = self.documents
+        two = np.concatenate([[0.0], self.counts[2][place[2][:-1]]])
+        two[first] = 0.0
+        arc_two, arc_three = self.counts[2][place[2]], np.where(first, 0.0, self.counts[3][place[3]])
+        s2, s3 = STRENGTHS
+        p1 = 10.0**root
+        p2 = (arc_two + s2 * p1) / (one + s2)
+        failed_one = np.where(one > 0, np.log10(s2 / (one + s2)), 0.0)
+        at_one = np.where(arc_two > 0, np.log10(p2), failed_one + root)
+        p3 = (arc_three + s3 * 10.0**at_one) / (two + s3)
+        failed_two = np.where(two > 0, np.log10(s3 / (two + s3)), 0.0)
+        return np.where(arc_three > 0, np.log10(p3), failed_two + at_one)
+
+
+def lm_scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words between ASCII white space, A-Z lower-cased, and one end. The model learns
     from all documents whose crc32(doc_id as text) mod 10 is not 0. base_score is the log10
-    probability of the unigram model with 0.1 added, score that of the bigram automaton above it.
+    probability of the unigram model with 0.1 added, score that of the trigram automaton above it.
 
     A null or empty text is its end token. A row with a null doc_id counts as training. Repeated
     rows count and are scored each. An empty table gives an empty result; without training rows
     every word is unknown. Other columns are not read.
 
-    Texts are dealt by hash into chunks of about ``chunk_bytes``. A chunk sends its distinct words
-    and bigrams (64-bit hashes, sorted) with their training counts, cut into as many key ranges as
-    there are chunks; a range adds up the counts of its keys over all chunks and answers each chunk
-    in the order of its keys. A very common bigram is one key per chunk. Each chunk then builds the
-    part of the automaton that its own texts can reach, and is traversed. The counts cover the whole
-    corpus and are never pruned, and no model passes the driver: it gets two sums.
+    Texts are dealt by hash into chunks of about ``chunk_bytes``. A chunk sends its distinct n-grams
+    (56-bit keys, sorted) with their training counts to key ranges, whose number follows the amount
+    of text; a range adds up the counts of its keys over all chunks and answers each chunk in the
+    order of its keys. A very common n-gram is one key per chunk. Each chunk then has the part of the
+    automaton that its own texts can reach, and is traversed. The counts cover the whole corpus and
+    are never pruned, and no model passes the driver: it gets four sums.
     """
     ship(docs.sparkSession)
-    text_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    chunks = max(1, -(-text_bytes // chunk_bytes))
     held = F.coalesce(F.crc32(docs["doc_id"].cast("string")) % HELD_OUT == 0, F.lit(False))
-    dealt = docs.select(
-        docs["doc_id"].cast("bigint").alias("doc_id"),
-        held.alias("held_out"),
-        docs["text"].alias("text"),
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"),
-    )
+    text_bytes, documents = docs.agg(
+        F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(~held)
+    ).first()
+    chunks, ranges = max(1, -(-text_bytes // chunk_bytes)), max(1, -(-text_bytes // range_bytes))
+    texts = dealt(docs.select("doc_id", "text", held.alias("held_out")), chunks, "held_out")
 
     def read(table: pa.Table) -> TokenChunk:
-        return TokenChunk(table.column("text").to_pylist(), ~np.array(table.column("held_out").to_pylist()))
+        return TokenChunk(texts_of(table), ~np.array(table.column("held_out").to_pylist()))
 
     def ask(table: pa.Table) -> pa.Table:
-        own, rows = read(table), []
-        for kind, keys, counts in ((1, own.words, own.word_counts), (2, own.pairs, own.pair_counts)):
-            cuts = own.cuts(keys, chunks)
-            for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                if a < b:
-                    rows.append((kind, r, _planes(np.diff(keys[a:b], prepend=np.uint64(0))), _planes(counts[a:b])))
-        kinds, ranges, keys, counts = zip(*rows, strict=True)
-        chunk = table.column("chunk")[0].as_py()
-        return pa.table(
-            {
-                "chunk": pa.array([chunk] * len(rows), pa.int32()),
-                "kind": pa.array(kinds, pa.int32()),
-                "range": pa.array(ranges, pa.int32()),
-                "keys": pa.array(keys, pa.binary()),
-                "counts": pa.array(counts, pa.binary()),
-            }
-        )
+        own, chunk, rows = read(table), table.column("chunk")[0].as_py(), []
+        for n in (1, 2, 3):
+            counts = own.counts[n]
+            rows += runs(chunk, n, own.keys[n], ranges, lambda a, b, counts=counts: planes(counts[a:b]))
+        return run_table(rows)
 
     def answer(table: pa.Table) -> pa.Table:
-        keys = [np.cumsum(_unplaned(x.as_py(), np.uint64), dtype=np.uint64) for x in table.column("keys")]
-        counts = np.concatenate([_unplaned(x.as_py(), np.uint32) for x in table.column("counts")])
-        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = np.bincount(at, weights=counts, minlength=len(distinct))
-        own = totals[at].astype(np.uint64)
-        cuts = np.cumsum([0] + [len(k) for k in keys])
         kind, r = table.column("kind")[0].as_py(), table.column("range")[0].as_py()
-        n = len(keys) + 1
+        keys = [unpacked_run(k) for k in table.column("keys").to_pylist()]
+        lengths = [len(k) for k in keys]
+        counts = [unplaned(x, n, np.uint32) for x, n in zip(table.column("extra").to_pylist(), lengths, strict=True)]
+        key = np.concatenate(keys)
+        del keys
+        order = np.argsort(key, kind="stable")
+        new = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
+        totals = np.add.reduceat(np.concatenate(counts)[order].astype(np.int64), new)
+        own = np.empty(len(key), dtype=np.uint64)
+        own[order] = np.repeat(totals, np.diff(np.append(new, len(order)))).astype(np.uint64)
+        ends, n = np.cumsum(lengths), len(lengths) + 1
+        replies = [planes(own[e - k : e]) for e, k in zip(ends, lengths, strict=True)]
         words = kind == 1
         return pa.table(
             {
@@ -186,50 +179,45 @@ def lm_scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
                 "chunk": pa.array([*table.column("chunk").to_pylist(), -1], pa.int32()),
                 "kind": pa.array([kind] * n, pa.int32()),
                 "range": pa.array([r] * n, pa.int32()),
-                "counts": pa.array(
-                    [_planes(own[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)] + [b""], pa.binary()
-                ),
+                "counts": pa.array([*replies, b""], pa.binary()),
                 "types": pa.array([0] * (n - 1) + [int((totals > 0).sum()) if words else 0], pa.int64()),
                 "tokens": pa.array([0] * (n - 1) + [int(totals.sum()) if words else 0], pa.int64()),
             }
         )
 
     answers = written(
-        dealt.groupBy("chunk").applyInArrow(ask, REQUEST).groupBy("kind", "range").applyInArrow(answer, ANSWER),
-        "lm-counts",
+        texts.groupBy("chunk").applyInArrow(ask, RUNS).groupBy("kind", "range").applyInArrow(answer, ANSWER), "lm-counts"
     )
     types, tokens = answers.where("chunk = -1").agg(
         F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))
     ).first()
-    documents = docs.where(~held).count()
 
-    def score(texts: pa.Table, replies: pa.Table) -> pa.Table:
-        own = read(texts)
-        got = sorted(
-            zip(*(replies.column(c).to_pylist() for c in ("kind", "range", "counts")), strict=True), key=lambda x: x[:2]
-        )
-        words, pairs = (
-            np.concatenate([_unplaned(raw, np.uint64) for kind, _, raw in got if kind == k]).astype(np.float64)
-            for k in (1, 2)
-        )
-        automaton = BackoffAutomaton(words, pairs, documents, tokens, types)
+    def score(own_texts: pa.Table, replies: pa.Table) -> pa.Table:
+        own = read(own_texts)
+        got = zip(*(replies.column(c).to_pylist() for c in ("kind", "range", "counts")), strict=True)
+        parts: dict[int, list[np.ndarray]] = {1: [], 2: [], 3: []}
+        for kind, _, raw in sorted(got, key=lambda x: x[:2]):
+            parts[kind].append(unplaned(raw, len(raw) // 8).astype(np.float64))
+        counts = {n: np.concatenate(x) for n, x in parts.items()}
+        automaton = BackoffAutomaton(counts, documents, tokens, types)
         begins = own.ends - own.lengths
-        steps = automaton.traverse(own.word_of, own.pair_of, begins)
+        steps = automaton.traverse(own.place, begins)
+        known = (counts[1] > 0)[own.place[1]].astype(np.int64)
         n = len(own.lengths)
         return pa.table(
             {
-                "doc_id": texts.column("doc_id"),
-                "held_out": texts.column("held_out"),
+                "doc_id": own_texts.column("doc_id"),
+                "held_out": own_texts.column("held_out"),
                 "n_tokens": pa.array(own.lengths, pa.int64()),
-                "n_known": pa.array(np.add.reduceat((words > 0)[own.word_of].astype(np.int64), begins), pa.int64()),
+                "n_known": pa.array(np.add.reduceat(known, begins), pa.int64()),
                 "train_tokens": pa.array([tokens] * n, pa.int64()),
-                "base_score": pa.array(np.add.reduceat(automaton.root_arc[own.word_of], begins), pa.float64()),
+                "base_score": pa.array(np.add.reduceat(automaton.root_arcs(own.place[1]), begins), pa.float64()),
                 "score": pa.array(np.add.reduceat(steps, begins), pa.float64()),
             }
         )
 
     return (
-        dealt.groupBy("chunk")
+        texts.groupBy("chunk")
         .cogroup(answers.where("chunk >= 0").select("chunk", "kind", "range", "counts").groupBy("chunk"))
         .applyInArrow(score, SCORED)
     )

@@ -104,30 +104,54 @@ def test_chi_square_limit():
 
 
 # --- language model ------------------------------------------------------------------------
-@pytest.mark.parametrize("chunk_bytes", [10_000_000, 40_000])
-def test_lm_against_brute_force(spark, odd_docs, no_docs, chunk_bytes):
+class Walker:
+    """The automaton arc by arc: histories of up to two words, failure arcs, one word at a time."""
+
+    def __init__(self, texts):
+        self.counts, self.documents = Counter(), len(texts)
+        for own in texts:
+            padded = ["<", *own]
+            for n in (1, 2, 3):
+                self.counts.update(tuple(padded[i : i + n]) for i in range(len(padded) - n + 1))
+        self.tokens = sum(map(len, texts))
+        self.types = len({w for own in texts for w in own})
+        self.counts["<",] = self.documents
+
+    def root(self, w):
+        return math.log10((self.counts[w,] + 0.1) / (self.tokens + 0.1 * (self.types + 1)))
+
+    def step(self, state, w):
+        """Weight of the way out of a state by a word, through failure arcs where it has no arc."""
+        if not state:
+            return self.root(w)
+        seen, held, s = self.counts[(*state, w)], self.counts[state], lm.STRENGTHS[len(state) - 1]
+        below = self.step(state[1:], w)
+        if not seen:
+            return (math.log10(s / (held + s)) if held else 0.0) + below
+        return math.log10((seen + s * 10**below) / (held + s))
+
+    def score(self, own):
+        state, out = ("<",), 0.0
+        for w in own:
+            out += self.step(state, w)
+            state = (*state, w)[-2:]
+            while state and not self.counts[state]:
+                state = state[1:]
+        return out
+
+
+@pytest.mark.parametrize(("chunk_bytes", "range_bytes"), [(10_000_000, 10_000_000), (40_000, 7_000)])
+def test_lm_against_brute_force(spark, odd_docs, no_docs, chunk_bytes, range_bytes):
     rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
     train = [i is None or zlib.crc32(str(i).encode()) % 10 != 0 for i, _ in rows]
     tokens = [[*(t or "").encode().lower().split(), None] for _, t in rows]
-    c, pairs = Counter(), Counter()
-    for own, seen in zip(tokens, train, strict=True):
-        if seen:
-            c.update(own)
-            pairs.update(zip(["<"] + own[:-1], own, strict=True))
-    n, v, docs = sum(c.values()), len(c), sum(train)
     assert False in train
-    want = []
-    for (doc_id, _), own, seen in zip(rows, tokens, train, strict=True):
-        base = score = 0.0
-        before = "<"
-        for w in own:
-            p = (c[w] + 0.1) / (n + 0.1 * (v + 1))
-            h = docs if before == "<" else c[before]
-            base += math.log10(p)
-            score += math.log10((pairs[before, w] + lm.STRENGTH * p) / (h + lm.STRENGTH))
-            before = w
-        want.append((str(doc_id), not seen, len(own), sum(c[w] > 0 for w in own), n, base, score))
-    got = [tuple(r) for r in lm_scores(odd_docs, chunk_bytes).collect()]
+    walker = Walker([own for own, seen in zip(tokens, train, strict=True) if seen])
+    want = [
+        (str(doc_id), not seen, len(own), sum(walker.counts[w,] > 0 for w in own), walker.tokens, sum(map(walker.root, own)), walker.score(own))
+        for (doc_id, _), own, seen in zip(rows, tokens, train, strict=True)
+    ]
+    got = [tuple(r) for r in lm_scores(odd_docs, chunk_bytes, range_bytes).collect()]
     got, want = sorted((str(g[0]), *g[1:]) for g in got), sorted(want)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     for g, w in zip(got, want, strict=True):
@@ -135,18 +159,20 @@ def test_lm_against_brute_force(spark, odd_docs, no_docs, chunk_bytes):
     assert lm_scores(no_docs).count() == 0
 
 
+def test_lm_takes_long_words_and_no_training(spark):
+    rows = [(9, "w" * 3_000_000 + " a a a a"), (9, None)]
+    held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 10 == 0)
+    got = lm_scores(spark.createDataFrame([(held, t) for _, t in rows], "doc_id bigint, text string")).collect()
+    assert sorted((r.n_tokens, r.n_known, r.train_tokens, r.held_out) for r in got) == [(1, 0, 0, True), (6, 0, 0, True)]
+    assert all(r.score == pytest.approx(r.base_score) for r in got)
+
+
 def test_automaton_weights_sum_to_one():
-    words, pairs = np.array([5.0, 0.0, 3.0]), np.array([2.0, 1.0, 0.0])
-    tool = lm.BackoffAutomaton(words, pairs, documents=2, tokens=8, types=2)
-    # After word 0: bigrams to words 0 and 2 are seen 2 times and once, the two others of four types are not.
-    all_words, arcs = np.array([0, 0, 0, 2, 0, 1, 0, 1]), np.array([2, 0, 2, 1, 2, 2, 2, 2])
-    steps = tool.traverse(all_words, arcs, np.array([0]))
-    after = 10 ** steps[[1, 3, 5]]
-    words_sum = 10 ** tool.root_arc
-    share = words_sum.sum()  # two types seen, and the one for all unseen words
-    seen = (3 + lm.STRENGTH * (words_sum[0] + words_sum[2])) / (5 + lm.STRENGTH)
-    assert after[0] + after[1] == pytest.approx(seen) and share == pytest.approx(1.0)
-    assert after.sum() == pytest.approx((3 + lm.STRENGTH * share) / (5 + lm.STRENGTH))
+    texts = [["a", "b", "a", "b", None], ["b", "a", "b", "c", None], ["a", "b", "b", None]]
+    walker = Walker(texts)
+    words = ["a", "b", "c", None, "never seen"]
+    for state in [(), ("<",), ("a",), ("a", "b"), ("b", "a"), ("<", "a"), ("c",)]:
+        assert sum(10 ** walker.step(state, w) for w in words) == pytest.approx(1.0)
 
 
 # --- language ID ---------------------------------------------------------------------------
