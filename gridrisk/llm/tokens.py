@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -67,27 +68,57 @@ def decode_ids(n: int, ranked: bytes, control: bytes, data: bytes) -> np.ndarray
     return np.frombuffer(ranked, dtype="<u4")[values]
 
 
+#: The settings under which a word between blanks has the same ids wherever it stands: letters, single
+#: digits and runs of other marks are pieces, white space is dropped, and letters are lower-cased.
+WORD_SETTINGS = {
+    "normalizer": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    "pre_tokenizer": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def byte_letters() -> dict[int, str]:
+    """The characters by which byte-level vocabularies write bytes: printing ones as they are, others from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + n) for n, b in enumerate(others)}
+
+
 class TextEncoder:
     """Ids of whole texts from the tokenizers library.
 
-    With ``words_apart`` the vocabulary must drop white space and never join what a blank, tab or
-    line break parts. Then each different word goes to the library once, many of them in one text
-    with a separator between, and is remembered. A stop or comma after a Latin letter is a word of
-    its own to such vocabularies.
+    With a vocabulary of ``WORD_SETTINGS`` each different word goes to the library once and is
+    remembered: a word of Latin letters, with or without a stop or comma behind it, to its model
+    alone, as normalizing it is lower-casing; any other word to the whole library, many of them in
+    one text with a separator between. Other vocabularies get whole texts.
     """
 
     SEPARATOR = "\x01"
 
-    def __init__(self, path: str, words_apart: bool, remembered: int = REMEMBERED):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.words_apart, self.limit = words_apart, remembered
+        settings = json.loads(self.library.to_str())
+        found = {
+            "normalizer": (settings["normalizer"] or {}).get("normalizers"),
+            "pre_tokenizer": (settings["pre_tokenizer"] or {}).get("pretokenizers"),
+        }
+        self.words_apart, self.limit = found == WORD_SETTINGS and settings["model"]["type"] == "BPE", remembered
         self.kind = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
         self.known: dict[str, bytes] = {}
-        if words_apart:
+        if self.words_apart:
+            self.model, self.letters = self.library.model, byte_letters()
             self.mark = self._plain([self.SEPARATOR])[0][0]
+            self.marks = {m: self._packed(self._plain([m])[0]) for m in ".,"}
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -111,24 +142,41 @@ class TextEncoder:
             for word, ids in zip(group, [*own, ids], strict=True):
                 self.known[word] = self._packed(ids)
 
+    def _latin(self, word: str) -> bytes:
+        """Ids of lower-case Latin letters."""
+        written = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return self._packed([token.id for token in self.model.tokenize(written)])
+
     def _meet(self, words: set[str]) -> None:
-        if len(self.known) > self.limit:
-            self.known.clear()
-        self.known[""] = b""
-        fresh = [w for w in words if w not in self.known]
-        cut = {w: (w[:-1].lower() if w.isascii() else w[:-1], w[-1]) for w in fresh if w[-1] in ".," and self._ends(w)}
-        lower = {w: w.lower() for w in fresh if w not in cut and w.isascii() and w.isalpha()}
-        need = {w for w in fresh if w not in cut and w not in lower}
-        need.update(x for pair in cut.values() for x in pair)
-        need.update(lower.values())
-        self._learn([w for w in need if w not in self.known])
-        self.known.update((w, self.known[a] + self.known[b]) for w, (a, b) in cut.items())
-        self.known.update((w, self.known[x]) for w, x in lower.items())
+        known = self.known
+        if len(known) > self.limit:
+            known.clear()
+        known[""] = b""
+        others, cut = set(), {}
+        for word in words:
+            if word in known:
+                continue
+            tail = self.marks.get(word[-1])
+            body = word if tail is None else word[:-1]
+            # Lower-casing the dotted capital I leaves a mark that would join what follows.
+            if body.isalpha() and (body.isascii() or (max(body) < "ɐ" and "İ" not in body)):
+                lower = body.lower()
+                ids = known.get(lower)
+                if ids is None:
+                    ids = known[lower] = self._latin(lower)
+                known[word] = ids if tail is None else ids + tail
+            elif tail is not None and self._ends(body):
+                cut[word] = body, tail
+                others.add(body)
+            else:
+                others.add(word)
+        self._learn([w for w in others if w not in known])
+        known.update((word, known[body] + tail) for word, (body, tail) in cut.items())
 
     @staticmethod
-    def _ends(word: str) -> bool:
-        """Whether a Latin letter stands before the last character."""
-        return len(word) > 1 and word[-2] < "ɐ" and word[-2].isalpha()
+    def _ends(body: str) -> bool:
+        """Whether a Latin letter ends the text, so that a mark behind it is a piece of its own."""
+        return body != "" and body[-1] < "ɐ" and body[-1].isalpha() and body[-1] != "İ"
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.words_apart:
@@ -142,13 +190,13 @@ class TextEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(vocabulary: str, words_apart: bool) -> TextEncoder:
+def encoder(vocabulary: str) -> TextEncoder:
     """The worker's encoder; a bare file name is one of the installed public vocabularies."""
     if "/" not in vocabulary:
         import public_tokenizers
 
         vocabulary = public_tokenizers.path(vocabulary)
-    return TextEncoder(vocabulary, words_apart)
+    return TextEncoder(vocabulary)
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[str]]]:
@@ -171,7 +219,6 @@ def encode_tokens(
     path: str,
     vocabulary: str = VOCABULARY,
     end_id: int = END_ID,
-    words_apart: bool = True,
     block_ids: int = BLOCK_IDS,
 ) -> None:
     """Write the ids of every whole text to ``path``, in ascending doc_id order.
@@ -199,7 +246,7 @@ def encode_tokens(
     )
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, tool = TaskContext.get().partitionId(), 0, encoder(vocabulary, words_apart)
+        part, number, tool = TaskContext.get().partitionId(), 0, encoder(vocabulary)
         doc_ids: list[int | None] = []
         ids: list[np.ndarray] = []
         size, end = 0, np.array([end_id], dtype=np.uint32)

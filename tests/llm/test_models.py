@@ -225,7 +225,7 @@ WORD_CASES = [
 @pytest.mark.parametrize("remembered", [1, 100_000])
 def test_word_cache_equals_the_library(remembered):
     path = public_tokenizers.path("word_bpe_49k.json")
-    tool, library = TextEncoder(path, True, remembered), Tokenizer.from_file(path)
+    tool, library = TextEncoder(path, remembered), Tokenizer.from_file(path)
     rng = random.Random(5)
     letters = "abcXYZ.,'!12 \n\té́\x01<|>"
     texts = WORD_CASES + ["".join(rng.choice(letters) for _ in range(60)) for _ in range(400)]
@@ -235,6 +235,25 @@ def test_word_cache_equals_the_library(remembered):
             assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_marks_behind_letters_of_every_class():
+    """Random texts of letters, marks and numbers of many scripts, each with stops and commas behind it."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tool, library = TextEncoder(path), Tokenizer.from_file(path)
+    assert tool.words_apart and not TextEncoder(public_tokenizers.path("byte_bpe_50k.json")).words_apart
+    rng = random.Random(11)
+    special = "İIıǅǆßẞſªºµΣσςŉǰΐﬁÅÅ\u0301\u0307\u0345\u200d\ufeff½٣'\u2019´"
+    plain = [c for c in map(chr, [*range(0x21, 0x400), *range(0x1E00, 0x2000), *range(0x2100, 0x2190)]) if c.isprintable()]
+    texts = []
+    for _ in range(6000):
+        word = lambda: "".join(rng.choice(special if rng.random() < 0.3 else plain) for _ in range(rng.randrange(1, 5)))
+        texts.append(" ".join(word() + rng.choice(["", ".", ",", "..", ".,", "!"]) for _ in range(8)))
+    texts += [f"{c}. {c}, x{c}. {c}x. MECL{c}S{c}." for c in {*special, *plain}]
+    for at in range(0, len(texts), 500):
+        own = texts[at : at + 500]
+        for text, ids in zip(own, tool.encode(own), strict=True):
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 @pytest.mark.parametrize("block_ids", [1_000_000, 50])
 def test_token_files(spark, odd_docs, no_docs, block_ids):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
@@ -256,7 +275,7 @@ def test_token_files(spark, odd_docs, no_docs, block_ids):
 def test_other_vocabularies_go_plain(spark):
     docs = spark.createDataFrame([(1, " Two  words "), (2, "x")], "doc_id bigint, text string")
     path = scratch_path(spark, "tokens")
-    encode_tokens(docs, path, vocabulary="byte_bpe_50k.json", words_apart=False)
+    encode_tokens(docs, path, vocabulary="byte_bpe_50k.json")
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     assert [r["n_tokens"] for r in decode_tokens(spark, path).orderBy("doc_id").collect()] == [
         len(library.encode(t).ids) + 1 for t in (" Two  words ", "x")
