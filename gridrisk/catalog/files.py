@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import UTC, datetime
-
 from pyspark.sql import functions as F
 
 from gridrisk import adapters
@@ -16,6 +14,7 @@ from gridrisk.operators.containment import vendor_risks
 from gridrisk.session import scratch_path
 from gridrisk.sources import readers as R
 from gridrisk.sources import writers as W
+from gridrisk.sources.snapshots import RunLog, SnapshotTable
 from gridrisk.streaming import alerts as A
 
 
@@ -232,22 +231,44 @@ def _(t):
 
 @query("full_refresh", "SELECT cve_id, seq, vuln_status FROM h_last")
 def _(t):
-    path = scratch_path(t.spark, "cves")
-    first = V.dedup_cve_first(TC.records(t)).select("cve_id", "seq", F.lit("old").alias("vuln_status"))
-    W.write_table(first, path)
-    return W.write_table(V.dedup_cve_last(TC.flat(t)).select("cve_id", "seq", "vuln_status"), path)
+    """An old version, then the new one over it; the buckets of the old one that the new one lacks are gone."""
+    table = SnapshotTable(t.spark, scratch_path(t.spark, "cves"), "cve_id", 16)
+    table.replace(V.dedup_cve_first(TC.records(t)).select("cve_id", "seq", F.lit("old").alias("vuln_status")))
+    table.replace(V.dedup_cve_last(TC.flat(t)).select("cve_id", "seq", "vuln_status"))
+    return table.read()
+
+
+@query("versioned_upsert", """
+SELECT version, cve_id, seq, created_at FROM (
+  SELECT 1 AS version, cve_id, seq, row_number() OVER (PARTITION BY cve_id ORDER BY seq DESC) AS rn, min(seq) OVER (PARTITION BY cve_id) AS created_at
+  FROM h_flat WHERE keyword = 'solar inverter'
+  UNION ALL SELECT 2, cve_id, seq, row_number() OVER (PARTITION BY cve_id ORDER BY seq DESC), min(seq) OVER (PARTITION BY cve_id)
+  FROM h_flat) h WHERE rn = 1
+""")
+def _(t):
+    """Both versions of a table that a second run has brought up to date."""
+    rows = TC.flat(t).withColumn("created_at", F.col("seq"))
+    table = SnapshotTable(t.spark, scratch_path(t.spark, "cves"), "cve_id", 16)
+    for keyword in ("solar inverter", "photovoltaic"):
+        own = rows.filter(F.col("keyword") == keyword)
+        table.rewrite(own, lambda current, inside, own=own: V.upsert_cves(own.limit(0) if current is None else current, inside(own)))
+    both = [table.read(v).select(F.lit(v).alias("version"), "cve_id", "seq", "created_at") for v in (1, 2)]
+    return both[0].unionByName(both[1])
 
 
 @query("ingest_audit", """
 SELECT (SELECT count(DISTINCT keyword) FROM v_cve_hits) AS nvd_keyword_count, (SELECT count(DISTINCT cve_id) FROM v_cve_hits) AS nvd_cve_count,
-       (SELECT count(*) FROM merged_kev WHERE cisa_kev = 1) AS kev_cve_count, 'full sync' AS notes, TRUE AS in_time
+       (SELECT count(*) FROM merged_kev WHERE cisa_kev = 1) AS kev_cve_count, 'full sync' AS notes, 'done' AS status, TRUE AS in_time
+UNION ALL SELECT NULL, NULL, NULL, 'broken', 'failed', TRUE UNION ALL SELECT NULL, NULL, NULL, 'still open', 'running', NULL
 """)
 def _(t):
-    path = scratch_path(t.spark, "ingest-runs")
-    started = datetime.now(UTC)
-    run = V.ingest_run(TC.flat(t), TC.merged_kev(t), started, "full sync")
-    W.append_audit(t.spark, path, run)
-    return t.spark.read.parquet(path).withColumn("in_time", F.col("started_at") < F.col("completed_at")).drop("started_at", "completed_at")
+    """A run that ended, one that failed and one that has not closed."""
+    log = RunLog(t.spark, scratch_path(t.spark, "ingest-runs"))
+    run = log.open("full sync")
+    log.close(run, "full sync", V.ingest_counts(TC.flat(t), TC.merged_kev(t)))
+    log.close(log.open("broken"), "broken", failed=True)
+    log.open("still open")
+    return log.runs().withColumn("in_time", F.col("started_at") < F.col("completed_at")).drop("run_id", "started_at", "completed_at")
 
 
 @query("geojson_layer", """

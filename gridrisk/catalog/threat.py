@@ -523,7 +523,7 @@ def _(t):
     """Two runs: the first keyword with the catalogue's first state, then both with the whole catalogue."""
     base = scratch_path(t.spark, "sync")
     early = t.v_kev.filter("seq < 100000000")
-    J.sync_job(records(t).filter("keyword = 'solar inverter'"), early, f"{base}/1", None)
-    return J.sync_job(records(t), t.v_kev, f"{base}/2", f"{base}/1").select(
+    J.sync_job(records(t).filter("keyword = 'solar inverter'"), early, base, buckets=16)
+    return J.sync_job(records(t), t.v_kev, base).select(
         "cve_id", "source", "description", "cisa_kev", "kev_date_added", "has_cwe", "vuln_status"
     )

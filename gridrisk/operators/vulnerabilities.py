@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import json
-from datetime import datetime
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from gridrisk import constants as C
 from gridrisk.functions.text import contains_any, date_prefix, empty_to_null
 from gridrisk.operators.parcels import first_per_key
+from gridrisk.session import scratch_path
 from gridrisk.sources.schemas import CPE_MATCH
+from gridrisk.sources.writers import write_table
 
 
 def first_english(descriptions: Column) -> Column:
@@ -117,36 +116,56 @@ def _configurations(hits: DataFrame) -> Column:
     return F.col("cve.configurations") if kind == "string" else F.to_json("cve.configurations")
 
 
-def _all_matches(configurations: Column) -> Column:
-    """JSON texts of every match in a configuration list, however deep its nodes nest.
+#: Depths of nodes that one pass unfolds before what is left is written.
+DEPTHS = 4
 
-    Recursion over a tree of unknown depth is beyond column expressions, so this is an Arrow-batched
-    function; it yields texts that are parsed with a declared schema.
-    """
 
-    def walk(text: str | None) -> list[str]:
-        waiting, found = [json.loads(text)] if text else [], []
-        while waiting:
-            at = waiting.pop()
-            if isinstance(at, list):
-                waiting.extend(reversed(at))
-            elif isinstance(at, dict):
-                found.extend(json.dumps(m) for m in at.get("cpeMatch") or ())
-                waiting.extend(reversed([at.get("children"), at.get("nodes")]))
-        return found
+def _array(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "array<variant>")
+
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def matches(texts: pd.Series) -> pd.Series:
-        return texts.map(walk)
+def configuration_matches(trees: DataFrame) -> DataFrame:
+    """``trees`` (its other columns, and ``tree``: JSON text) → one row for every match, however deep: ``match`` as JSON text.
 
-    return matches(configurations)
+    A node's matches are in its ``cpeMatch``, further nodes in ``children`` and ``nodes``. Each pass
+    unfolds some depths and writes what it found and what is still folded; the passes end when
+    nothing is. They work on variant values, so a text is parsed once.
+    """
+    spark = trees.sparkSession
+    keep = [c for c in trees.columns if c != "tree"]
+    none = F.array().cast("array<variant>")
+
+    def listed(value: Column) -> Column:
+        """The elements of a list, or the one node that stands in its place."""
+        single = F.when(value.isNotNull() & ~F.is_variant_null(value), F.array(value))
+        return F.coalesce(_array(value), single, none)
+
+    def below(node: Column) -> Column:
+        inner = [listed(F.try_variant_get(node, f"$.{c}", "variant")) for c in ("children", "nodes")]
+        return F.concat(F.coalesce(_array(node), none), *inner)
+
+    folded = trees.where("tree IS NOT NULL AND tree <> ''").select(*keep, F.parse_json("tree").alias("node"))
+    found = []
+    while True:
+        parts = []
+        for _ in range(DEPTHS):
+            matches = F.explode(F.try_variant_get("node", "$.cpeMatch", "array<variant>"))
+            parts.append(folded.select(*keep, matches.alias("match")).withColumn("match", F.to_json("match")))
+            folded = folded.select(*keep, F.explode(below(F.col("node"))).alias("node"))
+        rows = folded.select(*keep, "node", F.lit(None).cast("string").alias("match"))
+        for part in parts:
+            rows = rows.unionByName(part, allowMissingColumns=True)
+        done = write_table(rows, scratch_path(spark, "configuration-nodes"))
+        found.append(done.where("match IS NOT NULL").select(*keep, "match"))
+        folded = done.where("node IS NOT NULL").select(*keep, "node")
+        if folded.isEmpty():
+            return reduce(DataFrame.unionByName, found)
 
 
 def explode_products(hits: DataFrame) -> DataFrame:
     """Affected products of every configuration node, nested nodes of any depth included."""
-    rows = hits.select(F.col("cve.id").alias("cve_id"), F.explode(_all_matches(_configurations(hits))).alias("text")).select(
-        "cve_id", F.from_json("text", CPE_MATCH).alias("m")
-    )
+    trees = hits.select(F.col("cve.id").alias("cve_id"), _configurations(hits).alias("tree"))
+    rows = configuration_matches(trees).select("cve_id", F.from_json("match", CPE_MATCH).alias("m"))
     criteria = F.coalesce(F.col("m.criteria"), F.lit(""))
     return rows.withColumn("cpe", cpe_parse(criteria)).select(
         "cve_id",
@@ -162,11 +181,16 @@ def explode_products(hits: DataFrame) -> DataFrame:
 
 
 def unparsed_nodes(hits: DataFrame) -> DataFrame:
-    """Count of CVEs of which the walk finds fewer matches than their text has criteria (should be zero)."""
+    """Count of records of which fewer matches are found than their text has criteria (should be zero)."""
     text = _configurations(hits)
-    written = F.coalesce(F.regexp_count(text, F.lit(r'"criteria"\s*:')), F.lit(0))
-    rows = hits.select(written.alias("n"), _all_matches(text).alias("found"))
-    return rows.select(F.count(F.when(F.size("found") < F.col("n"), F.lit(1))).alias("too_deep"))
+    criteria = F.coalesce(F.regexp_count(text, F.lit(r'"criteria"\s*:')), F.lit(0))
+    numbered = write_table(
+        hits.select(F.monotonically_increasing_id().alias("record"), criteria.alias("n"), text.alias("tree")),
+        scratch_path(hits.sparkSession, "configurations"),
+    )
+    found = configuration_matches(numbered.select("record", "tree")).groupBy("record").agg(F.count(F.lit(1)).alias("found"))
+    rows = numbered.join(found, "record", "left")
+    return rows.select(F.count(F.when(F.coalesce("found", F.lit(0)) < F.col("n"), F.lit(1))).alias("too_deep"))
 
 
 def explode_references(hits: DataFrame) -> DataFrame:
@@ -255,8 +279,8 @@ def upsert_cves(current: DataFrame, incoming: DataFrame) -> DataFrame:
 
     Both inputs carry ``seq`` (arrival order) and ``created_at``. Columns that only one side has,
     such as the catalogue fields of a stored snapshot, are filled with null on the other side, and
-    an old catalogue value outlives a version without one. One aggregation, one shuffle. Write the
-    result to a new folder and switch readers to it; nothing is updated in place.
+    an old catalogue value outlives a version without one. One aggregation, one shuffle. Store the
+    result as a new version (``SnapshotTable.rewrite``); nothing is updated in place.
     """
     both = current.unionByName(incoming, allowMissingColumns=True)
     kept = [c for c in ("cisa_kev", *_KEV_FIELDS) if c in both.columns]
@@ -308,22 +332,23 @@ def sync_summary(cves: DataFrame, products: DataFrame, references: DataFrame, hi
     return out.unionByName(top.select(F.concat(F.lit("vendor: "), "vendor").alias("metric"), F.col("cve_count").alias("value")))
 
 
-def ingest_run(flat: DataFrame, merged: DataFrame, started_at: datetime, notes: str) -> DataFrame:
-    """The audit row of a run: its start, the time when this row is made, and what it counted.
+def ingest_counts(flat: DataFrame, merged: DataFrame) -> tuple[int, int, int]:
+    """What a run's audit row counts: searched keywords, listed CVEs, exploited CVEs of the new snapshot."""
+    seen = flat.agg(F.countDistinct("keyword"), F.countDistinct("cve_id")).first()
+    known = merged.agg(F.count(F.when(F.col("cisa_kev") == 1, 1))).first()
+    return seen[0], seen[1], known[0]
 
-    Take ``started_at`` before the run and write the row after it.
-    """
-    seen = flat.select("cve_id").distinct().agg(F.count(F.lit(1)).alias("nvd_cve_count"))
-    words = flat.select("keyword").distinct().agg(F.count(F.lit(1)).alias("nvd_keyword_count"))
-    known = merged.agg(F.count(F.when(F.col("cisa_kev") == 1, 1)).alias("kev_cve_count"))
-    return known.select(
-        F.lit(started_at).alias("started_at"),
-        F.current_timestamp().alias("completed_at"),
-        words.scalar().alias("nvd_keyword_count"),
-        seen.scalar().alias("nvd_cve_count"),
-        "kev_cve_count",
-        F.lit(notes).alias("notes"),
-    )
+
+def changed_kev(kev: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """``cve_id`` of the catalogue's entries that would change ``stored`` CVEs, or add one."""
+    latest = latest_kev(kev)
+    if stored is None or "cisa_kev" not in stored.columns:
+        return latest.select("cve_id")
+    old = stored.select("cve_id", "cisa_kev", *[F.col(c).alias(f"old_{c}") for c in _KEV_FIELDS], F.lit(1).alias("held"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"old_{c}")) for c in _KEV_FIELDS])
+    known = F.coalesce(F.col("cisa_kev") == 1, F.lit(False)) & same
+    met = latest.join(old, "cve_id", "left")
+    return met.where((F.col("held").isNotNull() & ~known) | (F.col("held").isNull() & F.col("entry_description").isNotNull())).select("cve_id")
 
 
 def vendor_recent_count(products: DataFrame, cves: DataFrame, as_of: Column, days: int = 365) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-
+from collections.abc import Callable
 from datetime import UTC, datetime
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridrisk.operators import community, devices, parcels, threat, vulnerabilities
-from gridrisk.sources.writers import append_audit, write_table
+from gridrisk.session import scratch_path
+from gridrisk.sources.snapshots import RunLog, SnapshotTable
+from gridrisk.sources.writers import write_table
 
 
 def community_features(parcel_rows: DataFrame, avm: DataFrame, geo: DataFrame,
@@ -28,25 +30,48 @@ def community_features(parcel_rows: DataFrame, avm: DataFrame, geo: DataFrame,
     }
 
 
-def sync_job(hits: DataFrame, kev: DataFrame, path: str, previous: str | None, notes: str = "full sync") -> DataFrame:
-    """One run of the vulnerability sync: listed records and the catalogue → tables below ``path``.
+def sync_job(hits: DataFrame, kev: DataFrame, root: str, notes: str = "full sync", buckets: int = 64) -> DataFrame:
+    """One run of the vulnerability sync: listed records and the catalogue → the versioned tables below ``root``.
 
-    ``hits`` are the rows of landed pages (``seq, keyword, cve``), ``previous`` the folder of the run
-    before, whose snapshot is brought up to date. Writes ``cves``, ``products``, ``references``,
-    ``summary`` and, last, the ``audit`` row with the true start and end; returns the new snapshot.
+    ``hits`` are the rows of landed pages (``seq, keyword, cve``). The table ``cves`` is brought up
+    to date: only buckets with a listed CVE, or with one that the catalogue changes, are written
+    anew. ``products`` and ``references`` are refreshed whole. Each table switches with its commit,
+    so readers see a table's old version or its new one. The run's audit row opens before anything
+    is read and closes at the end, also of a run that fails. Returns the new snapshot.
     """
-    started = datetime.now(UTC)
     spark = hits.sparkSession
-    incoming = vulnerabilities.flatten_cves(hits).withColumn("created_at", F.lit(started))
-    current = spark.read.parquet(f"{previous}/cves") if previous else incoming.limit(0)
-    snapshot = vulnerabilities.merge_kev(vulnerabilities.upsert_cves(current, incoming), kev)
-    cves = write_table(snapshot.withColumn("created_at", F.coalesce("created_at", F.lit(started))), f"{path}/cves")
-    first = vulnerabilities.dedup_cve_first(hits)
-    products = write_table(vulnerabilities.explode_products(first), f"{path}/products")
-    references = write_table(vulnerabilities.explode_references(first), f"{path}/references")
-    write_table(vulnerabilities.sync_summary(cves, products, references, hits), f"{path}/summary")
-    append_audit(spark, f"{path}/audit", vulnerabilities.ingest_run(incoming, cves, started, notes))
-    return cves
+    log = RunLog(spark, f"{root}/audit")
+    run = log.open(notes)
+    try:
+        started = datetime.now(UTC)
+        incoming = write_table(
+            vulnerabilities.flatten_cves(hits).withColumn("created_at", F.lit(started)), scratch_path(spark, "incoming")
+        )
+        cves = SnapshotTable(spark, f"{root}/cves", "cve_id", buckets)
+
+        def merged(current: DataFrame | None, inside: Callable[[DataFrame], DataFrame]) -> DataFrame:
+            stored = incoming.limit(0) if current is None else current
+            own = inside(kev.withColumn("cve_id", F.trim(F.coalesce("cveID", F.lit(""))))).drop("cve_id")
+            rows = vulnerabilities.merge_kev(vulnerabilities.upsert_cves(stored, inside(incoming)), own)
+            return rows.withColumn("created_at", F.coalesce("created_at", F.lit(started)))
+
+        stored = None if cves.version() is None else cves.read()
+        touched = incoming.select("cve_id").unionByName(vulnerabilities.changed_kev(kev, stored))
+        cves.rewrite(touched, merged)
+        snapshot = cves.read()
+        first = vulnerabilities.dedup_cve_first(hits)
+        tables = {"products": vulnerabilities.explode_products(first), "references": vulnerabilities.explode_references(first)}
+        for name, rows in tables.items():
+            table = SnapshotTable(spark, f"{root}/{name}", "cve_id", buckets)
+            table.replace(rows)
+            tables[name] = table.read()
+        summary = vulnerabilities.sync_summary(snapshot, tables["products"], tables["references"], hits)
+        SnapshotTable(spark, f"{root}/summary", "metric", 1).replace(summary)
+        log.close(run, notes, vulnerabilities.ingest_counts(incoming, snapshot))
+    except BaseException:
+        log.close(run, notes, failed=True)
+        raise
+    return snapshot
 
 
 def threat_priors(products: DataFrame, cves: DataFrame) -> dict[str, DataFrame]:

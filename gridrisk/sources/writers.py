@@ -1,10 +1,10 @@
-"""Sinks. Every write goes to a new folder, so a failed job never damages the last good table."""
+"""Sinks for exports and intermediates, which are written whole. Tables that live on are in ``snapshots``."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,11 +27,6 @@ def blanks_for_null(df: DataFrame) -> DataFrame:
     return df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns])
 
 
-def append_audit(spark: SparkSession, path: str, run: DataFrame) -> None:
-    """Append the one audit row of a run."""
-    run.coalesce(1).write.mode("append").parquet(path)
-
-
 def geojson_features(df: DataFrame, lat: str, lon: str, properties: Sequence[str]) -> DataFrame:
     """One GeoJSON point feature per row."""
     feature = F.struct(

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from gridrisk.operators import lookup as L
@@ -9,6 +10,7 @@ from gridrisk.operators import parcels as P
 from gridrisk.operators import vulnerabilities as V
 from gridrisk.sources import readers as R
 from gridrisk.sources.schemas import KEV_COLUMNS
+from gridrisk.sources.snapshots import RunLog, SnapshotTable
 
 
 def node(criteria, children=None, **extra):
@@ -44,7 +46,9 @@ def test_nodes_nest_without_limit(spark, tmp_path):
     for i in range(1, 30):
         chain = node(f"cpe:2.3:o:v:p{i}:*", [chain, node(f"cpe:2.3:o:v:q{i}:*")])
     rows = hits(spark, page(1, "A", [chain, node("cpe:2.3:o:v:r:*")]), page(2, "B"), tmp=tmp_path)
-    names = [r["product"] for r in V.explode_products(rows).collect()]
+    products = V.explode_products(rows)
+    assert "Python" not in products._jdf.queryExecution().executedPlan().toString()
+    names = [r["product"] for r in products.collect()]
     assert sorted(names) == sorted([f"p{i}" for i in range(30)] + [f"q{i}" for i in range(1, 30)] + ["r"])
     assert V.unparsed_nodes(rows).first().too_deep == 0
 
@@ -103,19 +107,63 @@ def test_sync_runs_twice(spark, tmp_path):
     a, b = {"cveID": "A", "dateAdded": "d1"}, {"cveID": "K", "shortDescription": "solar", "dateAdded": "d2"}
     one = hits(spark, page(1, "A", [node("cpe:2.3:o:v:p:*")], descriptions=english("old")), tmp=tmp_path / "1")
     two = hits(spark, page(2, "A", descriptions=english("new")), page(3, "K", descriptions=english("found")), tmp=tmp_path / "2")
-    first, second = str(tmp_path / "run1"), str(tmp_path / "run2")
-    sync_job(one, catalogue((1, a), (2, b)), first, None)
+    root = str(tmp_path / "tables")
+    sync_job(one, catalogue((1, a), (2, b)), root, "first", buckets=4)
+    created = {r.cve_id: r.created_at for r in SnapshotTable(spark, f"{root}/cves", "cve_id").read().collect()}
     # The second catalogue has forgotten A; what the snapshot knows of it stays.
-    out = {r.cve_id: r for r in sync_job(two, catalogue((1, b)), second, first).collect()}
+    out = {r.cve_id: r for r in sync_job(two, catalogue((1, b)), root, "second").collect()}
     assert set(out) == {"A", "K"}
     assert (out["A"].description, out["A"].cisa_kev, out["A"].kev_date_added) == ("new", 1, "d1")
     assert (out["K"].source, out["K"].description, out["K"].cisa_kev, out["K"].kev_date_added) == ("NVD", "found", 1, "d2")
-    created = {r.cve_id: r.created_at for r in spark.read.parquet(f"{first}/cves").collect()}
     assert {i: r.created_at for i, r in out.items()} == created
-    audit = spark.read.parquet(f"{second}/audit").collect()
-    assert len(audit) == 1 and audit[0].started_at < audit[0].completed_at and audit[0].nvd_cve_count == 2
-    summary = {r.metric: r.value for r in spark.read.parquet(f"{first}/summary").collect()}
+    audit = {r.notes: r for r in RunLog(spark, f"{root}/audit").runs().collect()}
+    assert set(audit) == {"first", "second"} and audit["second"].nvd_cve_count == 2
+    assert all(r.status == "done" and r.started_at < r.completed_at for r in audit.values())
+    summary = {r.metric: r.value for r in SnapshotTable(spark, f"{root}/summary", "metric").read(1).collect()}
     assert summary == {"cves": 2, "kev_cves": 2, "affected_products": 1, "references": 0, "keywords": 1, "vendor: v": 1}
+    # A run that fails leaves its row and the tables as they were.
+    broken = two.withColumn("cve", F.raise_error(F.lit("gone")))
+    with pytest.raises(Exception):
+        sync_job(broken, catalogue((1, b)), root, "third")
+    audit = {r.notes: r.status for r in RunLog(spark, f"{root}/audit").runs().collect()}
+    assert audit == {"first": "done", "second": "done", "third": "failed"}
+    assert SnapshotTable(spark, f"{root}/cves", "cve_id").version() == 2
+
+
+def test_snapshots_survive_a_killed_writer(spark, tmp_path):
+    table = SnapshotTable(spark, str(tmp_path / "t"), "k", buckets=8)
+    assert table.version() is None
+    with pytest.raises(ValueError):
+        table.read()
+    rows = spark.createDataFrame([(f"k{i}", i) for i in range(100)], "k string, v int")
+    assert table.replace(rows) == 1
+    dies = rows.withColumn("v", F.when(F.col("k") == "k7", F.raise_error(F.lit("killed")).cast("int")).otherwise(F.col("v")))
+    with pytest.raises(Exception):
+        table.replace(dies)
+    # What a dead writer left in a data folder is not read.
+    (tmp_path / "t" / "data" / "dead" / "_bucket=1").mkdir(parents=True)
+    assert table.version() == 1 and table.read().count() == 100
+    one = spark.createDataFrame([("k7", -1), ("new", 5)], "k string, v int")
+
+    def newest(current, inside):
+        old = current.join(inside(one), "k", "left_anti")
+        return old.unionByName(inside(one))
+
+    before = table._commit_row().folders
+    assert table.rewrite(one, newest) == 2
+    after = table._commit_row().folders
+    changed = {b for b in {*before, *after} if before.get(b) != after.get(b)}
+    assert 1 <= len(changed) <= 2 and len(set(after.values())) == 2
+    assert {r.k: r.v for r in table.read().collect()} == {f"k{i}": i for i in range(100)} | {"k7": -1, "new": 5}
+    assert {r.k: r.v for r in table.read(1).collect()} == {f"k{i}": i for i in range(100)}
+    assert table.rewrite(one.limit(0), newest) == 2
+    # A bucket that becomes empty leaves the table, and so do all of them.
+    assert table.rewrite(one, lambda current, inside: current.where("k <> 'k7' AND k <> 'new'")) == 3
+    assert table.read().count() == 99
+    table.replace(rows.limit(0))
+    assert table.read().count() == 0 and table.read(3).count() == 99
+    with pytest.raises(ValueError):
+        table.rewrite(one, lambda current, inside: rows)
 
 
 def test_blank_keys_join_and_rows_do_not_grow(spark):
