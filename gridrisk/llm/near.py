@@ -32,12 +32,14 @@ MULTIPLIERS = np.random.default_rng(20240229).integers(0, 1 << 31, BANDS * ROWS,
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
+    """64-bit hashes of words; 500,000 words of at most 64 bytes are remembered."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 500_000:
             self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            self[word] = value
         return value
 
 
@@ -52,9 +54,10 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     if not words:
         return np.empty(0, dtype=np.uint64)
     hashes = np.fromiter(map(word_hashes().__getitem__, words), dtype=np.uint64, count=len(words))
-    size = min(size, len(hashes))
+    # A whole sequence that is shorter than a shingle has a seed of its own; equal shingles never have.
+    seed, size = (len(hashes), len(hashes)) if len(hashes) < size else (0, size)
     n = len(hashes) - size + 1
-    out = np.full(n, size if n == 1 else 0, dtype=np.uint64)
+    out = np.full(n, seed, dtype=np.uint64)
     for k in range(size):
         out = (out ^ hashes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(32)
@@ -297,8 +300,18 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without documents whose component has a smaller doc_id; rows with a null doc_id stay."""
-    judged = near_duplicates(docs, shingle, percent)
-    dropped = judged.where("doc_id <> component_id").select("doc_id").distinct().hint("merge").alias("x")
-    rows = docs.select(packed(docs).alias("row"))
-    return rows.join(dropped, F.col("row.doc_id") == F.col("x.doc_id"), "left_anti").select("row.*")
+    """``docs`` with one row of each group of near-duplicates: of the smallest doc_id, a null one last.
+
+    Every row is judged by its own text, whatever its doc_id: repeated rows and rows without a
+    doc_id are copies like others, and of a doc_id with different texts each has its own group. Rows
+    whose text is null, empty or blank are in no group and stay.
+    """
+    numbered = written(docs.select(packed(docs).alias("row"), F.monotonically_increasing_id().alias("at")), "near-numbered")
+    judged = near_duplicates(numbered.select(F.col("at").alias("doc_id"), F.col("row.text").alias("text")), shingle, percent)
+    groups = judged.select(F.col("doc_id").alias("at"), F.col("component_id").alias("group"))
+    names = numbered.select("at", F.col("row.doc_id").alias("doc_id"))
+    kept = names.join(groups.hint("merge"), "at").groupBy("group").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "at")).alias("first")
+    )
+    chosen = kept.select(F.col("first.at").alias("at")).hint("merge")
+    return numbered.join(chosen, "at", "left_semi").select("row.*")

@@ -56,8 +56,10 @@ class ProjectedTree:
     def project(self, vectors: np.ndarray, norms: np.ndarray) -> np.ndarray:
         return (vectors / norms[:, None]) @ self.normal
 
-    def search(self, query: np.ndarray, least_ids: np.ndarray, k: int, limit: float) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest found; ties go to the smaller id.
+    def search(
+        self, query: np.ndarray, least_ids: np.ndarray, k: int, limit: float, others: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the k nearest found (of those marked in ``others``); ties go to the smaller id.
 
         Leaves are verified in the order of their projected distance, twice as many each time. An
         unseen vector as near as the k-th one found would have a squared projected distance of that
@@ -74,6 +76,7 @@ class ProjectedTree:
             if len(scores) == k and distance[order[at]] > max(0.0, 2 - 2 * scores[-1]) * limit + 1e-9:
                 break
             own = np.concatenate([self.leaves[i] for i in order[at : at + many]])
+            own = own if others is None else own[others[own]]
             cosine = (self.vectors[own] * query).sum(axis=1) / (self.norms[own] * norm)
             places, scores = np.concatenate([places, own]), np.concatenate([scores, cosine])
             best = np.lexsort((least_ids[places], -scores))[:k]
@@ -116,10 +119,12 @@ def nearest(
         .agg(F.first("x").alias("x"), F.array_sort(F.collect_list("id")).alias("ids")),
         "vector-classes",
     )
-    asked = keyed.where(F.col("id") % every == 0).select("id", "h1", "h2")
+    # An id with several vectors asks for itself; others ask as their class, in which alone they stand.
+    queried = keyed.where(F.col("id") % every == 0).select("id", "h1", "h2")
+    several = queried.groupBy("id").agg((F.count(F.lit(1)) > 1).alias("several"))
+    asked = queried.join(several, "id").select("id", "h1", "h2", F.when(F.col("several"), F.col("id")).alias("asker"))
     targets = written(
-        classes.join(asked.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("h1", "h2", "x"),
-        "vector-queries",
+        classes.select("h1", "h2", "x").join(asked.select("h1", "h2", "asker").distinct(), ["h1", "h2"]), "vector-queries"
     )
     shards = max(1, -(-classes.count() // SHARD))
     blocks = max(1, -(-targets.count() // BLOCK))
@@ -129,6 +134,7 @@ def nearest(
         "h2",
         "x",
         F.array_min("ids").alias("least"),
+        (F.size("ids") == 1).alias("single"),
         dims,
         F.pmod(F.col("h2"), F.lit(shards)).alias("shard"),
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
@@ -137,24 +143,31 @@ def nearest(
         "h1",
         "h2",
         "x",
+        "asker",
         dims,
-        F.pmod(F.col("h1"), F.lit(blocks)).cast("int").alias("block"),
+        F.pmod(F.xxhash64("h1", "asker"), F.lit(blocks)).cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
     )
     limit = chi_square_limit(miss)
 
     def search(points: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        columns = ["q1", "q2", "c1", "c2", "score", "least"]
+        columns = ["q1", "q2", "asker", "c1", "c2", "score", "least"]
         if points.empty or own.empty:
             return pd.DataFrame({c: [] for c in columns})
         points = points.sort_values(["h1", "h2"])
         tree = ProjectedTree(np.stack(points["x"].to_numpy()).astype(np.float64), seed=5)
-        h1, h2, least = (points[c].to_numpy() for c in ("h1", "h2", "least"))
+        h1, h2, least, single = (points[c].to_numpy() for c in ("h1", "h2", "least", "single"))
         found = []
-        for q1, q2, vector in zip(own["h1"], own["h2"], own["x"], strict=True):
-            places, scores = tree.search(np.asarray(vector, dtype=np.float64), least, k + 1, limit)
+        askers = own["asker"].astype("Int64")
+        for q1, q2, asker, vector in zip(own["h1"], own["h2"], askers, own["x"], strict=True):
+            # A class of the asker alone is no candidate; it leaves before the lists are cut.
+            others = None if asker is pd.NA else ~(single & (least == asker))
+            places, scores = tree.search(np.asarray(vector, dtype=np.float64), least, k + 1, limit, others)
             found.append(
-                pd.DataFrame({"q1": q1, "q2": q2, "c1": h1[places], "c2": h2[places], "score": scores, "least": least[places]})
+                pd.DataFrame(
+                    {"q1": q1, "q2": q2, "asker": pd.Series([asker] * len(places), dtype="Int64"), "c1": h1[places],
+                     "c2": h2[places], "score": scores, "least": least[places]}
+                )
             )
         return pd.concat(found)
 
@@ -162,14 +175,17 @@ def nearest(
     met = (
         index.groupBy(*keys)
         .cogroup(queries.groupBy(*keys))
-        .applyInPandas(search, "q1 bigint, q2 int, c1 bigint, c2 int, score double, least bigint")
+        .applyInPandas(search, "q1 bigint, q2 int, asker bigint, c1 bigint, c2 int, score double, least bigint")
     )
-    best = F.row_number().over(Window.partitionBy("q1", "q2").orderBy(F.desc("score"), "least"))
-    near = met.withColumn("n", best).where(F.col("n") <= k + 1).select("q1", "q2", "c1", "c2", "score")
+    best = F.row_number().over(Window.partitionBy("q1", "q2", "asker").orderBy(F.desc("score"), "least"))
+    near = met.withColumn("n", best).where(F.col("n") <= k + 1).select("q1", "q2", "asker", "c1", "c2", "score")
     unfolded = near.join(
         classes.select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.explode("ids").alias("vec_id")), ["c1", "c2"]
     )
-    pairs = asked.withColumnsRenamed({"id": "query_id", "h1": "q1", "h2": "q2"}).join(unfolded, ["q1", "q2"])
+    asking = asked.select(F.col("id").alias("query_id"), F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("asker").alias("own"))
+    pairs = asking.join(
+        unfolded, (F.col("a1") == F.col("q1")) & (F.col("a2") == F.col("q2")) & F.col("own").eqNullSafe(F.col("asker"))
+    )
     rank = F.row_number().over(Window.partitionBy("query_id", "q1", "q2").orderBy(F.desc("score"), "vec_id"))
     return (
         pairs.where("vec_id <> query_id")

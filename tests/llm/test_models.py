@@ -98,6 +98,20 @@ def test_neighbours_against_brute_force(spark, monkeypatch):
     assert nearest(df.limit(0)).count() == 0
 
 
+def test_an_id_with_several_vectors_finds_others(spark):
+    """Its own vectors are nearest to each other, but leave before the lists are cut."""
+    near = [(50, [1.0, 0.001 * i]) for i in range(9)] + [(i, [1.0, float(i)]) for i in range(1, 10)]
+    shared = [(7, [1.0, 0.002]), (100, [1.0, 3.0])]
+    df = spark.createDataFrame(near + shared, "vec_id bigint, embedding array<double>")
+    rows = nearest(df).collect()
+    own = sorted((r["rank"], r["vec_id"]) for r in rows if r["query_id"] == 50)
+    # Nine queries by that id; the copy of one of its vectors under id 7 is first for each.
+    assert [r for r, _ in own] == sorted([1, 2, 3, 4, 5] * 9) and {v for r, v in own if r == 1} == {7}
+    assert 50 not in {v for _, v in own}
+    single = sorted((r["rank"], r["vec_id"]) for r in rows if r["query_id"] == 100)
+    assert [v for _, v in single][0] == 3 and len(single) == 5
+
+
 def test_chi_square_limit():
     draws = (np.random.default_rng(0).normal(size=(200_000, 8)) ** 2).sum(axis=1)
     assert abs((draws > chi_square_limit(0.05)).mean() - 0.05) < 0.004

@@ -83,7 +83,7 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert [r["kept"] for r in rows if r["doc_id"] is None] == [False]
     kept = near.drop_near_duplicates(odd_docs, 3, 85)
     assert kept.columns == odd_docs.columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted("1 4 5 6 7 8 9 None 11 12".split())
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted("1 4 5 6 7 8 9 11 12".split())
     assert near.near_duplicates(no_docs).count() == 0
     assert near.drop_near_duplicates(no_docs).count() == 0
 
@@ -108,3 +108,24 @@ def test_pruning_keeps_pairs_at_the_threshold():
     cuts = range(near.BATCH, near.BANDS * near.ROWS + 1, near.BATCH)
     matches = rng.random((20_000, near.BANDS * near.ROWS)) < 0.85
     assert all((matches[:, :n].sum(axis=1) >= m).all() for n, m in zip(cuts, least, strict=True))
+
+
+def test_repeated_words_make_equal_sets(spark):
+    rows = [(1, "a a a"), (2, "a a a a"), (3, "A a\na a a a"), (4, "a a"), (5, "a"), (6, "a a a b"), (7, "b a a a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near.near_duplicates(docs, shingle=3, percent=85).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (1, 1), 4: (1, 4), 5: (1, 5), 6: (2, 6), 7: (2, 7)}
+    assert brute(rows, 3, 85) == {i: c for i, (_, c) in got.items()}
+
+
+def test_dropping_goes_by_rows(spark):
+    """Repeated ids and null ids are copies like others; one row of a group stays, and texts without words all do."""
+    text, other = " ".join(f"w{i}" for i in range(50)), " ".join(f"v{i}" for i in range(50))
+    rows = [(1, text), (1, text), (1, text), (2, text), (None, text), (2, other), (None, "alone here"), (None, None), (9, ""), (9, " ")]
+    docs = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id bigint, text string, at int").repartition(3)
+    kept = near.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    found = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert found == sorted([(1, text), (2, other), (None, "alone here"), (None, None), (9, ""), (9, " ")], key=str)
+    only_null = spark.createDataFrame([(None, text), (None, text)], "doc_id bigint, text string")
+    assert near.drop_near_duplicates(only_null).count() == 1
