@@ -12,11 +12,13 @@ from gridrisk.llm.common import ship, written
 from gridrisk.llm.exchange import RUNS, dealt, planes, run_table, runs, texts_of, unpacked_run, unplaned
 
 #: Bytes of text in one chunk, and of text whose keys one range takes.
-CHUNK_BYTES, RANGE_BYTES = 8_000_000, 16_000_000
+CHUNK_BYTES, RANGE_BYTES = 5_000_000, 20_000_000
 #: Added to every word's count in the unigram model.
 ADDED = 0.1
 #: Strength of the shorter history below a bigram and a trigram count, in tokens.
 STRENGTHS = (200.0, 100.0)
+#: Training tokens from which on a history of two words is a state of its own.
+LEAST_HISTORY = 20
 #: One document in so many is held out.
 HELD_OUT = 10
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
@@ -45,11 +47,10 @@ def _mixed(before: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 class TokenChunk:
-    """The tokens of some documents, one after the other, with their distinct n-grams of 1, 2 and 3 words.
+    """The tokens of some documents, one after the other, with the distinct words and pairs.
 
     ``keys[n]`` are the sorted keys of the n-grams, ``place[n]`` the key of the n-gram that ends at
-    each token, ``counts[n]`` their counts in training texts. The first token's trigram is that
-    of two starts.
+    each token, ``counts[n]`` their counts in training texts.
     """
 
     def __init__(self, texts: list[bytes], train: np.ndarray):
@@ -60,27 +61,41 @@ class TokenChunk:
             parts.append(np.fromiter(map(get, own), dtype=np.int32, count=len(own)))
         self.lengths = np.array([len(p) + 1 for p in parts], dtype=np.int64)
         self.ends = np.cumsum(self.lengths)
+        self.begins = self.ends - self.lengths
         numbers = np.ones(int(self.ends[-1]), dtype=np.int32)
         for end, part in zip(self.ends, parts, strict=True):
             numbers[end - 1 - len(part) : end - 1] = part
         hashed = np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64)
-        own = np.concatenate([np.array([START, END]), hashed])[numbers]
-        begins = self.ends - self.lengths
-        before = np.concatenate([own[:1], own[:-1]])
-        before[begins] = START
-        last = np.concatenate([before[:1], before[:-1]])
-        last[begins] = START
-        weights = np.repeat(train, self.lengths)
+        self.words = np.concatenate([np.array([START, END]), hashed])[numbers]
+        self.train = np.repeat(train, self.lengths)
+        before = np.concatenate([self.words[:1], self.words[:-1]])
+        before[self.begins] = START
+        self.pairs = _mixed(before, self.words)
         self.keys, self.place, self.counts = {}, {}, {}
-        pairs = _mixed(before, own)
-        for n, grams in ((1, own), (2, pairs), (3, _mixed(_mixed(last, before), own))):
-            keys, place = np.unique(grams & KEY_BITS, return_inverse=True)
-            self.keys[n], self.place[n] = keys, place.astype(np.int32)
-            self.counts[n] = np.bincount(place, weights=weights, minlength=len(keys)).astype(np.uint32)
+        for n, grams in ((1, self.words), (2, self.pairs)):
+            self.keys[n], self.place[n], self.counts[n] = self._distinct(grams, self.train)
+
+    @staticmethod
+    def _distinct(grams: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, place = np.unique(grams & KEY_BITS, return_inverse=True)
+        return keys, place.astype(np.int32), np.bincount(place, weights=train, minlength=len(keys)).astype(np.uint32)
+
+    def leading(self, counts: np.ndarray, place: np.ndarray, first: float) -> np.ndarray:
+        """The count of the n-gram that leads to each token; ``first`` at the beginnings."""
+        out = np.concatenate([[0.0], counts[place[:-1]]])
+        out[self.begins] = first
+        return out
+
+    def add_trigrams(self, counts: np.ndarray, least: int) -> None:
+        """Keys of the trigrams whose first two words, by total ``counts`` of the pairs, are a state."""
+        two = self.leading(counts, self.place[2], 0.0)
+        self.after_state = np.flatnonzero(two >= least)
+        grams = _mixed(self.pairs[self.after_state - 1], self.words[self.after_state])
+        self.keys[3], self.place[3], self.counts[3] = self._distinct(grams, self.train[self.after_state])
 
 
 class BackoffAutomaton:
-    """States: the root, and every history of one or two words seen in training.
+    """States: the root, every word seen in training, and every pair seen ``least_history`` times or more.
 
     The arcs of a state are the words seen after its history; its failure arc leads to the state of
     the history without its first word, and from a history of one word to the root, whose arcs are
@@ -91,38 +106,35 @@ class BackoffAutomaton:
 
     def __init__(self, counts: dict[int, np.ndarray], documents: int, tokens: int, types: int):
         self.counts, self.documents = counts, documents
-        self.total, self.added = tokens + ADDED * (types + 1), ADDED
+        self.total = tokens + ADDED * (types + 1)
 
     def root_arcs(self, place: np.ndarray) -> np.ndarray:
-        return np.log10((self.counts[1][place] + self.added) / self.total)
+        return np.log10((self.counts[1][place] + ADDED) / self.total)
 
-    def traverse(self, place: dict[int, np.ndarray], begins: np.ndarray) -> np.ndarray:
-        """The weight of every step of one pass from the left over texts that begin at ``begins``.
+    def traverse(self, chunk: TokenChunk) -> np.ndarray:
+        """The weight of every step of one pass from the left over the texts of a chunk.
 
-        The state carried to a token is that of the longest history seen, which the arc taken for
-        the token before it led to. A step takes the arc for its word, or else the failure arcs
-        until a state has one.
+        The state carried to a token is that of the longest history that is a state, where the arc
+        for the token before it led. A step takes the arc for its word, or else failure arcs until a
+        state has one; what lies behind them is found for all tokens at once, level by level.
         """
-        root = self.root_arcs(place[1])
-        first = np.zeros(len(root), dtype=bool)
-        first[begins] = True
-        # Counts of the histories of one and of two words that lead to each token.
-        one = np.concatenate([[0.0], self.counts[1][place[1][:-1]]])
-        one[first] = self.documents
-        two = np.concatenate([[0.0], self.counts[2][place[2][:-1]]])
-        two[first] = 0.0
-        arc_two, arc_three = self.counts[2][place[2]], np.where(first, 0.0, self.counts[3][place[3]])
         s2, s3 = STRENGTHS
-        p1 = 10.0**root
-        p2 = (arc_two + s2 * p1) / (one + s2)
-        failed_one = np.where(one > 0, np.log10(s2 / (one + s2)), 0.0)
-        at_one = np.where(arc_two > 0, np.log10(p2), failed_one + root)
-        p3 = (arc_three + s3 * 10.0**at_one) / (two + s3)
-        failed_two = np.where(two > 0, np.log10(s3 / (two + s3)), 0.0)
-        return np.where(arc_three > 0, np.log10(p3), failed_two + at_one)
-
-
-def lm_scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
+        root = self.root_arcs(chunk.place[1])
+        one = chunk.leading(self.counts[1], chunk.place[1], self.documents)
+        arc = self.counts[2][chunk.place[2]]
+        failed = np.where(one > 0, np.log10(s2 / (one + s2)), 0.0)
+        steps = np.where(arc > 0, np.log10((arc + s2 * 10.0**root) / (one + s2)), failed + root)
+        at = chunk.after_state
+        two = chunk.leading(self.counts[2], chunk.place[2], 0.0)[at]
+        arc, below = self.counts[3][chunk.place[3]], steps[at]
+        failed = np.log10(s3 / (two + s3))
+        steps[at] = np.where(arc > 0, np.log10((arc + s3 * 10.0**below) / (two + s3)), failed + below)
+        return steps
+
+
+def lm_scores(
+    docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, range_bytes: int = RANGE_BYTES, least_history: int = LEAST_HISTORY
+) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words between ASCII white space, A-Z lower-cased, and one end. The model learns
@@ -133,12 +145,13 @@ def lm_scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, range_bytes: int
     rows count and are scored each. An empty table gives an empty result; without training rows
     every word is unknown. Other columns are not read.
 
-    Texts are dealt by hash into chunks of about ``chunk_bytes``. A chunk sends its distinct n-grams
-    (56-bit keys, sorted) with their training counts to key ranges, whose number follows the amount
-    of text; a range adds up the counts of its keys over all chunks and answers each chunk in the
-    order of its keys. A very common n-gram is one key per chunk. Each chunk then has the part of the
-    automaton that its own texts can reach, and is traversed. The counts cover the whole corpus and
-    are never pruned, and no model passes the driver: it gets four sums.
+    Texts are dealt by hash into chunks of about ``chunk_bytes``. A chunk sends its distinct words
+    and pairs (56-bit keys, sorted) with their training counts to key ranges, whose number follows
+    the amount of text; a range adds up the counts of its keys over all chunks and answers each chunk
+    in the order of its keys. A second round does the same for the trigrams behind pairs that are
+    states. A very common n-gram is one key per chunk. Each chunk then has the part of the automaton
+    that its own texts can reach, and is traversed. The counts cover the whole corpus, and no model
+    passes the driver: it gets four sums.
     """
     ship(docs.sparkSession)
     held = F.coalesce(F.crc32(docs["doc_id"].cast("string")) % HELD_OUT == 0, F.lit(False))
@@ -151,13 +164,28 @@ def lm_scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, range_bytes: int
     def read(table: pa.Table) -> TokenChunk:
         return TokenChunk(texts_of(table), ~np.array(table.column("held_out").to_pylist()))
 
-    def ask(table: pa.Table) -> pa.Table:
-        own, chunk, rows = read(table), table.column("chunk")[0].as_py(), []
-        for n in (1, 2, 3):
+    def sent(own: TokenChunk, chunk: int, orders: tuple[int, ...]) -> pa.Table:
+        rows = []
+        for n in orders:
             counts = own.counts[n]
             rows += runs(chunk, n, own.keys[n], ranges, lambda a, b, counts=counts: planes(counts[a:b]))
         return run_table(rows)
 
+    def ask(table: pa.Table) -> pa.Table:
+        return sent(read(table), table.column("chunk")[0].as_py(), (1, 2))
+
+    def told(replies: pa.Table) -> dict[int, np.ndarray]:
+        got = zip(*(replies.column(c).to_pylist() for c in ("kind", "range", "counts")), strict=True)
+        parts: dict[int, list[np.ndarray]] = {n: [np.empty(0)] for n in (1, 2, 3)}
+        for kind, _, raw in sorted(got, key=lambda x: x[:2]):
+            parts[kind].append(unplaned(raw, len(raw) // 8).astype(np.float64))
+        return {n: np.concatenate(x) for n, x in parts.items()}
+
+    def ask_more(own_texts: pa.Table, replies: pa.Table) -> pa.Table:
+        own = read(own_texts)
+        own.add_trigrams(told(replies)[2], least_history)
+        return sent(own, own_texts.column("chunk")[0].as_py(), (3,))
+
     def answer(table: pa.Table) -> pa.Table:
         kind, r = table.column("kind")[0].as_py(), table.column("range")[0].as_py()
         keys = [unpacked_run(k) for k in table.column("keys").to_pylist()]
@@ -185,23 +213,24 @@ def lm_scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, range_bytes: int
             }
         )
 
-    answers = written(
-        texts.groupBy("chunk").applyInArrow(ask, RUNS).groupBy("kind", "range").applyInArrow(answer, ANSWER), "lm-counts"
-    )
+    def answered(asked: DataFrame) -> DataFrame:
+        return written(asked.groupBy("kind", "range").applyInArrow(answer, ANSWER), "lm-counts")
+
+    columns = ["chunk", "kind", "range", "counts"]
+    answers = answered(texts.groupBy("chunk").applyInArrow(ask, RUNS))
     types, tokens = answers.where("chunk = -1").agg(
         F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))
     ).first()
+    short = answers.where("chunk >= 0").select(*columns)
+    more = answered(texts.groupBy("chunk").cogroup(short.where("kind = 2").groupBy("chunk")).applyInArrow(ask_more, RUNS))
+    every = short.unionByName(more.where("chunk >= 0").select(*columns))
 
     def score(own_texts: pa.Table, replies: pa.Table) -> pa.Table:
-        own = read(own_texts)
-        got = zip(*(replies.column(c).to_pylist() for c in ("kind", "range", "counts")), strict=True)
-        parts: dict[int, list[np.ndarray]] = {1: [], 2: [], 3: []}
-        for kind, _, raw in sorted(got, key=lambda x: x[:2]):
-            parts[kind].append(unplaned(raw, len(raw) // 8).astype(np.float64))
-        counts = {n: np.concatenate(x) for n, x in parts.items()}
+        own, counts = read(own_texts), told(replies)
+        own.add_trigrams(counts[2], least_history)
         automaton = BackoffAutomaton(counts, documents, tokens, types)
-        begins = own.ends - own.lengths
-        steps = automaton.traverse(own.place, begins)
+        begins = own.begins
+        steps = automaton.traverse(own)
         known = (counts[1] > 0)[own.place[1]].astype(np.int64)
         n = len(own.lengths)
         return pa.table(
@@ -216,8 +245,4 @@ def lm_scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, range_bytes: int
             }
         )
 
-    return (
-        texts.groupBy("chunk")
-        .cogroup(answers.where("chunk >= 0").select("chunk", "kind", "range", "counts").groupBy("chunk"))
-        .applyInArrow(score, SCORED)
-    )
+    return texts.groupBy("chunk").cogroup(every.groupBy("chunk")).applyInArrow(score, SCORED)

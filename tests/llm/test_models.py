@@ -121,8 +121,8 @@ def test_chi_square_limit():
 class Walker:
     """The automaton arc by arc: histories of up to two words, failure arcs, one word at a time."""
 
-    def __init__(self, texts):
-        self.counts, self.documents = Counter(), len(texts)
+    def __init__(self, texts, least):
+        self.counts, self.documents, self.least = Counter(), len(texts), least
         for own in texts:
             padded = ["<", *own]
             for n in (1, 2, 3):
@@ -139,6 +139,8 @@ class Walker:
         if not state:
             return self.root(w)
         seen, held, s = self.counts[(*state, w)], self.counts[state], lm.STRENGTHS[len(state) - 1]
+        if len(state) == 2 and held < self.least:
+            return self.step(state[1:], w)
         below = self.step(state[1:], w)
         if not seen:
             return (math.log10(s / (held + s)) if held else 0.0) + below
@@ -149,23 +151,24 @@ class Walker:
         for w in own:
             out += self.step(state, w)
             state = (*state, w)[-2:]
-            while state and not self.counts[state]:
+            while state and (not self.counts[state] or len(state) == 2 and self.counts[state] < self.least):
                 state = state[1:]
         return out
 
 
-@pytest.mark.parametrize(("chunk_bytes", "range_bytes"), [(10_000_000, 10_000_000), (40_000, 7_000)])
-def test_lm_against_brute_force(spark, odd_docs, no_docs, chunk_bytes, range_bytes):
+@pytest.mark.parametrize(("chunk_bytes", "range_bytes", "least"), [(10_000_000, 10_000_000, 20), (40_000, 7_000, 2)])
+def test_lm_against_brute_force(spark, odd_docs, no_docs, chunk_bytes, range_bytes, least):
+    odd_docs = odd_docs.unionByName(odd_docs.where("doc_id < 8").withColumn("doc_id", F.col("doc_id") + 100))
     rows = [(r["doc_id"], r["text"]) for r in odd_docs.collect()]
     train = [i is None or zlib.crc32(str(i).encode()) % 10 != 0 for i, _ in rows]
     tokens = [[*(t or "").encode().lower().split(), None] for _, t in rows]
     assert False in train
-    walker = Walker([own for own, seen in zip(tokens, train, strict=True) if seen])
+    walker = Walker([own for own, seen in zip(tokens, train, strict=True) if seen], least)
     want = [
         (str(doc_id), not seen, len(own), sum(walker.counts[w,] > 0 for w in own), walker.tokens, sum(map(walker.root, own)), walker.score(own))
         for (doc_id, _), own, seen in zip(rows, tokens, train, strict=True)
     ]
-    got = [tuple(r) for r in lm_scores(odd_docs, chunk_bytes, range_bytes).collect()]
+    got = [tuple(r) for r in lm_scores(odd_docs, chunk_bytes, range_bytes, least).collect()]
     got, want = sorted((str(g[0]), *g[1:]) for g in got), sorted(want)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     for g, w in zip(got, want, strict=True):
@@ -183,7 +186,7 @@ def test_lm_takes_long_words_and_no_training(spark):
 
 def test_automaton_weights_sum_to_one():
     texts = [["a", "b", "a", "b", None], ["b", "a", "b", "c", None], ["a", "b", "b", None]]
-    walker = Walker(texts)
+    walker = Walker(texts, 2)
     words = ["a", "b", "c", None, "never seen"]
     for state in [(), ("<",), ("a",), ("a", "b"), ("b", "a"), ("<", "a"), ("c",)]:
         assert sum(10 ** walker.step(state, w) for w in words) == pytest.approx(1.0)
