@@ -40,7 +40,7 @@ _PARCEL_FILE = ["record_id", "property_address", "city", "state", "zip_code", "t
 def _(t):
     note = F.lit('two\nlines, "quoted"').alias("note")
     path = land(t, t.v_parcels.select(note, *reversed(_PARCEL_FILE)), "csv", "parcels")
-    raw = R.read_csv_strings(t.spark, path, _PARCEL_FILE)
+    raw = R.read_delimited(t.spark, path, _PARCEL_FILE).drop("file", "file_time", "record")
     return R.typed(raw, doubles=["total_assessed_value", "latitude"], ints=["year_built"], longs=["record_id"])
 
 
@@ -52,7 +52,7 @@ def _(t):
     from gridrisk.operators import parcels as P
 
     path = land(t, t.v_avm.select(*reversed(_AVM_FILE), F.lit("a\nb").alias("note")), "csv", "avm")
-    avm = R.typed(R.read_csv_strings(t.spark, path, _AVM_FILE), doubles=["final_value"], longs=["record_id_avm"])
+    avm = R.typed(R.read_delimited(t.spark, path, _AVM_FILE), doubles=["final_value"], longs=["record_id_avm"])
     kept = P.semi_avm_prefilter(P.normalize_avm(avm), P.normalize_parcels(t.v_parcels))
     return kept.select("record_id_avm", "final_value", "valuation_date")
 

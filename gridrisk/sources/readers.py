@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from gridrisk.functions.numbering import numbered
 from gridrisk.functions.text import pad_geo_id, to_number
 from gridrisk.sources import schemas as S
+from gridrisk.sources.delimited import read_delimited
 
 
 def read_csv_strings(spark: SparkSession, path: str, columns: Sequence[str], sep: str = ",",
@@ -17,8 +19,8 @@ def read_csv_strings(spark: SparkSession, path: str, columns: Sequence[str], sep
     """Delimited file with a header; the named columns as strings, wherever they stand in it.
 
     Names are compared trimmed. A column that the header lacks is null; if it has none of them, that
-    is an error, and so are files of one folder with different headers. Quoted line breaks are kept;
-    ``multi_line=False`` lets Spark split large files that are known to have none.
+    is an error, and so are files of one folder with different headers. Quoted line breaks are kept,
+    so a file is read by one task; ``read_delimited`` splits large files.
     """
     raw = (
         spark.read.option("header", True)
@@ -99,13 +101,13 @@ def parse_cve_pages(files: DataFrame) -> DataFrame:
 def read_cve_pages(spark: SparkSession, path: str) -> DataFrame:
     """Landed vulnerability pages, one row per listed CVE: ``seq, keyword, cve``.
 
-    Pages that carry no ``seq`` are numbered in load order: by file time, path and place. One row a
-    page passes through that numbering.
+    Pages that carry no ``seq`` are numbered in load order: by file time, path and place. Only the
+    keys of pages are numbered, range by range.
     """
     files = page_files(spark.read.option("recursiveFileLookup", True).text(path, wholetext=True))
     pages = parse_cve_pages(files)
-    order = Window.orderBy("file_time", "file_path", "doc")
-    numbers = pages.filter("seq IS NULL").select("file_path", "file_time", "doc").withColumn("page", F.row_number().over(order))
+    keys = pages.filter("seq IS NULL").select("file_path", "file_time", "doc")
+    numbers = numbered(keys, "page", F.col("file_time").asc(), F.col("file_path").asc(), F.col("doc").asc())
     known = pages.join(numbers.select("file_path", "doc", "page"), ["file_path", "doc"], "left")
     return explode_cve_pages(known, ["page"], PAGE_ROWS * F.col("page") + F.col("pos")).drop("page")
 
@@ -124,16 +126,19 @@ def explode_cve_pages(pages: DataFrame, keep: Sequence[str] = (), seq: Column |
 
 
 def read_kev_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Exploited-vulnerability catalogue with ``seq``, the order in the file."""
-    return read_csv_strings(spark, path, S.KEV_COLUMNS).withColumn("seq", F.monotonically_increasing_id())
+    """Exploited-vulnerability catalogue with ``seq``: the order of its files by time and path, then the order in a file."""
+    rows = read_delimited(spark, path, S.KEV_COLUMNS)
+    return numbered(rows, "seq", F.col("file_time").asc(), F.col("file").asc(), F.col("record").asc()).drop("file", "file_time", "record")
 
 
 def read_kev_json(spark: SparkSession, path: str) -> DataFrame:
-    """The catalogue as a JSON feed, with ``seq``, the order in its files."""
+    """The catalogue as a JSON feed, with ``seq``: the order of its files by time and path, then the order in a file."""
     fields = ",".join(f"{c}:string" for c in S.KEV_COLUMNS)
-    feed = read_documents(spark, path, f"vulnerabilities array<struct<{fields}>>")
-    rows = feed.select(F.posexplode(required("vulnerabilities", "the catalogue")).alias("pos", "v"))
-    return rows.select("v.*", F.monotonically_increasing_id().alias("seq"))
+    files = page_files(spark.read.text(path, wholetext=True))
+    feed = parse_documents(files, f"vulnerabilities array<struct<{fields}>>", ["file_path", "file_time"])
+    place = ["file_path", "file_time", "doc"]
+    rows = feed.select(*place, F.posexplode(required("vulnerabilities", "the catalogue")).alias("pos", "v")).select(*place, "pos", "v.*")
+    return numbered(rows, "seq", F.col("file_time").asc(), F.col("file_path").asc(), F.col("doc").asc(), F.col("pos").asc()).drop(*place, "pos")
 
 
 def read_devices_json(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
