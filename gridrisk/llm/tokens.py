@@ -22,7 +22,7 @@ END_ID = 2
 #: Ids after which a block ends with its document.
 BLOCK_IDS = 1_000_000
 #: Words that one Python worker remembers with their ids; then it forgets all and starts anew.
-REMEMBERED = 700_000
+REMEMBERED = 1_200_000
 #: Characters that are encoded together.
 GROUP_CHARS = 2_000_000
 
@@ -41,21 +41,28 @@ def encode_ids(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
 
     A value is the frequency rank of an id in this block, in one to four little-endian bytes.
     """
-    known, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((known, -counts))
-    rank = np.empty(len(order), dtype=np.uint32)
+    # Ids of a vocabulary are small numbers, so a table of their counts needs no sort; others are numbered first.
+    names, places = (None, ids) if ids.max(initial=0) < 1 << 22 else np.unique(ids, return_inverse=True)
+    counts = np.bincount(places)
+    known = np.flatnonzero(counts)
+    order = known[np.lexsort((known, -counts[known]))]
+    rank = np.empty(len(counts), dtype=np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
-    values = rank[inverse]
-    sizes = 1 + (values >= 1 << 8).astype(np.int64) + (values >= 1 << 16) + (values >= 1 << 24)
+    values = rank[places]
+    sizes = np.ones(len(values), dtype=np.uint8)
+    for bits in (8, 16, 24):
+        if len(order) > 1 << bits:
+            sizes += values >= 1 << bits
     codes = np.zeros(-(-len(values) // 4) * 4, dtype=np.uint8)
     codes[: len(values)] = sizes - 1
     control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1, dtype=np.uint8)
-    begins = np.cumsum(sizes) - sizes
-    data = np.empty(int(sizes.sum()), dtype=np.uint8)
-    for k in range(int(sizes.max(initial=1))):
-        wide = sizes > k
+    begins = np.cumsum(sizes, dtype=np.int64) - sizes
+    data = np.empty(int(sizes.sum(dtype=np.int64)), dtype=np.uint8)
+    data[begins] = values & np.uint32(255)
+    for k in range(1, int(sizes.max(initial=1))):
+        wide = np.flatnonzero(sizes > k)
         data[begins[wide] + k] = (values[wide] >> np.uint32(8 * k)) & np.uint32(255)
-    return known[order].astype("<u4").tobytes(), control.tobytes(), data.tobytes()
+    return (order if names is None else names[order]).astype("<u4").tobytes(), control.tobytes(), data.tobytes()
 
 
 def decode_ids(n: int, ranked: bytes, control: bytes, data: bytes) -> np.ndarray:
