@@ -18,6 +18,8 @@ WINDOW = 256
 WIDTHS, FILTERS = (2, 3, 4), 8
 #: The training sample: so many labelled documents of each language, so many windows of each document.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 400, 4
+#: Documents of the whole sample, and languages that the network can tell apart: the most frequent ones.
+SAMPLE_TOTAL, LANGUAGES = 20_000, 1_000
 EPOCHS, BATCH, RATE = 12, 64, 0.02
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
@@ -135,16 +137,20 @@ def training_mask(doc_id: Column) -> Column:
 def train_network(docs: DataFrame, seed: int = 11) -> ByteNet | None:
     """A network of the labelled languages, or None where nothing is labelled.
 
-    The sample is bounded: of each language the ``SAMPLE_DOCS`` documents that come first by a hash
-    of their doc_id, of each ``SAMPLE_WINDOWS`` pieces spread over the whole text.
+    The sample is bounded: of each of the ``LANGUAGES`` most frequent languages (of equals the first
+    by name) the ``SAMPLE_DOCS`` documents that come first by a hash of their doc_id, fewer where
+    there are many languages, so that there are ``SAMPLE_TOTAL`` in all at most; of each document
+    ``SAMPLE_WINDOWS`` pieces spread over the whole text.
     """
     own = docs.select(docs["doc_id"], docs["text"], docs["lang"]).where(
         training_mask(docs["doc_id"]) & docs["lang"].isNotNull() & docs["text"].rlike(r"\p{L}")
     )
-    # Four times the sample passes by hash, so a common language sends no more rows to its task than a
-    # rare one. The rates are one entry for each output of the network: a scalar, no join.
-    rates = own.groupBy("lang").agg((F.lit(4.0 * SAMPLE_DOCS) / F.count(F.lit(1))).alias("rate"))
-    listed = rates.agg(F.map_from_entries(F.collect_list(F.struct("lang", "rate")))).scalar()
+    counts = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    if not counts:
+        return None
+    quota = min(SAMPLE_DOCS, SAMPLE_TOTAL // len(counts))
+    # Four times the sample passes by hash, so a common language sends no more rows to its task than a rare one.
+    listed = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], 4.0 * quota / r["count"])])
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
     step = F.greatest(F.lit(0), F.length("text") - WINDOW) / max(1, SAMPLE_WINDOWS - 1)
     pieces = F.array_distinct(
@@ -153,11 +159,9 @@ def train_network(docs: DataFrame, seed: int = 11) -> ByteNet | None:
     likely = own.where(place < F.try_element_at(listed, F.col("lang")))
     slim = likely.select("lang", "doc_id", place.alias("place"), F.xxhash64("text").alias("t"), pieces.alias("pieces"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id", "t"))
-    sample = slim.withColumn("n", rank).where(F.col("n") <= SAMPLE_DOCS).select("lang", "n", "pieces").collect()
+    sample = slim.withColumn("n", rank).where(F.col("n") <= quota).select("lang", "n", "pieces").collect()
     sample.sort(key=lambda r: (r["lang"], r["n"]))
     languages = sorted({r["lang"] for r in sample})
-    if not languages:
-        return None
     windows, labels = [], []
     for r in sample:
         for piece in r["pieces"]:

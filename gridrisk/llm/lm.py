@@ -12,7 +12,7 @@ from gridrisk.llm.common import ship, written
 from gridrisk.llm.exchange import RUNS, dealt, planes, run_table, runs, texts_of, unpacked_run, unplaned
 
 #: Bytes of text in one chunk, and of text whose keys one range takes.
-CHUNK_BYTES, RANGE_BYTES = 5_000_000, 20_000_000
+CHUNK_BYTES, RANGE_BYTES = 4_000_000, 12_000_000
 #: Added to every word's count in the unigram model.
 ADDED = 0.1
 #: Strength of the shorter history below a bigram and a trigram count, in tokens.

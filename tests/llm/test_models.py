@@ -217,6 +217,18 @@ def test_language_of_odd_rows(spark, odd_docs, no_docs):
     assert [tuple(r) for r in blank] == [("und", 0.0)]
 
 
+def test_many_languages_stay_within_the_sample(spark, monkeypatch):
+    from gridrisk.llm import langid
+
+    monkeypatch.setattr(langid, "LANGUAGES", 5)
+    monkeypatch.setattr(langid, "SAMPLE_TOTAL", 12)
+    rows = [(3 * i, "some words", f"l{i % 3}") for i in range(60)] + [(1000 + 3 * i, "other words", f"rare{i:02d}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    net = langid.train_network(docs)
+    assert set(net.languages) <= {"l0", "l1", "l2", "rare00", "rare01", "rare02"} and {"l0", "l1", "l2"} <= set(net.languages)
+    assert len(net.languages) <= 5
+
+
 # --- token files ---------------------------------------------------------------------------
 def test_codec_round_trip():
     rng = np.random.default_rng(1)
@@ -300,6 +312,19 @@ def test_other_vocabularies_go_plain(spark):
 
 
 # --- pipeline ------------------------------------------------------------------------------
+def test_unclear_languages_go_and_clear_ones_stay(spark):
+    """The threshold follows the scores of right predictions; unlearnt letters and bare numbers are unclear."""
+    docs = spark.read.parquet(f"{DIR}/../sf0.01/documents.parquet")
+    odd = ["Привет как дела это русский текст " * 20, "1234 5678 a 9999 " * 20, "日本語の文章です。" * 40]
+    none = F.lit(None).cast("string")
+    rows = [docs.limit(1).withColumns({"doc_id": F.lit(900_001 + i).cast("bigint"), "text": F.lit(t), "lang": none}) for i, t in enumerate(odd)]
+    judged = corpus_pipeline.known_language(spark, docs.unionByName(rows[0]).unionByName(rows[1]).unionByName(rows[2]), DIR)
+    kept = {r.doc_id for r in judged.collect()}
+    everyone = {r.doc_id for r in docs.where(r"text RLIKE '\\p{L}'").collect()}
+    assert len(kept & {900_001, 900_002, 900_003}) < 3 and len(everyone - kept) <= 0.002 * len(everyone)
+    assert corpus_pipeline.least_score(identify_language(docs.limit(0))) == 0.0
+
+
 def test_pipeline_stages(spark, odd_docs, no_docs):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     planted = docs.limit(1).select(
@@ -317,7 +342,8 @@ def test_pipeline_stages(spark, odd_docs, no_docs):
         ids, old = {r[0] for r in now.select("doc_id").collect()}, {r[0] for r in before.select("doc_id").collect()}
         assert ids <= old
         if name == "language":
-            assert old - ids == {900_001}
+            # In a table this small, one very short text may count as unclear.
+            assert 900_001 in old - ids and len(old - ids) <= 2
         if name == "near_duplicates":
             assert counts[1] == len(ids) < counts[0]
         if name == "decontamination":
