@@ -24,8 +24,9 @@ SPELLINGS = (
     ("whilst", "while"),
     ("https", "http"),
 )
-#: A line that only names a holder: it opens with the word, the sign or ``(c)``.
-COPYRIGHT = r"^[ \t\r]*(copyright|\(c\)|©|all rights reserved)"
+#: A line that names a holder: the word with a sign, ``(c)`` or a year behind it, or the sign or ``(c)`` and a year;
+#: or the line that reserves all rights.
+COPYRIGHT = r"^[ \t\r]*(copyright[ \t]+(\(c\)|©|[0-9])|\(c\)[ \t]*[0-9]|©|all rights reserved[.]?[ \t\r]*$)"
 PUNCTUATION = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 

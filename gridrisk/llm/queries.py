@@ -31,8 +31,17 @@ URL_RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-#: Known licenses and one-line notices, by id.
-LICENSES = {
+_BSD_DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+    "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+    "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE "
+    "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+#: Texts of known licenses and one-line notices, by id; longer or other ones come as a table.
+LICENSE_TEXTS = {
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
@@ -53,7 +62,64 @@ LICENSES = {
     "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
     "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
     "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "MIT-0": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+    "associated documentation files (the \"Software\"), to deal in the Software without restriction, including without "
+    "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
+    "Software, and to permit persons to whom the Software is furnished to do so.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", "
+    "WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE "
+    "FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF "
+    "OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+    "hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE "
+    "SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL "
+    "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+    "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN "
+    "AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+    "PERFORMANCE OF THIS SOFTWARE.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted "
+    "provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright "
+    "notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the "
+    "above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+    f"materials provided with the distribution.\n\n{_BSD_DISCLAIMER}",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted "
+    "provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright "
+    "notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the "
+    "above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+    "materials provided with the distribution.\n\n3. Neither the name of the copyright holder nor the names of its "
+    "contributors may be used to endorse or promote products derived from this software without specific prior written "
+    f"permission.\n\n{_BSD_DISCLAIMER}",
+    "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, "
+    "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+    "purpose, commercial or non-commercial, and by any means.\n\nIn jurisdictions that recognize copyright laws, the author "
+    "or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this "
+    "dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this "
+    "dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under "
+    "copyright law.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT "
+    "NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT "
+    "SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+    "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n\n"
+    "For more information, please refer to <https://unlicense.org/>",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be "
+    "held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this "
+    "software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the "
+    "following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not claim that you wrote "
+    "the original software. If you use this software in a product, an acknowledgment in the product documentation would be "
+    "appreciated but is not required.\n\n2. Altered source versions must be plainly marked as such, and must not be "
+    "misrepresented as being the original software.\n\n3. This notice may not be removed or altered from any source "
+    "distribution.",
+}
+#: The title lines under which those texts are published.
+LICENSE_TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "MIT-0": ("MIT No Attribution",),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"),
+    "ISC": ("ISC License", "The ISC License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License"),
+    "Zlib": ("zlib License", "The zlib License"),
 }
+LICENSES = [(name, f"{title}\n\n{text}") for name, text in LICENSE_TEXTS.items() for title in ("", *LICENSE_TITLES.get(name, ()))]
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +174,7 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = spark.createDataFrame(list(LICENSES.items()), "license_id string, text string")
+    known = spark.createDataFrame(LICENSES, "license_id string, text string")
     return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), known)
 
 
@@ -241,7 +307,7 @@ def _op8_sql() -> str:
     words = "' ' || regexp_replace(line, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', '  ', 'g') || ' '"
     for found, wanted in SPELLINGS:
         words = f"replace({words}, ' {found} ', ' {wanted} ')"
-    known = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in LICENSES.items())
+    known = ", ".join("('{}#{}', '{}')".format(k, n, v.replace("'", "''")) for n, (k, v) in enumerate(LICENSES))
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
     def canonical(source: str, name: str) -> str:
@@ -254,7 +320,7 @@ def _op8_sql() -> str:
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents
 ), {canonical("docs", "doc")}, known(r, text) AS (VALUES {known}
-), {canonical("known", "known")}, ids AS (SELECT whole, min(r) AS license_id FROM known_whole GROUP BY whole
+), {canonical("known", "known")}, ids AS (SELECT whole, min(split_part(r, '#', 1)) AS license_id FROM known_whole GROUP BY whole
 ), notes AS (SELECT r, string_agg(license_id, ',' ORDER BY license_id) AS notices
   FROM (SELECT DISTINCT c.r, i.license_id FROM doc_clean c JOIN ids i ON c.line = i.whole) GROUP BY r)
 SELECT doc_id, sha256(coalesce(w.whole, '')) AS digest, ids.license_id, coalesce(notices, '') AS notices

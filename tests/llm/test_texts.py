@@ -298,3 +298,24 @@ def test_licenses(spark, odd_docs, no_docs):
 
 def test_base_text_is_what_the_cases_expect():
     assert len(BASE.split()) == 60
+
+
+def test_whole_licenses_at_every_wrap_width(spark):
+    """A titled file with its holder, wrapped at any width, is the license; no line that happens to begin a sentence is lost."""
+    import textwrap
+
+    from gridrisk.llm.queries import LICENSE_TEXTS, LICENSE_TITLES, LICENSES
+
+    rows = []
+    for name, text in LICENSE_TEXTS.items():
+        if name.endswith("notice"):
+            continue
+        title = LICENSE_TITLES.get(name, ("",))[0]
+        for width in range(60, 101, 1 if name in ("MIT", "BSD-3-Clause") else 7):
+            body = "\n\n".join(textwrap.fill(part, width) for part in text.split("\n\n"))
+            rows.append((name, f"{title}\n\nCopyright (c) 2021 Some One\nCopyright 2022, Others. All rights reserved.\n\n{body}\n"))
+    rows.append((None, "MIT License\n\ncopyright notice of our own\n\n" + LICENSE_TEXTS["MIT"]))
+    known = spark.createDataFrame(LICENSES, "license_id string, text string")
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id bigint, text string")
+    found = {r.doc_id: r.license_id for r in scan_licenses(docs, known).collect()}
+    assert [found[i] for i in range(len(rows))] == [name for name, _ in rows]
