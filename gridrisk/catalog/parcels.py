@@ -302,12 +302,8 @@ _LEVEL_SQL = "\nUNION ALL ".join(
 
 @query("community_agg", _LEVEL_SQL, COMMUNITY_DOUBLES)
 def _(t):
-    """All three levels in one schema, from one written parcel table."""
-    rows, out = parcel_table(t), None
-    for level, key in _LEVELS.items():
-        part = K.geo_id_rename(P.community_agg(rows, key), key).withColumn("level", F.lit(level))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """All three levels in one schema, in one pass over the written parcel table."""
+    return P.community_agg_levels(parcel_table(t), _LEVELS)
 
 
 @query("geo_id_rename", "SELECT zip_code AS geo_id, parcel_count FROM c_zip")

@@ -6,7 +6,7 @@ counted first. Groups up to the bound take the built-in, all columns and probabi
 aggregation. For the others a mergeable sketch brackets each quantile, then one more pass counts
 what lies below the bracket and keeps only the values inside it. Both passes combine on the map
 side, so a hot key leaves each task as a few rows, and the ordered step sees about ``2 * margin`` of
-a group. Both ways give the same values; where no group is large, Spark drops the second at run time.
+a group. Both ways give the same values; where no group is large, only the first is planned.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridrisk.session import scratch_path
+from gridrisk.sources.writers import write_table
+
 _ACCURACY = 10_000
 _MARGIN = 5e-4
 _BELOW = float("-inf")
@@ -123,19 +126,19 @@ def _direct(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: S
 def _quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str], accuracy: int,
                direct: int) -> DataFrame:
     columns = list(dict.fromkeys(columns))
-    if by:
-        sizes = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in by]).agg(F.count(F.lit(1)).alias("_rows"))
-        same = F.lit(True)
-        for k in by:
-            same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-
-        def part(condition: str) -> DataFrame:
-            return df.select(*dict.fromkeys([*by, *columns])).join(sizes.filter(condition), same)
-    else:
-        rows = df.agg(F.count(F.lit(1)))
-
-        def part(condition: str) -> DataFrame:
-            return df.select(*columns, rows.scalar().alias("_rows")).filter(condition)
+    # The input is computed once; what follows reads the written columns, and only as often as its groups ask for.
+    rows = write_table(df.select(*dict.fromkeys([*by, *columns])), scratch_path(df.sparkSession, "quantiles"))
+    sizes = rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in by]).agg(F.count(F.lit(1)).alias("_rows"))
+    if (sizes.agg(F.max("_rows")).first()[0] or 0) <= direct:
+        return _direct(rows, columns, probs, by)
+    same = F.lit(True)
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+
+    def part(condition: str) -> DataFrame:
+        if not by:
+            return rows.withColumn("_rows", sizes.scalar()).filter(condition)
+        return rows.join(sizes.filter(condition), same)
 
     bracketed = _picked(part(f"_rows > {direct}"), columns, probs, by, accuracy).groupBy(*by, "name", "n").agg(
         F.array(*[F.max(F.when(F.col("slot") == i, F.col("q"))) for i in range(len(probs))]).alias("q")

@@ -212,8 +212,21 @@ COMMUNITY_MEDIANS = {
 
 def community_agg(parcels: DataFrame, key: str) -> DataFrame:
     """19 aggregates and 5 rates per community key; hot keys combine before every shuffle."""
-    valid = filter_valid_group_key(parcels, key)
-    counts = valid.groupBy(key).agg(
+    return _community(filter_valid_group_key(parcels, key), [key])
+
+
+def community_agg_levels(parcels: DataFrame, levels: dict[str, str]) -> DataFrame:
+    """``level, geo_id`` and the aggregates of ``community_agg`` for several keys (level → column) in one pass.
+
+    Every row stands once for each of its keys, and all levels are aggregated together.
+    """
+    keys = F.explode(F.array(*[F.struct(F.lit(n).alias("level"), F.col(c).cast("string").alias("geo_id")) for n, c in levels.items()]))
+    rows = parcels.withColumn("_key", keys).withColumns({"level": F.col("_key.level"), "geo_id": F.col("_key.geo_id")}).drop("_key")
+    return _community(filter_valid_group_key(rows, "geo_id"), ["level", "geo_id"])
+
+
+def _community(valid: DataFrame, by: list[str]) -> DataFrame:
+    counts = valid.groupBy(*by).agg(
         F.count("record_id").alias("parcel_count"),
         as_count(F.col("is_residential")).alias("residential_parcel_count"),
         as_count(F.col("is_single_family")).alias("single_family_count"),
@@ -227,12 +240,12 @@ def community_agg(parcels: DataFrame, key: str) -> DataFrame:
         share(F.col("has_garage")).alias("garage_share"),
         share(F.col("high_value_home")).alias("high_value_share"),
     )
-    medians = exact_medians(valid, COMMUNITY_MEDIANS, by=[key])
+    medians = exact_medians(valid, COMMUNITY_MEDIANS, by=by)
 
     def rate(column: str) -> Column:
         return F.try_divide(F.col(column).cast("double"), F.col("parcel_count"))
 
-    return counts.join(medians, key, "left").withColumns(
+    return counts.join(medians, by, "left").withColumns(
         {
             "residential_share": rate("residential_parcel_count"),
             "single_family_share": rate("single_family_count"),

@@ -18,16 +18,16 @@ def community_features(parcel_rows: DataFrame, avm: DataFrame, geo: DataFrame,
                        state: str | None = None) -> dict[str, DataFrame]:
     """Enriched parcels and the ZIP, census and county feature tables.
 
-    Four outputs read the enriched rows: write them with ``write_table`` and pass the table to
-    ``community_agg`` when the inputs are large, so the joins run once.
+    The enriched rows are written once; the three levels are aggregated from them in one pass.
     """
-    enriched = parcels.enrich_parcels(parcel_rows, avm, geo, state)
-    return {
-        "parcels": enriched,
-        "by_census": parcels.community_agg(enriched, "effective_census_key_decennial"),
-        "by_zip": parcels.community_agg(enriched, "zip_code"),
-        "by_fips": parcels.community_agg(enriched, "effective_fips_code"),
+    spark = parcel_rows.sparkSession
+    enriched = write_table(parcels.enrich_parcels(parcel_rows, avm, geo, state), scratch_path(spark, "parcels"))
+    keys = {"by_census": "effective_census_key_decennial", "by_zip": "zip_code", "by_fips": "effective_fips_code"}
+    levels = write_table(parcels.community_agg_levels(enriched, keys), scratch_path(spark, "levels"))
+    tables = {
+        name: levels.where(F.col("level") == name).drop("level").withColumnRenamed("geo_id", key) for name, key in keys.items()
     }
+    return {"parcels": enriched, **tables}
 
 
 def sync_job(hits: DataFrame, kev: DataFrame, root: str, notes: str = "full sync", buckets: int = 64) -> DataFrame:
