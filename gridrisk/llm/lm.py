@@ -46,11 +46,21 @@ def _mixed(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
+def _distinct(grams: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted keys of n-grams and how many of each are from training texts, which a spare bit says."""
+    marked = grams & KEY_BITS
+    marked |= train
+    marked.sort()
+    keys = marked & KEY_BITS
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    counts = np.add.reduceat(marked & np.uint64(1), new) if len(new) else np.empty(0)
+    return keys[new], counts.astype(np.uint32)
+
+
 class TokenChunk:
     """The tokens of some documents, one after the other, with the distinct words and pairs.
 
-    ``keys[n]`` are the sorted keys of the n-grams, ``place[n]`` the key of the n-gram that ends at
-    each token, ``counts[n]`` their counts in training texts.
+    ``keys[n]`` are the sorted keys of the n-grams, ``counts[n]`` their counts in training texts.
     """
 
     def __init__(self, texts: list[bytes], train: np.ndarray):
@@ -65,33 +75,35 @@ class TokenChunk:
         numbers = np.ones(int(self.ends[-1]), dtype=np.int32)
         for end, part in zip(self.ends, parts, strict=True):
             numbers[end - 1 - len(part) : end - 1] = part
-        hashed = np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64)
-        self.words = np.concatenate([np.array([START, END]), hashed])[numbers]
-        self.train = np.repeat(train, self.lengths)
-        before = np.concatenate([self.words[:1], self.words[:-1]])
-        before[self.begins] = START
-        self.pairs = _mixed(before, self.words)
-        self.keys, self.place, self.counts = {}, {}, {}
-        for n, grams in ((1, self.words), (2, self.pairs)):
-            self.keys[n], self.place[n], self.counts[n] = self._distinct(grams, self.train)
-
-    @staticmethod
-    def _distinct(grams: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        keys, place = np.unique(grams & KEY_BITS, return_inverse=True)
-        return keys, place.astype(np.int32), np.bincount(place, weights=train, minlength=len(keys)).astype(np.uint32)
-
-    def leading(self, counts: np.ndarray, place: np.ndarray, first: float) -> np.ndarray:
-        """The count of the n-gram that leads to each token; ``first`` at the beginnings."""
-        out = np.concatenate([[0.0], counts[place[:-1]]])
-        out[self.begins] = first
-        return out
+        hashed = np.array([START, END, *map(xxhash.xxh3_64_intdigest, words)], dtype=np.uint64)
+        self.words = hashed[numbers]
+        self.train = np.repeat(train.astype(np.uint64), self.lengths)
+        self.pairs = np.concatenate([hashed[:1], self.words[:-1]])
+        self.pairs[self.begins] = START
+        self.pairs = _mixed(self.pairs, self.words)
+        # Words are few, so their keys are sorted by word and not by token.
+        own_keys, rank = np.unique(hashed[1:] & KEY_BITS, return_inverse=True)
+        self.word_place = rank.astype(np.int32)[numbers - 1]
+        word_counts = np.bincount(self.word_place, weights=self.train, minlength=len(own_keys)).astype(np.uint32)
+        self.keys, self.counts = {1: own_keys}, {1: word_counts}
+        self.keys[2], self.counts[2] = _distinct(self.pairs, self.train)
+
+    def pair_place(self) -> np.ndarray:
+        return np.searchsorted(self.keys[2], self.pairs & KEY_BITS)
 
     def add_trigrams(self, counts: np.ndarray, least: int) -> None:
-        """Keys of the trigrams whose first two words, by total ``counts`` of the pairs, are a state."""
-        two = self.leading(counts, self.place[2], 0.0)
-        self.after_state = np.flatnonzero(two >= least)
-        grams = _mixed(self.pairs[self.after_state - 1], self.words[self.after_state])
-        self.keys[3], self.place[3], self.counts[3] = self._distinct(grams, self.train[self.after_state])
+        """The tokens whose two words before, by total ``counts`` of the pairs, are a state, and the trigrams that end there."""
+        frequent = self.keys[2][counts >= least]
+        self.after_state = np.empty(0, dtype=np.int64)
+        if len(frequent):
+            before = np.concatenate([self.pairs[:1], self.pairs[:-1]]) & KEY_BITS
+            at = np.searchsorted(frequent, before)
+            at[at == len(frequent)] = 0
+            known = frequent[at] == before
+            known[self.begins] = False
+            self.after_state = np.flatnonzero(known)
+        self.trigrams = _mixed(self.pairs[self.after_state - 1], self.words[self.after_state])
+        self.keys[3], self.counts[3] = _distinct(self.trigrams, self.train[self.after_state])
 
 
 class BackoffAutomaton:
@@ -119,14 +131,15 @@ class BackoffAutomaton:
         state has one; what lies behind them is found for all tokens at once, level by level.
         """
         s2, s3 = STRENGTHS
-        root = self.root_arcs(chunk.place[1])
-        one = chunk.leading(self.counts[1], chunk.place[1], self.documents)
-        arc = self.counts[2][chunk.place[2]]
+        root, place = self.root_arcs(chunk.word_place), chunk.pair_place()
+        one = np.concatenate([[0.0], self.counts[1][chunk.word_place[:-1]]])
+        one[chunk.begins] = self.documents
+        arc = self.counts[2][place]
         failed = np.where(one > 0, np.log10(s2 / (one + s2)), 0.0)
         steps = np.where(arc > 0, np.log10((arc + s2 * 10.0**root) / (one + s2)), failed + root)
         at = chunk.after_state
-        two = chunk.leading(self.counts[2], chunk.place[2], 0.0)[at]
-        arc, below = self.counts[3][chunk.place[3]], steps[at]
+        two, below = self.counts[2][place[at - 1]], steps[at]
+        arc = self.counts[3][np.searchsorted(chunk.keys[3], chunk.trigrams & KEY_BITS)]
         failed = np.log10(s3 / (two + s3))
         steps[at] = np.where(arc > 0, np.log10((arc + s3 * 10.0**below) / (two + s3)), failed + below)
         return steps
@@ -231,7 +244,7 @@ def lm_scores(
         automaton = BackoffAutomaton(counts, documents, tokens, types)
         begins = own.begins
         steps = automaton.traverse(own)
-        known = (counts[1] > 0)[own.place[1]].astype(np.int64)
+        known = (counts[1] > 0)[own.word_place].astype(np.int64)
         n = len(own.lengths)
         return pa.table(
             {
@@ -240,7 +253,7 @@ def lm_scores(
                 "n_tokens": pa.array(own.lengths, pa.int64()),
                 "n_known": pa.array(np.add.reduceat(known, begins), pa.int64()),
                 "train_tokens": pa.array([tokens] * n, pa.int64()),
-                "base_score": pa.array(np.add.reduceat(automaton.root_arcs(own.place[1]), begins), pa.float64()),
+                "base_score": pa.array(np.add.reduceat(automaton.root_arcs(own.word_place), begins), pa.float64()),
                 "score": pa.array(np.add.reduceat(steps, begins), pa.float64()),
             }
         )
