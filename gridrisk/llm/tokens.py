@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 import os
+import string
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -98,16 +99,30 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(0x100 + n) for n, b in enumerate(others)}
 
 
+class KnownWords(dict):
+    """Ids of words as bytes; ``learn`` is asked for a new one. Beyond the limit all are forgotten."""
+
+    def __init__(self, learn: Callable[[str], bytes], limit: int):
+        super().__init__()
+        self.learn, self.limit = learn, limit
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > self.limit:
+            self.clear()
+        self[word] = ids = self.learn(word)
+        return ids
+
+
 class TextEncoder:
     """Ids of whole texts from the tokenizers library.
 
     With a vocabulary of ``WORD_SETTINGS`` each different word goes to the library once and is
-    remembered: a word of Latin letters, with or without a stop or comma behind it, to its model
-    alone, as normalizing it is lower-casing; any other word to the whole library, many of them in
-    one text with a separator between. Other vocabularies get whole texts.
+    remembered: a word of Latin letters to its model alone, as normalizing it is lower-casing, and
+    ASCII marks behind such a word apart, as they are a piece of their own; any other word to the
+    whole library. Other vocabularies get whole texts.
     """
 
-    SEPARATOR = "\x01"
+    MARKS = string.punctuation
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -119,81 +134,39 @@ class TextEncoder:
             "normalizer": (settings["normalizer"] or {}).get("normalizers"),
             "pre_tokenizer": (settings["pre_tokenizer"] or {}).get("pretokenizers"),
         }
-        self.words_apart, self.limit = found == WORD_SETTINGS and settings["model"]["type"] == "BPE", remembered
+        self.words_apart = found == WORD_SETTINGS and settings["model"]["type"] == "BPE"
         self.kind = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
-        self.known: dict[str, bytes] = {}
-        if self.words_apart:
-            self.model, self.letters = self.library.model, byte_letters()
-            self.mark = self._plain([self.SEPARATOR])[0][0]
-            self.marks = {m: self._packed(self._plain([m])[0]) for m in ".,"}
-
-    def _plain(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        self.model, self.letters = self.library.model, byte_letters()
+        self.known = KnownWords(self._word, remembered)
+        self.tails = KnownWords(self._whole, 100_000)
 
     def _packed(self, ids: list[int]) -> bytes:
         return array(self.kind, ids).tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        odd = [w for w in words if self.SEPARATOR in w]
-        for word, ids in zip(odd, self._plain(odd), strict=True):
-            self.known[word] = self._packed(ids)
-        words = [w for w in words if self.SEPARATOR not in w]
-        for at in range(0, len(words), 2000):
-            group, own, ids = words[at : at + 2000], [], []
-            for x in self._plain([f" {self.SEPARATOR} ".join(group)])[0]:
-                if x == self.mark:
-                    own.append(ids)
-                    ids = []
-                else:
-                    ids.append(x)
-            for word, ids in zip(group, [*own, ids], strict=True):
-                self.known[word] = self._packed(ids)
-
-    def _latin(self, word: str) -> bytes:
-        """Ids of lower-case Latin letters."""
-        written = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+    def _whole(self, text: str) -> bytes:
+        return self._packed(self.library.encode(text, add_special_tokens=False).ids)
+
+    def _word(self, word: str) -> bytes:
+        body = word.rstrip(self.MARKS)
+        # Lower-casing the dotted capital I leaves a mark that would join what follows.
+        if not (body.isalpha() and (body.isascii() or (max(body) < "ɐ" and "İ" not in body))):
+            return self._whole(word) if word else b""
+        if len(body) < len(word):
+            return self.known[body] + self.tails[word[len(body) :]]
+        lower = body.lower()
+        if lower != body:
+            return self.known[lower]
+        written = body if body.isascii() else body.encode().decode("latin-1").translate(self.letters)
         return self._packed([token.id for token in self.model.tokenize(written)])
 
-    def _meet(self, words: set[str]) -> None:
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        known[""] = b""
-        others, cut = set(), {}
-        for word in words:
-            if word in known:
-                continue
-            tail = self.marks.get(word[-1])
-            body = word if tail is None else word[:-1]
-            # Lower-casing the dotted capital I leaves a mark that would join what follows.
-            if body.isalpha() and (body.isascii() or (max(body) < "ɐ" and "İ" not in body)):
-                lower = body.lower()
-                ids = known.get(lower)
-                if ids is None:
-                    ids = known[lower] = self._latin(lower)
-                known[word] = ids if tail is None else ids + tail
-            elif tail is not None and self._ends(body):
-                cut[word] = body, tail
-                others.add(body)
-            else:
-                others.add(word)
-        self._learn([w for w in others if w not in known])
-        known.update((word, known[body] + tail) for word, (body, tail) in cut.items())
-
-    @staticmethod
-    def _ends(body: str) -> bool:
-        """Whether a Latin letter ends the text, so that a mark behind it is a piece of its own."""
-        return body != "" and body[-1] < "ɐ" and body[-1].isalpha() and body[-1] != "İ"
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.words_apart:
-            return [np.array(ids, dtype=np.uint32) for ids in self._plain(texts)]
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        words = set().union(*split)
-        words.discard("")
-        self._meet(words)
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, own)), dtype=np.dtype(self.kind)).astype(np.uint32) for own in split]
+            return [np.array(e.ids, dtype=np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        get, kind, out = self.known.__getitem__, np.dtype(self.kind), []
+        for text in texts:
+            words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            out.append(np.frombuffer(b"".join(map(get, words)), dtype=kind).astype(np.uint32))
+        return out
 
 
 @lru_cache(maxsize=2)
