@@ -206,11 +206,11 @@ def guess_udf(shared):
     return guess
 
 
-def identify_language(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
+def identify_language(docs: DataFrame, learn_from: DataFrame | None = None, network: ByteNet | None = None) -> DataFrame:
     """``docs`` with ``language``: struct of lang_pred and score.
 
-    The network learns from the labelled documents of ``learn_from`` (by default ``docs``) whose
-    crc32(doc_id as text) mod 3 is not 1. A prediction sees the text alone: the mean log
+    The network, unless it is given, learns from the labelled documents of ``learn_from`` (by default
+    ``docs``) whose crc32(doc_id as text) mod 3 is not 1. A prediction sees the text alone: the mean log
     probabilities of its windows, made to sum to one; lang_pred is the largest, score its value.
 
     A null text or one without a letter is ``und`` with score 0, and so is every text if nothing is
@@ -218,7 +218,7 @@ def identify_language(docs: DataFrame, learn_from: DataFrame | None = None) -> D
     their whole length. An extra column called ``language`` is replaced.
     """
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(train_network(docs if learn_from is None else learn_from))
+    shared = docs.sparkSession.sparkContext.broadcast(network or train_network(docs if learn_from is None else learn_from))
     return docs.select(packed(docs, "language").alias("row")).select(
         "row.*", guess_udf(shared)("row.text").alias("language")
     )

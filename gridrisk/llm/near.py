@@ -304,14 +304,21 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int =
 
     Every row is judged by its own text, whatever its doc_id: repeated rows and rows without a
     doc_id are copies like others, and of a doc_id with different texts each has its own group. Rows
-    whose text is null, empty or blank are in no group and stay.
+    whose text is null, empty or blank are in no group and stay, one for each doc_id and text. Rows
+    whose 64-bit keys meet by chance all stay.
     """
-    numbered = written(docs.select(packed(docs).alias("row"), F.monotonically_increasing_id().alias("at")), "near-numbered")
-    judged = near_duplicates(numbered.select(F.col("at").alias("doc_id"), F.col("row.text").alias("text")), shingle, percent)
-    groups = judged.select(F.col("doc_id").alias("at"), F.col("component_id").alias("group"))
-    names = numbered.select("at", F.col("row.doc_id").alias("doc_id"))
-    kept = names.join(groups.hint("merge"), "at").groupBy("group").agg(
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "at")).alias("first")
+    # A row's key is a hash of its doc_id and text; a second hash tells the few rows that only share the key.
+    keyed = docs.select(
+        packed(docs).alias("row"),
+        F.xxhash64("doc_id", "text").alias("key"),
+        F.xxhash64(F.lit("second"), "text", "doc_id").alias("second"),
     )
-    chosen = kept.select(F.col("first.at").alias("at")).hint("merge")
-    return numbered.join(chosen, "at", "left_semi").select("row.*")
+    judged = near_duplicates(keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), shingle, percent)
+    groups = judged.select(F.col("doc_id").alias("key"), F.col("component_id").alias("group")).distinct()
+    names = keyed.groupBy("key").agg(
+        F.min(F.struct(F.col("row.doc_id").isNull(), F.col("row.doc_id"))).alias("name"), (F.min("second") != F.max("second")).alias("shared")
+    )
+    named = written(names.join(groups.hint("merge"), "key"), "near-names")
+    first = named.groupBy("group").agg(F.min(F.struct("name", "key")).alias("first")).select(F.col("first.key").alias("key"))
+    chosen = first.unionByName(named.where("shared").select("key")).hint("merge")
+    return keyed.join(chosen, "key", "left_semi").dropDuplicates(["key", "second"]).select("row.*")
