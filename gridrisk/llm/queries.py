@@ -303,6 +303,36 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM par
 """
 
 
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents)
+), totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang
+), starts AS (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS b FROM pieces, (VALUES (1), (2), (3), (4), (5)) sizes(m) WHERE len(w) >= m
+), grams AS (
+  SELECT lang, m, array_to_string(w[b:b + m - 1], ' ') AS g, count(*) AS f FROM starts GROUP BY ALL HAVING count(*) >= 100
+), found AS (SELECT lang, m, g, f AS a, string_split(g, ' ') AS w FROM grams WHERE m > 1
+), cuts AS (
+  SELECT lang, m, g, a, k, array_to_string(w[1:k], ' ') AS first, array_to_string(w[k + 1:m], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM found)
+), scored AS (
+  SELECT c.lang, c.m, c.g, c.a, k, x.f AS l, y.f AS r, n, CAST((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM cuts c JOIN grams x ON c.lang = x.lang AND c.first = x.g JOIN grams y ON c.lang = y.lang AND c.rest = y.g JOIN totals t ON c.lang = t.lang
+), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, array_to_string(w[b:b + s - 1], ' ') AS g, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, m - s + 2)) AS b FROM (SELECT *, unnest(range(2, m)) AS s FROM found)) GROUP BY ALL
+)
+SELECT best.lang, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, best.g) AS rank, best.g AS phrase, a, l, r, n, score
+FROM best LEFT JOIN inside ON best.lang = inside.lang AND best.g = inside.g
+WHERE longer IS NULL OR 100 * longer < 100 * a
+QUALIFY rank <= 2000
+"""
+
+
 def _op8_sql() -> str:
     words = "' ' || regexp_replace(line, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', '  ', 'g') || ' '"
     for found, wanted in SPELLINGS:
@@ -329,4 +359,4 @@ FROM docs LEFT JOIN doc_whole w USING (r) LEFT JOIN ids ON w.whole = ids.whole L
 
 
 #: The permuted order of the mix comes from Spark's hash, so SQL checks size, source_size and target by tests.
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op4_line_dedup": OP4_SQL, "op5_url_filter": OP5_SQL, "op8_license_scan": _op8_sql()}
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op4_line_dedup": OP4_SQL, "op5_url_filter": OP5_SQL, "op8_license_scan": _op8_sql(), "op11_collocations": OP11_SQL}
