@@ -32,10 +32,10 @@ MULTIPLIERS = np.random.default_rng(20240229).integers(0, 1 << 31, BANDS * ROWS,
 
 
 class WordHashes(dict):
-    """64-bit hashes of words; 500,000 words of at most 64 bytes are remembered."""
+    """64-bit hashes of words; 150,000 words of at most 64 bytes are remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         value = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 64:

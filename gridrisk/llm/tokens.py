@@ -23,7 +23,7 @@ END_ID = 2
 #: Ids after which a block ends with its document.
 BLOCK_IDS = 1_000_000
 #: Words that one Python worker remembers with their ids; then it forgets all and starts anew.
-REMEMBERED = 1_200_000
+REMEMBERED = 400_000
 #: Characters that are encoded together.
 GROUP_CHARS = 2_000_000
 
@@ -151,11 +151,9 @@ class TextEncoder:
         # Lower-casing the dotted capital I leaves a mark that would join what follows.
         if not (body.isalpha() and (body.isascii() or (max(body) < "ɐ" and "İ" not in body))):
             return self._whole(word) if word else b""
-        if len(body) < len(word):
-            return self.known[body] + self.tails[word[len(body) :]]
         lower = body.lower()
-        if lower != body:
-            return self.known[lower]
+        if lower != word:
+            return self.known[lower] + (self.tails[word[len(body) :]] if len(body) < len(word) else b"")
         written = body if body.isascii() else body.encode().decode("latin-1").translate(self.letters)
         return self._packed([token.id for token in self.model.tokenize(written)])
 
