@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamReader
 from pyspark.sql.types import StructType
 
 from gridrisk.functions.numbering import numbered
 from gridrisk.functions.text import pad_geo_id, to_number
+from gridrisk.session import scratch_path
 from gridrisk.sources import schemas as S
 from gridrisk.sources.delimited import read_delimited
+from gridrisk.sources.writers import write_table
 
 
 def read_csv_strings(spark: SparkSession, path: str, columns: Sequence[str], sep: str = ",",
@@ -42,8 +45,8 @@ def read_csv_strings(spark: SparkSession, path: str, columns: Sequence[str], sep
 def parse_documents(raw: DataFrame, schema: str, keep: Sequence[str] = ()) -> DataFrame:
     """JSON records of whole files in ``value``: one document, an array of records, or one document a line.
 
-    Indentation and line breaks do not matter. A file that does not parse fails the job. ``doc``
-    numbers the documents of a file.
+    Indentation and line breaks do not matter. A file that does not parse fails the job. ``line``
+    and ``item`` say where in its file a record stands.
     """
     lines = F.filter(F.split("value", r"\r?\n"), lambda line: F.trim(line) != "")
     by_line = F.forall(lines, lambda line: F.try_parse_json(line).isNotNull())
@@ -52,14 +55,12 @@ def parse_documents(raw: DataFrame, schema: str, keep: Sequence[str] = ()) -> Da
     listed = F.when(body.startswith("["), body).otherwise(F.concat(F.lit("["), body, F.lit("]")))
     fields = f"array<struct<{StructType.fromDDL(schema).simpleString()[7:-1]}>>"
     parsed = docs.select(*keep, "line", F.from_json(listed, fields, {"mode": "FAILFAST"}).alias("records"))
-    return parsed.select(*keep, "line", F.posexplode("records").alias("item", "r")).select(
-        *keep, (F.col("line") + F.col("item")).alias("doc"), "r.*"
-    )
+    return parsed.select(*keep, "line", F.posexplode("records").alias("item", "r")).select(*keep, "line", "item", "r.*")
 
 
 def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON document files, each small enough for one task."""
-    return parse_documents(spark.read.text(path, wholetext=True), schema).drop("doc")
+    return parse_documents(spark.read.text(path, wholetext=True), schema).drop("line", "item")
 
 
 def required(column: str, what: str) -> Column:
@@ -76,6 +77,12 @@ def typed(df: DataFrame, doubles: Sequence[str] = (), ints: Sequence[str] = (),
     return df.withColumns(casts) if casts else df
 
 
+#: Bytes up to which a file is read whole, by one task; a larger one is read by lines, by several.
+WHOLE_BYTES = 16 << 20
+#: Where a document stands: its file, the block and line it begins at, and its place in a line's array.
+PLACE = ["file_time", "file_path", "block", "line", "item"]
+
+
 def page_files(raw: DataFrame) -> DataFrame:
     """Whole page files with their path and time, which stand in for what a page does not say."""
     return raw.select(
@@ -85,9 +92,66 @@ def page_files(raw: DataFrame) -> DataFrame:
     )
 
 
-def parse_cve_pages(files: DataFrame) -> DataFrame:
+def landed_texts(reader: DataFrameReader | DataStreamReader, path: str) -> DataFrame:
+    """Page files as text with their place: a row for a file of up to ``WHOLE_BYTES``, a row a line for a larger one.
+
+    Spark leaves out the files of the other kind before it reads them. ``reader`` reads a table or a
+    stream.
+    """
+    size = F.col("_metadata.file_size")
+    whole = reader.format("text").option("lineSep", "\n").option("wholetext", True).load(path).where(size <= WHOLE_BYTES)
+    lines = reader.format("text").option("lineSep", "\n").option("wholetext", False).load(path).where(size > WHOLE_BYTES)
+    return page_files(whole).select("*", F.lit(0).cast("bigint").alias("block"), F.lit(True).alias("whole")).unionByName(
+        lines.select(
+            "value",
+            F.col("_metadata.file_path").alias("file_path"),
+            F.col("_metadata.file_modification_time").alias("file_time"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.lit(False).alias("whole"),
+        )
+    )
+
+
+def parse_texts(texts: DataFrame, schema: str) -> DataFrame:
+    """``landed_texts`` → the JSON records of each file with their ``PLACE``, as ``parse_documents`` finds them.
+
+    A file read by lines whose every line is a record stays split. The lines of any other one are
+    brought together again, as it is one document or an array over many lines.
+    """
+    columns = StructType.fromDDL(schema).names
+    files = ["file_path", "file_time"]
+    block = {"block": F.lit(0).cast("bigint"), "line": F.col("line").cast("bigint")}
+    small = parse_documents(texts.where("whole"), schema, files).withColumns(block)
+    # Lines of a block stand in one partition, in their order.
+    lines = texts.where("NOT whole").withColumn("line", F.monotonically_increasing_id())
+    lines = lines.withColumn("value", F.regexp_replace("value", r"\r$", "")).where(F.trim("value") != "")
+    body = F.trim("value", F.lit(" \t"))
+    framed = (body.startswith("{") & body.endswith("}")) | (body.startswith("[") & body.endswith("]"))
+    # A line that does not even begin and end as a record is not parsed: most lines of indented files.
+    sound = F.when(framed, F.try_parse_json("value").isNotNull()).otherwise(False)
+    kinds = write_table(
+        lines.groupBy("file_path").agg(F.bool_and(sound).alias("by_line")), scratch_path(texts.sparkSession, "kinds")
+    )
+    fields = f"array<struct<{StructType.fromDDL(schema).simpleString()[7:-1]}>>"
+    listed = F.when(body.startswith("["), body).otherwise(F.concat(F.lit("["), body, F.lit("]")))
+    split = (
+        lines.join(kinds.where("by_line"), "file_path", "left_semi")
+        .select(*PLACE[:-1], F.posexplode(F.from_json(listed, fields, {"mode": "FAILFAST"})).alias("item", "r"))
+        .select(*PLACE, *[F.col(f"r.`{c}`") for c in columns])
+    )
+    joined = (
+        lines.join(kinds.where("NOT by_line"), "file_path", "left_semi")
+        .groupBy(*files)
+        .agg(F.array_sort(F.collect_list(F.struct("block", "line", "value"))).alias("parts"))
+        .select(*files, F.array_join(F.col("parts.value"), "\n").alias("value"))
+    )
+    large = parse_documents(joined, schema, files).withColumns(block)
+    return small.select(*PLACE, *columns).unionByName(split).unionByName(large.select(*PLACE, *columns))
+
+
+def parse_cve_pages(texts: DataFrame) -> DataFrame:
     """Parsed pages; without a ``keyword`` the folder ``keyword=…`` or else the file's stem is taken."""
-    pages = parse_documents(files, S.CVE_PAGE_SCHEMA, ["file_path", "file_time"])
+    pages = parse_texts(texts, S.CVE_PAGE_SCHEMA)
     folder = F.nullif(F.regexp_extract("file_path", r"keyword=([^/]+)", 1), F.lit(""))
     stem = F.regexp_extract("file_path", r"([^/]*?)[-_.]?[0-9]*(\.[^./]*)?$", 1)
     return pages.withColumns(
@@ -102,13 +166,16 @@ def read_cve_pages(spark: SparkSession, path: str) -> DataFrame:
     """Landed vulnerability pages, one row per listed CVE: ``seq, keyword, cve``.
 
     Pages that carry no ``seq`` are numbered in load order: by file time, path and place. Only the
-    keys of pages are numbered, range by range.
+    keys of pages are numbered, range by range. The parsed pages are written once, as their keys are
+    read several times.
     """
-    files = page_files(spark.read.option("recursiveFileLookup", True).text(path, wholetext=True))
-    pages = parse_cve_pages(files)
-    keys = pages.filter("seq IS NULL").select("file_path", "file_time", "doc")
-    numbers = numbered(keys, "page", F.col("file_time").asc(), F.col("file_path").asc(), F.col("doc").asc())
-    known = pages.join(numbers.select("file_path", "doc", "page"), ["file_path", "doc"], "left")
+    texts = landed_texts(spark.read.option("recursiveFileLookup", True), path)
+    pages = write_table(parse_cve_pages(texts), scratch_path(spark, "pages"))
+    keys = pages.filter("seq IS NULL").select(*PLACE)
+    if keys.isEmpty():
+        return explode_cve_pages(pages)
+    numbers = numbered(keys, "page", *[F.col(c).asc() for c in PLACE])
+    known = pages.join(numbers.select(*PLACE[1:], "page"), PLACE[1:], "left")
     return explode_cve_pages(known, ["page"], PAGE_ROWS * F.col("page") + F.col("pos")).drop("page")
 
 
@@ -136,9 +203,11 @@ def read_kev_json(spark: SparkSession, path: str) -> DataFrame:
     fields = ",".join(f"{c}:string" for c in S.KEV_COLUMNS)
     files = page_files(spark.read.text(path, wholetext=True))
     feed = parse_documents(files, f"vulnerabilities array<struct<{fields}>>", ["file_path", "file_time"])
-    place = ["file_path", "file_time", "doc"]
+    place = ["file_path", "file_time", "line", "item"]
     rows = feed.select(*place, F.posexplode(required("vulnerabilities", "the catalogue")).alias("pos", "v")).select(*place, "pos", "v.*")
-    return numbered(rows, "seq", F.col("file_time").asc(), F.col("file_path").asc(), F.col("doc").asc(), F.col("pos").asc()).drop(*place, "pos")
+    return numbered(rows, "seq", F.col("file_time").asc(), F.col("file_path").asc(), F.col("line").asc(), F.col("item").asc(), F.col("pos").asc()).drop(
+        *place, "pos"
+    )
 
 
 def read_devices_json(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:

@@ -216,3 +216,65 @@ def test_top_zips_has_no_limit(spark):
 
     rows = spark.range(300).selectExpr("CAST(id AS STRING) AS geo_id", "CAST(id AS DOUBLE) AS community_risk_prior_score")
     assert view_top_zips(rows, 250).count() == 250
+
+
+def test_large_page_files_are_read_by_lines(spark, tmp_path, monkeypatch):
+    """Files of one document a line are split; others over many lines stay whole documents. The rows are the same."""
+    folder = tmp_path / "pages"
+    for word in ("solar", "wind", "tide", "gas"):
+        (folder / f"keyword={word}").mkdir(parents=True)
+    docs = [{"vulnerabilities": [{"cve": {"id": f"{i}-{k}"}} for k in range(3)]} for i in range(40)]
+    (folder / "keyword=solar" / "1.json").write_text("\r\n".join(json.dumps(d) for d in docs) + "\r\n\r\n")
+    (folder / "keyword=wind" / "1.json").write_text(json.dumps(docs[0], indent=1))
+    (folder / "keyword=tide" / "1.json").write_text(json.dumps(docs[:5], indent=1))
+    (folder / "keyword=gas" / "1.json").write_text("\n".join(json.dumps(docs[i : i + 2]) for i in (0, 2, 4)))
+
+    def rows():
+        return sorted((r.seq % R.PAGE_ROWS, r.seq, r.keyword, r.cve.id) for r in R.read_cve_pages(spark, str(folder)).collect())
+
+    def in_order(found):
+        return {w: [i for _, _, k, i in sorted(found, key=lambda r: r[1]) if k == w] for w in ("solar", "wind", "tide", "gas")}
+
+    whole = rows()
+    monkeypatch.setattr(R, "WHOLE_BYTES", 100)
+    texts = R.landed_texts(spark.read.option("recursiveFileLookup", True), str(folder))
+    assert texts.where("file_path LIKE '%solar%' AND trim(value) <> '\r'").count() >= 40
+    lines = rows()
+    want = {"solar": 40, "wind": 1, "tide": 5, "gas": 6}
+    for found in (whole, lines):
+        assert in_order(found) == {w: [f"{i}-{k}" for i in range(n) for k in range(3)] for w, n in want.items()}
+        assert len({r[1] for r in found}) == len(found)
+    (folder / "keyword=gas" / "2.json").write_text(json.dumps(docs[0]) + "\n" + "x" * 200)
+    with pytest.raises(Exception):
+        rows()
+
+
+def test_published_pages_are_bounded(spark, monkeypatch):
+    from gridrisk.catalog import files
+
+    monkeypatch.setattr(files, "PAGE_RECORDS", 7)
+    hits = spark.range(0, 100, 1, 3).selectExpr(
+        "IF(id < 60, 'a', 'b') AS keyword", "array(named_struct('cve', named_struct('id', CAST(id AS STRING)))) AS vulnerabilities"
+    )
+    pages = files.published_pages(hits).collect()
+    found = [(p.keyword, v["cve"]["id"]) for p in pages for v in json.loads(p.value)["vulnerabilities"]]
+    assert sorted(found) == sorted(("a" if i < 60 else "b", str(i)) for i in range(100))
+    assert max(len(json.loads(p.value)["vulnerabilities"]) for p in pages) == 7
+
+
+def test_stream_reads_large_files_by_lines(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(R, "WHOLE_BYTES", 100)
+    communities = spark.createDataFrame([(f"{i:02d}", i / 20) for i in range(20)], "geo_id string, solar_readiness double")
+    pressure = spark.createDataFrame([("sma", 0.8)], "vendor string, cyber_pressure_score double")
+    pages, out = tmp_path / "pages", str(tmp_path / "out")
+    landed(pages, "1.json", *[(f"C{i}", "SMA flaw", 9.0) for i in range(20)], ("C0", "SMA again", 9.9))
+    cve = {"id": "D", "descriptions": [{"lang": "en", "value": "SMA"}], "metrics": {"cvssMetricV31": [{"cvssData": {"baseScore": 9.5}}]}}
+    (pages / "2.json").write_text(json.dumps({"vulnerabilities": [{"cve": cve}, {"cve": {**cve, "id": "C1"}}]}, indent=1))
+    taken = []
+    real = A.parse_cve_pages
+    monkeypatch.setattr(A, "parse_cve_pages", lambda texts: taken.append(texts.count()) or real(texts))
+    A.run_alert_stream(spark, str(pages), out, str(tmp_path / "state"), communities, pressure)
+    assert sum(taken) > 21
+    rows = A.read_alerts(spark, out).groupBy("cve_id").agg(F.count("*").alias("n"), F.max("alert_score").alias("s")).collect()
+    assert {r.cve_id: r.n for r in rows} == {**{f"C{i}": 10 for i in range(20)}, "D": 10}
+    assert len({r.s for r in rows if r.cve_id != "D"}) == 1
