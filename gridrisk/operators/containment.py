@@ -16,6 +16,8 @@ from gridrisk import constants as C
 GRAM = 3
 #: Characters of a piece of text from which grams are cut.
 PIECE = 256
+#: Patterns up to which every text is judged by every pattern of its scope, which is less work than its grams.
+FEW = 64
 
 
 def _grams(text: Column, sizes: range) -> Column:
@@ -47,6 +49,8 @@ def contained(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """
     own = texts.select("scope", "text").where("scope IS NOT NULL AND text IS NOT NULL").distinct()
     rules = patterns.select("scope", "pattern").where("scope IS NOT NULL AND pattern IS NOT NULL").distinct()
+    if rules.limit(FEW + 1).count() <= FEW:
+        return own.join(F.broadcast(rules), "scope").where(F.contains("text", "pattern")).select("scope", "text", "pattern")
     # Texts travel as grams and a digest; the text itself joins only its candidates.
     keyed = own.withColumn("digest", F.md5("text"))
     filed = keyed.select("scope", "digest", F.explode(_grams(F.col("text"), range(1, GRAM + 1))).alias("gram"))

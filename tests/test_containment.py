@@ -94,3 +94,15 @@ def test_a_hundred_thousand_rules_without_a_nested_loop(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert {(r.id, r.vendor_key) for r in got.collect()} == {(i, f"V{i}" if i < 100_000 else None) for i in range(0, 200_000, 997)}
+
+
+def test_few_patterns_are_sent_to_the_texts(spark, monkeypatch):
+    """Both ways give the same; a few patterns cut no grams."""
+    texts = spark.createDataFrame([("x", f"abc {i} déf"[: i % 11]) for i in range(50)] + [("y", "abc")], "scope string, text string")
+    patterns = spark.createDataFrame([("x", "bc"), ("x", "dé"), ("x", ""), ("y", "c"), ("z", "a")], "scope string, pattern string")
+    few = K.contained(texts, patterns)
+    assert "Generate" not in few._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(K, "FEW", 0)
+    many = K.contained(texts, patterns)
+    assert "Generate" in many._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
