@@ -20,19 +20,17 @@ from gridrisk.llm.near import drop_near_duplicates
 from gridrisk.llm.tokens import decode_tokens, encode_tokens
 from gridrisk.session import scratch_path
 
-#: All but one in so many right predictions are taken for clear without doubt; judged on so many documents at most, by hash.
-CLEAR, JUDGED = 2_000, 20_000
+#: All but one in so many right predictions are taken for clear without doubt.
+CLEAR = 2_000
 
 
 def least_score(docs: DataFrame, network: ByteNet | None) -> float:
     """The least score of a clear language: three quarters of what all but one in ``CLEAR`` right predictions reach.
 
-    Predictions are those of labelled documents not learnt from, a sample of about ``JUDGED``; 0 without any.
+    Predictions are those of all labelled documents not learnt from; 0 without any.
     """
     others = docs.select("doc_id", "text", "lang").where(~training_mask(F.col("doc_id")) & F.col("lang").isNotNull())
-    rate = JUDGED / max(1, others.count())
-    sample = others.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < rate * (1 << 30))
-    right = identify_language(sample, network=network).where("lang = language.lang_pred")
+    right = identify_language(others, network=network).where("lang = language.lang_pred")
     return 0.75 * (right.agg(F.percentile_approx("language.score", 1 / CLEAR, 100_000)).first()[0] or 0.0)
 
 

@@ -359,3 +359,21 @@ def test_pipeline_stages(spark, odd_docs, no_docs):
     for _, stage in corpus_pipeline.STAGES[:3]:
         assert stage(spark, no_docs, DIR).count() == 0
         assert stage(spark, odd_docs, DIR).columns == odd_docs.columns
+
+
+def test_least_score_judges_every_labelled_document(spark, monkeypatch):
+    """Far more documents than 20,000 are not learnt from, and all of their scores count."""
+    held = spark.range(120_000).where(~corpus_pipeline.training_mask(F.col("id")))
+    docs = held.select(F.col("id").alias("doc_id"), F.lit("a").alias("text"), F.lit("en").alias("lang")).localCheckpoint()
+    judged = []
+
+    def score(rows, network=None):
+        judged.append(rows.count())
+        own = F.struct(F.lit("en").alias("lang_pred"), (F.col("doc_id") / 120_000).alias("score"))
+        return rows.withColumn("language", own)
+
+    monkeypatch.setattr(corpus_pipeline, "identify_language", score)
+    n = docs.count()
+    want = sorted(r.doc_id / 120_000 for r in docs.collect())[max(0, -(-n // corpus_pipeline.CLEAR) - 1)]
+    assert corpus_pipeline.least_score(docs, None) == pytest.approx(0.75 * want, rel=0.1)
+    assert judged == [n] and n > 30_000
