@@ -59,13 +59,15 @@ def sync_job(hits: DataFrame, kev: DataFrame, root: str, notes: str = "full sync
         touched = incoming.select("cve_id").unionByName(vulnerabilities.changed_kev(kev, stored))
         cves.rewrite(touched, merged)
         snapshot = cves.read()
-        first = vulnerabilities.dedup_cve_first(hits)
+        # Products and references both read the first hits, without their other fields.
+        kept = vulnerabilities.dedup_cve_first(vulnerabilities.only(hits, "configurations", "references"))
+        first = write_table(kept, scratch_path(spark, "first"))
         tables = {"products": vulnerabilities.explode_products(first), "references": vulnerabilities.explode_references(first)}
         for name, rows in tables.items():
             table = SnapshotTable(spark, f"{root}/{name}", "cve_id", buckets)
             table.replace(rows)
             tables[name] = table.read()
-        summary = vulnerabilities.sync_summary(snapshot, tables["products"], tables["references"], hits)
+        summary = vulnerabilities.sync_summary(snapshot, tables["products"], tables["references"], incoming)
         SnapshotTable(spark, f"{root}/summary", "metric", 1).replace(summary)
         log.close(run, notes, vulnerabilities.ingest_counts(incoming, snapshot))
     except BaseException:
