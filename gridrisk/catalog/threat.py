@@ -286,16 +286,22 @@ STEPS["h_last"] = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cve_
 STEPS["h_first"] = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cve_id ORDER BY seq) AS rn FROM v_cve_hits) h WHERE rn = 1"
 
 
+def found(t):
+    """The sample's hits, dealt out first: their records take far more work than the few file splits they come from."""
+    parts = max(int(t.spark.conf.get("spark.sql.shuffle.partitions")), t.spark.sparkContext.defaultParallelism)
+    return t.v_cve_hits.repartition(parts)
+
+
 def hits(t):
     """Parsed records: the page documents are serialised and parsed again from their text."""
-    pages = adapters.cve_pages(t.v_cve_hits).select(F.to_json(F.struct("*")).alias("page"))
+    pages = adapters.cve_pages(found(t)).select(F.to_json(F.struct("*")).alias("page"))
     schema = readers.S.CVE_PAGE_SCHEMA
     return readers.explode_cve_pages(pages.select(F.from_json("page", schema).alias("p")).select("p.*"))
 
 
 def records(t):
     """The nested records themselves, for operators that need no reader."""
-    return readers.explode_cve_pages(adapters.cve_pages(t.v_cve_hits))
+    return readers.explode_cve_pages(adapters.cve_pages(found(t)))
 
 
 def flat(t):
@@ -333,7 +339,7 @@ FROM h_first
 
 @query("cvss_pick_v3", "SELECT cve_id, cvss_v3_score, cvss_v3_severity FROM h_v3", ["cvss_v3_score"])
 def _(t):
-    first = V.dedup_cve_first(records(t))
+    first = V.dedup_cve_first(V.only(records(t), "metrics"))
     return first.select("cve_id", V.cvss_pick_v3(F.col("cve.metrics")).alias("m")).select("cve_id", "m.*")
 
 
@@ -369,14 +375,14 @@ SELECT cve_id, vendor, product, cpe_uri, CASE WHEN p_partkey % 2 = 0 THEN '1.0'
        '9.' || CAST(p_size AS STRING) AS version_end_excluding, CAST(is_vulnerable AS INT) AS is_vulnerable FROM h_products
 """)
 def _(t):
-    return V.explode_products(V.dedup_cve_first(hits(t))).select(
+    return V.explode_products(V.dedup_cve_first(V.only(hits(t), "configurations"))).select(
         "cve_id", "vendor", "product", "cpe_uri", "version_start_including", "version_end_excluding", "is_vulnerable"
     )
 
 
 @query("unparsed_nodes", "SELECT CAST(0 AS BIGINT) AS too_deep, count(*) AS hits FROM v_cve_hits")
 def _(t):
-    rows = hits(t)
+    rows = write_table(V.only(hits(t), "configurations"), scratch_path(t.spark, "hits"))
     return V.unparsed_nodes(rows).withColumn("hits", rows.agg(F.count(F.lit(1))).scalar())
 
 
@@ -384,14 +390,14 @@ def _(t):
 SELECT cve_id, 'https://ref.example/' || CAST(seq AS STRING) AS url, 'src' AS source, 'Patch,Vendor Advisory' AS tags FROM h_first
 """)
 def _(t):
-    return V.explode_references(V.dedup_cve_first(records(t)))
+    return V.explode_references(V.dedup_cve_first(V.only(records(t), "references")))
 
 
 @query("sort_references", """
 SELECT cve_id, 'https://ref.example/' || CAST(seq AS STRING) AS url FROM h_first
 """)
 def _(t):
-    return V.sort_references(V.explode_references(V.dedup_cve_first(records(t)))).select("cve_id", "url")
+    return V.sort_references(V.explode_references(V.dedup_cve_first(V.only(records(t), "references")))).select("cve_id", "url")
 
 
 @query("dedup_cve_first", "SELECT cve_id, seq FROM h_first")
@@ -414,7 +420,7 @@ SELECT cve_id, coalesce(array_to_string(list_filter([{', '.join(f"CASE WHEN cont
 FROM h_v3
 """)
 def _(t):
-    first = V.dedup_cve_first(records(t))
+    first = V.dedup_cve_first(V.only(records(t), "descriptions"))
     text = V.first_english(F.col("cve.descriptions"))
     return first.select("cve_id", F.array_join(matched_keywords(text, C.ALERT_VENDORS), ",").alias("vendors"))
 
@@ -477,7 +483,7 @@ GROUP BY v.vendor) p
 
 
 def v3_rows(t):
-    first = V.dedup_cve_first(records(t)).select(
+    first = V.dedup_cve_first(V.only(records(t), "descriptions", "metrics")).select(
         "cve_id",
         V.first_english(F.col("cve.descriptions")).alias("description"),
         V.cvss_pick_v3(F.col("cve.metrics")).alias("m"),
@@ -511,8 +517,9 @@ UNION ALL SELECT 'keywords', count(DISTINCT keyword) FROM v_cve_hits
 UNION ALL SELECT 'vendor: ' || vendor, count(DISTINCT cve_id) FROM h_products WHERE vendor IS NOT NULL GROUP BY vendor
 """)
 def _(t):
-    first = V.dedup_cve_first(hits(t))
-    return V.sync_summary(merged_kev(t), V.explode_products(first), V.explode_references(first), hits(t))
+    rows = write_table(V.only(hits(t), "configurations", "references"), scratch_path(t.spark, "hits"))
+    first = write_table(V.dedup_cve_first(rows), scratch_path(t.spark, "first"))
+    return V.sync_summary(merged_kev(t), V.explode_products(first), V.explode_references(first), rows)
 
 
 @query("sync_job", f"""

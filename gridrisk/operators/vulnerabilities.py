@@ -106,6 +106,11 @@ def dedup_cve_first(hits: DataFrame) -> DataFrame:
     return first_per_key(hits.withColumn("cve_id", F.col("cve.id")), "cve_id", F.col("seq").asc())
 
 
+def only(hits: DataFrame, *fields: str) -> DataFrame:
+    """Hits whose records have their id and the named fields alone, so that a sort does not carry the rest."""
+    return hits.select("seq", "keyword", F.struct(*[F.col(f"cve.{f}").alias(f) for f in ("id", *fields)]).alias("cve"))
+
+
 def keyword_hits(hits: DataFrame) -> DataFrame:
     return hits.select(F.col("cve.id").alias("cve_id"), "keyword")
 
@@ -128,8 +133,9 @@ def configuration_matches(trees: DataFrame) -> DataFrame:
     """``trees`` (its other columns, and ``tree``: JSON text) → one row for every match, however deep: ``match`` as JSON text.
 
     A node's matches are in its ``cpeMatch``, further nodes in ``children`` and ``nodes``. Each pass
-    unfolds some depths and writes what it found and what is still folded; the passes end when
-    nothing is. They work on variant values, so a text is parsed once.
+    unfolds some depths in one go, in which a match found early travels along, and writes what it
+    found and what is still folded; the passes end when nothing is. They work on variant values, so
+    a text is parsed once.
     """
     spark = trees.sparkSession
     keep = [c for c in trees.columns if c != "tree"]
@@ -144,22 +150,29 @@ def configuration_matches(trees: DataFrame) -> DataFrame:
         inner = [listed(F.try_variant_get(node, f"$.{c}", "variant")) for c in ("children", "nodes")]
         return F.concat(F.coalesce(_array(node), none), *inner)
 
-    folded = trees.where("tree IS NOT NULL AND tree <> ''").select(*keep, F.parse_json("tree").alias("node"))
+    def unfolded(node: Column) -> Column:
+        matches = F.coalesce(F.try_variant_get(node, "$.cpeMatch", "array<variant>"), none)
+        return F.concat(
+            F.transform(matches, lambda m: F.struct(F.lit(True).alias("found"), m.alias("value"))),
+            F.transform(below(node), lambda n: F.struct(F.lit(False).alias("found"), n.alias("value"))),
+        )
+
+    nodes = trees.where("tree IS NOT NULL AND tree <> ''").select(
+        *keep, F.struct(F.lit(False).alias("found"), F.parse_json("tree").alias("value")).alias("_node")
+    )
     found = []
     while True:
-        parts = []
         for _ in range(DEPTHS):
-            matches = F.explode(F.try_variant_get("node", "$.cpeMatch", "array<variant>"))
-            parts.append(folded.select(*keep, matches.alias("match")).withColumn("match", F.to_json("match")))
-            folded = folded.select(*keep, F.explode(below(F.col("node"))).alias("node"))
-        rows = folded.select(*keep, "node", F.lit(None).cast("string").alias("match"))
-        for part in parts:
-            rows = rows.unionByName(part, allowMissingColumns=True)
+            node = F.col("_node")
+            nodes = nodes.select(*keep, F.explode(F.when(node["found"], F.array(node)).otherwise(unfolded(node["value"]))).alias("_node"))
+        match, node = F.when(F.col("_node.found"), F.to_json("_node.value")), F.when(~F.col("_node.found"), F.col("_node.value"))
+        rows = nodes.select(*keep, match.alias("match"), node.alias("node"))
         done = write_table(rows, scratch_path(spark, "configuration-nodes"))
         found.append(done.where("match IS NOT NULL").select(*keep, "match"))
-        folded = done.where("node IS NOT NULL").select(*keep, "node")
+        folded = done.where("node IS NOT NULL")
         if folded.isEmpty():
             return reduce(DataFrame.unionByName, found)
+        nodes = folded.select(*keep, F.struct(F.lit(False).alias("found"), F.col("node").alias("value")).alias("_node"))
 
 
 def explode_products(hits: DataFrame) -> DataFrame:

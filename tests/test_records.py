@@ -196,3 +196,22 @@ def test_address_split(spark):
     df = spark.createDataFrame([("123 Main St, Danville, ca 94528",), ("only",), ("a, b, 9x",)], "a string")
     got = [tuple(r) for r in df.select(L.address_split(F.col("a")).alias("s")).select("s.*").collect()]
     assert got == [("123 Main St", "Danville", "CA", "94528"), ("only", "", "", ""), ("a", "b", "", "")]
+
+
+def test_first_hits_carry_only_named_fields(spark, tmp_path):
+    rows = hits(spark, page(1, "A", [node("cpe:2.3:a:v:p:1")], references=[{"url": "u"}], vulnStatus="x"), tmp=tmp_path)
+    first = V.dedup_cve_first(V.only(rows, "references"))
+    assert first.schema["cve"].dataType.names == ["id", "references"]
+    assert [(r.cve_id, r.url) for r in V.explode_references(first).collect()] == [("A", "u")]
+
+
+def test_nodes_are_unfolded_in_one_scan_a_pass(spark, monkeypatch):
+    """Four depths of a pass come from one read of the trees, not from one read a depth."""
+    plans = []
+    real = V.write_table
+    monkeypatch.setattr(V, "write_table", lambda df, path: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, path))
+    deep = json.dumps([{"nodes": [node("a", [node("b", [node("c", [node("d", [node("e")])])])])]}])
+    trees = spark.createDataFrame([(1, deep), (2, json.dumps(node("f"))), (3, None)], "record int, tree string")
+    found = V.configuration_matches(trees).collect()
+    assert sorted((r.record, json.loads(r.match)["criteria"]) for r in found) == [(1, c) for c in "abcde"] + [(2, "f")]
+    assert len(plans) > 1 and all("Union" not in p for p in plans)
