@@ -5,6 +5,7 @@ from __future__ import annotations
 from itertools import combinations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridrisk import constants as C
 from gridrisk.catalog import community as CC
@@ -343,8 +344,10 @@ _NEAR = ["geo_id", "nearby_observed_exposure_count", "nearby_avg_device_risk", "
 _NEAR_KEEP = ["geo_id", "lat", "lon", "total_housing_units", "solar_candidate_share", "state_solar_weight", "solar_cyber_pressure_score", SCORE]
 
 
-def near(t):
-    places = write_table(CC.located(t).select(*_NEAR_KEEP), scratch_path(t.spark, "located"))
+def near(t, places=None):
+    """Device sums around ``places``, the located communities unless given."""
+    places = CC.located(t).select(*_NEAR_KEEP) if places is None else places
+    places = write_table(places, scratch_path(t.spark, "located"))
     return M.join_nearby_devices(places, D.score_devices(D.dedup_device(t.v_devices)), RADIUS_KM)
 
 
@@ -439,11 +442,15 @@ def _(t):
     return M.leaderboard(rounded_scores(t), _BOARD).select("rank", "geo_id", "top_features")
 
 
+_BASELINE = ["single_family_share", "owner_occupancy_rate", "age_risk_factor", "median_property_age"]
+
+
 @query("baseline_models")
 def _(t):
-    labelled = write_table(M.weak_labels(near(t)), scratch_path(t.spark, "labelled"))
-    scores = table(t).select("geo_id", "single_family_share", "owner_occupancy_rate", "age_risk_factor", "median_property_age")
-    data = labelled.select("geo_id", "label_exposed").join(scores, "geo_id")
-    return M.baseline_models(
-        data, "label_exposed", ["single_family_share", "owner_occupancy_rate", "age_risk_factor", "median_property_age"]
-    )
+    # The features travel with the places, so the scores are computed once. Each label of an id meets each of its
+    # feature rows: of n rows of an id, every one counts n times.
+    times = F.count(F.lit(1)).over(Window.partitionBy("geo_id"))
+    places = CC.located(t).select(*_NEAR_KEEP, *_BASELINE).withColumn("times", times)
+    labelled = M.weak_labels(near(t, places)).withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    data = write_table(labelled.select("geo_id", "label_exposed", *_BASELINE), scratch_path(t.spark, "labelled"))
+    return M.baseline_models(data, "label_exposed", _BASELINE)

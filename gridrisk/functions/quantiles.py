@@ -79,7 +79,8 @@ def _picked(
     for k in by:
         condition = condition & F.col(k).eqNullSafe(F.col(f"_b_{k}"))
     counted = (
-        values.join(brackets, condition)
+        # Only groups above the bound have a bracket, so these rows are few; values must not go to one task a name.
+        values.join(F.broadcast(brackets), condition)
         .select(*keys, "n", F.explode(F.array(*slots)).alias("s"))
         .select(*keys, "n", "s.slot", "s.at", "s.candidate")
         .filter(F.col("candidate").isNotNull())

@@ -287,14 +287,12 @@ def baseline_models(df: DataFrame, label: str, features: Sequence[str], key: str
     The split hashes the community id, so a community is always on the same side. Returns one
     row per model with its held-out area under the curve.
     """
-    filled = median_impute(df, features)
-    data = (
-        VectorAssembler(inputCols=list(features), outputCol="features")
-        .transform(filled)
-        .select(key, "features", F.col(label).cast("double").alias("label"))
-        .withColumn("held_out", F.pmod(F.xxhash64(key), F.lit(5)) == 0)
-        .persist()
+    filled = median_impute(df, features).select(
+        *features, F.col(label).cast("double").alias("label"), (F.pmod(F.xxhash64(key), F.lit(5)) == 0).alias("held_out")
     )
+    # Written, not cached: memory is left to what the learners cache themselves.
+    written = write_table(filled, scratch_path(df.sparkSession, "baseline"), rows_per_file=250_000)
+    data = VectorAssembler(inputCols=list(features), outputCol="features").transform(written).drop(*features)
     train, test = data.filter(~F.col("held_out")), data.filter("held_out")
     judge = BinaryClassificationEvaluator(labelCol="label")
     rows = []
@@ -304,5 +302,4 @@ def baseline_models(df: DataFrame, label: str, features: Sequence[str], key: str
     ):
         scored = learner.fit(train).transform(test)
         rows.append((name, float(judge.evaluate(scored))))
-    data.unpersist()
     return df.sparkSession.createDataFrame(rows, "model string, held_out_auc double")

@@ -2,11 +2,15 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridrisk.catalog import QUERIES, explore
+from gridrisk.catalog import community as CC
+from gridrisk.catalog.registry import Inputs
 from gridrisk.functions.quantiles import exact_medians, exact_quantiles
 from gridrisk.operators import explore as E
 from gridrisk.operators import model as M
@@ -115,3 +119,43 @@ def test_kmeans_labels_follow_scores(spark):
     assert [r.risk_cluster_label for r in means] == ["MINIMAL", "LOW", "MODERATE", "ELEVATED", "CRITICAL"]
     assert [r.m for r in means] == sorted(r.m for r in means)
     assert named.count() == 300
+
+
+def test_brackets_reach_the_values_without_a_shuffle(spark):
+    df = spark.range(2000).select((F.col("id") % 997).cast("double").alias("v"), (F.col("id") % 3).alias("g"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for by in ([], ["g"]):
+            found = exact_quantiles(df, ["v"], [0.5], by=by, direct=0)
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan
+            assert found.count() == (3 if by else 1)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_baseline_models_score_once_and_keep_every_pair(spark, tmp_path, monkeypatch):
+    # Order 5 stands three times, order 7 twice, 11 has no key.
+    keys = [*range(1, 60), 5, 5, 7, None]
+    orders = spark.createDataFrame(
+        [(k, 1 + i % 9, "FO"[i % 2], 1000.0 * i) for i, k in enumerate(keys)],
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double",
+    )
+    parts = spark.range(1, 20).select(F.col("id").alias("p_partkey"), F.lit("p").alias("p_name"))
+    lines = spark.range(1, 80).select(
+        (F.col("id") % 20).alias("l_partkey"), F.col("id").alias("l_suppkey"), (F.col("id") % 7 + 1).cast("int").alias("l_linenumber")
+    )
+    for name, rows in (("orders", orders), ("part", parts), ("lineitem", lines)):
+        rows.write.parquet(str(tmp_path / f"{name}.parquet"))
+    seen, scored, calls = [], CC.scored, []
+    monkeypatch.setattr(M, "baseline_models", lambda data, label, features: seen.append((data, label, features)) or data)
+    monkeypatch.setattr(CC, "scored", lambda t: calls.append(1) or scored(t))
+    QUERIES["baseline_models"](spark, str(tmp_path))
+    assert len(calls) == 1
+    data, label, features = seen[0]
+    t = Inputs(spark, str(tmp_path))
+    labels = M.weak_labels(explore.near(t)).select("geo_id", "label_exposed")
+    wanted = labels.join(scored(t).select("geo_id", *features), "geo_id").select("geo_id", label, *features)
+    rows = wanted.collect()
+    assert sorted(map(repr, data.select("geo_id", label, *features).collect())) == sorted(map(repr, rows))
+    assert max(Counter(r.geo_id for r in rows).values()) == 9
