@@ -159,3 +159,22 @@ def test_baseline_models_score_once_and_keep_every_pair(spark, tmp_path, monkeyp
     rows = wanted.collect()
     assert sorted(map(repr, data.select("geo_id", label, *features).collect())) == sorted(map(repr, rows))
     assert max(Counter(r.geo_id for r in rows).values()) == 9
+
+
+def test_baseline_models_learn_from_bounded_files(spark, monkeypatch):
+    df = spark.range(600).select(
+        F.col("id").cast("string").alias("geo_id"),
+        (F.col("id") % 2).cast("int").alias("label"),
+        F.when(F.col("id") % 10 > 0, F.col("id") % 2 + F.rand(1) / 4).alias("a"),
+        F.rand(2).alias("b"),
+    )
+    bounds, write = [], M.write_table
+    monkeypatch.setattr(M, "write_table", lambda df, path, **how: bounds.append(how) or write(df, path, rows_per_file=50))
+    found = {r.model: r.held_out_auc for r in M.baseline_models(df, "label", ["a", "b"]).collect()}
+    assert set(found) == {"boosted_trees", "logistic"} and min(found.values()) > 0.85
+    assert len(bounds) == 1 and bounds[0]["rows_per_file"] > 0
+
+
+def test_rows_per_file(spark, tmp_path):
+    back = M.write_table(spark.range(100).coalesce(1), str(tmp_path / "t"), rows_per_file=30)
+    assert len(back.inputFiles()) == 4 and back.count() == 100
