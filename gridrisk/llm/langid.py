@@ -203,7 +203,8 @@ def guess_udf(shared):
                 settle(at, rows)
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
-    return guess
+    # Spark would judge each text again, in a second worker beside the first, for a filter on the language.
+    return guess.asNondeterministic()
 
 
 def identify_language(docs: DataFrame, learn_from: DataFrame | None = None, network: ByteNet | None = None) -> DataFrame:

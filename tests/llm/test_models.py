@@ -217,6 +217,15 @@ def test_language_of_odd_rows(spark, odd_docs, no_docs):
     assert [tuple(r) for r in blank] == [("und", 0.0)]
 
 
+def test_language_is_judged_once_where_a_filter_reads_it(spark):
+    """A second judgement of each text would also take a second Python worker a task."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    right = identify_language(docs).where("lang = language.lang_pred").agg(F.max("language.score"), F.count("*"))
+    assert str(right._jdf.queryExecution().executedPlan()).count("ArrowEvalPython [") == 1
+    score, n = right.first()
+    assert 0 < score <= 1 and n > 0
+
+
 def test_many_languages_stay_within_the_sample(spark, monkeypatch):
     from gridrisk.llm import langid
 
