@@ -106,3 +106,65 @@ def test_few_patterns_are_sent_to_the_texts(spark, monkeypatch):
     many = K.contained(texts, patterns)
     assert "Generate" in many._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+
+
+def test_long_patterns_equal_brute_force(spark):
+    pick = random.Random(7)
+    word = lambda n: "".join(pick.choice("abé") for _ in range(n))
+    texts = [("x", word(pick.randrange(900))) for _ in range(40)]
+    inside = [t[i : i + pick.randrange(1, 90)] for _, t in texts for i in (0, 200, 250, len(t) // 2)]
+    patterns = [("x", p) for p in [*inside, *[word(pick.randrange(80)) for _ in range(60)]]]
+    got = K.contained(spark.createDataFrame(texts, "scope string, text string"), spark.createDataFrame(patterns, "scope string, pattern string"))
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == {(s, t, p) for s, t in texts for _, p in patterns if p in t}
+
+
+def test_numbered_names_meet_their_own_texts_alone(spark):
+    """Names with short parts in common: candidates grow with the texts, not with texts times names."""
+    name = F.format_string("supplier#%09d", "id")
+    texts = spark.range(2_000).select(F.lit(0).alias("scope"), F.concat(F.lit("unit of "), name, F.lit(" (1)")).alias("text"), F.col("id").alias("digest"))
+    rules = spark.range(2_000).select(F.lit(0).alias("scope"), name.alias("pattern"))
+    assert K._candidates(texts, rules, [16], False).count() == 2_000
+    assert K.contained(texts, rules).count() == 2_000
+
+
+def test_a_large_dictionary_is_not_broadcast(spark, tmp_path, monkeypatch):
+    """Files far smaller than their rows: no plan sends the dictionary to the driver."""
+    monkeypatch.setattr(K, "SMALL", 50, raising=False)
+    plans = []
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    write = getattr(K, "write_table", None)
+    monkeypatch.setattr(K, "write_table", lambda df, path: write(planned(df), path), raising=False)
+    number = F.col("id").cast("string")
+    vendor = F.concat(F.lit("Maker"), F.format_string("%05d", "id"))
+    place = F.lit(0).alias("position")
+    rules = {
+        "vendors": [vendor.alias("vendor_key"), F.lit("HIGH").alias("risk_level")],
+        "cves": [vendor.alias("vendor_key"), place, F.concat(F.lit("CVE-"), number).alias("cve_id"), F.lit("9.8").alias("cvss")],
+        "firmware": [vendor.alias("vendor_key"), place, F.concat(F.lit("fw "), number).alias("firmware"), F.lit("PATCHED").alias("status")],
+        "keywords": [place, F.lower(vendor).alias("keyword"), vendor.alias("vendor_key")],
+    }
+    for name, columns in rules.items():
+        spark.range(3_000).select(*columns).write.parquet(f"{tmp_path}/{name}")
+    units = spark.range(6_000).select(
+        "id", F.concat(F.lit("A "), F.format_string("MAKER%05d", F.col("id") % 4_000)).alias("vendor"), F.concat(F.lit("FW "), (F.col("id") % 200).cast("string")).alias("firmware_version")
+    )
+    units.write.parquet(f"{tmp_path}/units")
+    devices = spark.read.parquet(f"{tmp_path}/units")
+    got = planned(K.vendor_risks(devices, {name: spark.read.parquet(f"{tmp_path}/{name}") for name in rules}))
+    assert not any("Broadcast" in plan for plan in plans)
+
+    def want(i):
+        n = i % 4_000
+        own, listed = f"fw {i % 200}", f"fw {n}"
+        if n >= 3_000:
+            return (i, None, None, 0.3, [])
+        fits = own in listed or listed in own
+        return (i, f"Maker{n:05d}", 0.2 if fits else None, 0.2 if fits else 1.0, [f"CVE-{n}"])
+
+    rows = got.select("id", "vendor_key", "firmware_risk", "cve_component", "matched_cves").collect()
+    assert sorted(map(tuple, rows)) == [want(i) for i in range(6_000)]
